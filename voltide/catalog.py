@@ -15,10 +15,13 @@ from pyspark.sql import types as T
 from voltide.operators import bars as B
 from voltide.operators import cleaning as C
 from voltide.operators import evaluation as E
+from voltide.operators import explain as X
 from voltide.operators import features as W
 from voltide.operators import garch as G
 from voltide.operators import garch_fit as GF
+from voltide.operators import hmm
 from voltide.operators import ranking as K
+from voltide.operators import regime_models as RM
 from voltide.operators import regime_rules as R
 from voltide.operators import regime_stats as S
 from voltide.operators import spells as P
@@ -705,3 +708,103 @@ def _(spark, d):
     path = scratch_path(spark, "params")
     tables.save_params(fitted, path)
     return tables.load_params(spark, path, "baseline")
+
+
+# model detectors -------------------------------------------------------------------------------
+def model_features(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(hour_features(spark, d), "features")
+
+
+@query("regime_kmeans")
+def _(spark, d):
+    return _labels_only(RM.regime_kmeans(model_features(spark, d), HOURS))
+
+
+@query("kmeans_centers", digits=4)
+def _(spark, d):
+    return RM.kmeans_centers(model_features(spark, d), HOURS)
+
+
+@query("kmeans_elbow", digits=4)
+def _(spark, d):
+    return RM.kmeans_elbow(model_features(spark, d), HOURS, n_init=2)
+
+
+@query("regime_gmm", digits=4)
+def _(spark, d):
+    rows = RM.regime_gmm(model_features(spark, d), HOURS, n_init=2)
+    return _labels_only(rows, "regime_probability", "regime_uncertainty")
+
+
+@query("gmm_diagnostics", digits=4)
+def _(spark, d):
+    return RM.gmm_diagnostics(model_features(spark, d), HOURS, n_init=2)
+
+
+@query("regime_hmm")
+def _(spark, d):
+    return _labels_only(hmm.regime_hmm(model_features(spark, d), HOURS)[0])
+
+
+@query("garch_features")
+def _(spark, d):
+    rows = model_features(spark, d)
+    out = RM.garch_features(rows, G.moment_params(rows, ["symbol"]), HOURS)
+    return out.select("symbol", "timestamp", *RM.GARCH_FEATURES)
+
+
+@query("regime_garch")
+def _(spark, d):
+    rows, _params = RM.regime_garch(model_features(spark, d), HOURS, n_init=5)
+    return _labels_only(rows, "garch_variance", "garch_volatility", "global_garch_vol")
+
+
+@query("garch_regime_summary")
+def _(spark, d):
+    return G.garch_regime_summary(*RM.regime_garch(model_features(spark, d), HOURS, n_init=5))
+
+
+@query("sequence_windows")
+def _(spark, d):
+    out = RM.sequence_windows(model_features(spark, d), HOURS, ["log_return", "rsi"], 168, 24)
+    columns = RM.patch_columns(["log_return", "rsi"], 168, 24)
+    return out.where(F.col("has_sequence")).select("symbol", "timestamp", *columns)
+
+
+@query("head_fill")
+def _(spark, d):
+    rows = labelled(spark, d)
+    rows = rows.withColumn("seen", F.when(F.dayofmonth("timestamp") > 8, F.col("regime")))
+    return RM.head_fill(rows, HOURS, "seen").select("symbol", "timestamp", "seen")
+
+
+@query("regime_patch_embedding")
+def _(spark, d):
+    return _labels_only(RM.regime_patch_embedding(model_features(spark, d), HOURS, n_init=5))
+
+
+@query("regime_pseudo_label_embedding")
+def _(spark, d):
+    return _labels_only(RM.regime_pseudo_label_embedding(model_features(spark, d), HOURS, n_init=5))
+
+
+# explanations ----------------------------------------------------------------------------------
+@query("rf_regime_model", digits=4)
+def _(spark, d):
+    rows, _names = X.training_rows(labelled(spark, d), HOURS)
+    return X.accuracy(X.fit_forest(rows), rows)
+
+
+@query("global_importance", digits=4)
+def _(spark, d):
+    return X.global_importance(labelled(spark, d), HOURS)
+
+
+@query("per_regime_importance", digits=4)
+def _(spark, d):
+    return X.per_regime_importance(labelled(spark, d), HOURS)
+
+
+@query("shapley_importance", digits=4)
+def _(spark, d):
+    return X.shapley_importance(labelled(spark, d), HOURS)

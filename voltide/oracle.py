@@ -616,3 +616,21 @@ ORACLE["model_improvement"] = f"{_m}, both_ AS (" + " UNION ALL ".join(
 ) + f""") SELECT symbol, metric, {dbl('x', 'baseline', 4)}, {dbl('y', 'regime_switching', 4)}, {dbl('(y - x) / NULLIF(abs(x), 0) * 100 * dir', 'improvement_pct', 4)},
 CASE WHEN (dir = 1 AND x > y) OR (dir = -1 AND x < y) THEN 'baseline' ELSE 'regime_switching' END AS winner FROM both_"""
 ORACLE["forecast_vol_histogram"] = f"{_g}, {regime_forecast()}, fv AS (SELECT symbol, regime, sqrt(h) AS rs_vol FROM fr), {binned('fv', 'rs_vol', '50')}"
+
+# sequences -------------------------------------------------------------------------------------
+ORACLE["garch_features"] = f"""WITH RECURSIVE {FEATURES}, f AS (SELECT symbol, t, r, row_number() OVER ({SERIES}) - 1 AS rn FROM feats),
+{FILLED[FILLED.index('fp AS'):]}, g AS (SELECT symbol, t, r, sqrt(h) AS gvol FROM gv JOIN f USING (symbol, rn)),
+g2 AS (SELECT *, avg(gvol) {roll(24)} / avg(gvol) {roll(168)} AS ratio FROM g)
+SELECT symbol, {ts()}, {dbl('gvol', 'global_garch_vol')}, {dbl('r / gvol', 'standardised_return')}, {dbl('ratio', 'garch_vol_ratio')},
+{dbl('(r / gvol) * (r / gvol)', 'arch_indicator')} FROM g2"""
+_patch = {
+    f"{name}_p{j}": f"avg({x}) OVER ({SERIES} ROWS BETWEEN {(j + 1) * 24} PRECEDING AND {j * 24 + 1} PRECEDING)"
+    for name, x in (("log_return", "r"), ("rsi", "rsi")) for j in range(7)
+}
+ORACLE["sequence_windows"] = (
+    f"WITH {FEATURES}, sq AS (SELECT symbol, t, {', '.join(f'{x} AS {c}' for c, x in _patch.items())}, row_number() OVER ({SERIES}) AS i FROM feats) "
+    f"SELECT symbol, {ts()}, {dbls(*_patch)} FROM sq WHERE i > 168"
+)
+ORACLE["head_fill"] = f"""WITH {LABELS}, sn AS (SELECT symbol, t, CASE WHEN day(t) > 8 THEN regime END AS seen FROM threshold),
+fs AS (SELECT symbol, first(seen ORDER BY t) AS head FROM sn WHERE seen IS NOT NULL GROUP BY symbol)
+SELECT symbol, {ts()}, {big('coalesce(seen, head)', 'seen')} FROM sn JOIN fs USING (symbol)"""
