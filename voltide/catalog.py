@@ -30,6 +30,7 @@ from voltide.operators.quantiles import exact_quantiles
 from voltide.plans.series import Series
 from voltide.session import materialise, scratch_path
 from voltide.sources import klines, tables, ticks
+from voltide.streaming import live, repair, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -808,3 +809,97 @@ def _(spark, d):
 @query("shapley_importance", digits=4)
 def _(spark, d):
     return X.shapley_importance(labelled(spark, d), HOURS)
+
+
+# streams ---------------------------------------------------------------------------------------
+def _kline_files(spark: SparkSession, bars: DataFrame, path: str) -> None:
+    klines.write_kline_csv(klines.bars_to_klines(bars, 3600), path)
+
+
+def _drop(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write one more file for a stream to find."""
+    df.coalesce(1).write.mode("append").parquet(path)
+
+
+def _parquet_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("stream_ingest")
+def _(spark, d):
+    files, table = scratch_path(spark, "drop"), scratch_path(spark, "live")
+    _kline_files(spark, hour_bars(spark, d), files)
+    live.stream_ingest(klines.read_kline_stream(spark, files), table, scratch_path(spark, "cp"))
+    return spark.read.parquet(table).drop("log_return")
+
+
+@query("stream_dedup")
+def _(spark, d):
+    first, second = scratch_path(spark, "polls") + "/a", scratch_path(spark, "polls") + "/b"
+    bars = hour_bars(spark, d)
+    _kline_files(spark, bars, first)
+    _kline_files(spark, bars, second)
+    table = scratch_path(spark, "deduped")
+    both = klines.read_kline_stream(spark, first, 1000).union(klines.read_kline_stream(spark, second, 1000))
+    runs.run_to_parquet(live.stream_dedup(both), table, scratch_path(spark, "cp"), state_partitions=8)
+    return spark.read.parquet(table)
+
+
+@query("stream_bars")
+def _(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    table = scratch_path(spark, "bars")
+    bars = live.stream_bars(ticks.event_ticks(source))
+    runs.run_to_parquet(bars, table, scratch_path(spark, "cp"), state_partitions=8)
+    return spark.read.parquet(table)
+
+
+@query("stream_log_return")
+def _(spark, d):
+    bars = hour_bars(spark, d).select("symbol", "timestamp", "price_close")
+    files, table = scratch_path(spark, "drop"), scratch_path(spark, "returns")
+    _drop(spark, bars.where(F.dayofmonth("timestamp") < 15), files)
+    _drop(spark, bars.where(F.dayofmonth("timestamp") >= 15), files)
+    returns = live.stream_log_return(_parquet_stream(spark, files, bars.schema))
+    runs.run_to_parquet(returns, table, scratch_path(spark, "cp"), state_partitions=8)
+    return spark.read.parquet(table)
+
+
+@query("stream_threshold_regime")
+def _(spark, d):
+    rows = model_features(spark, d)
+    files, table = scratch_path(spark, "drop"), scratch_path(spark, "labels")
+    narrow = rows.select("symbol", "timestamp", "vol_60m")
+    _drop(spark, narrow, files)
+    stream = live.stream_threshold_regime(_parquet_stream(spark, files, narrow.schema), R.vol_quantiles(rows))
+    runs.run_to_parquet(stream, table, scratch_path(spark, "cp"))
+    return _labels_only(spark.read.parquet(table))
+
+
+@query("late_repair")
+def _(spark, d):
+    bars = C.calendar_columns(hour_returns(spark, d))
+    late = F.pmod(F.col("num_trades") + F.hour("timestamp"), F.lit(3)) == 0
+    table, files = scratch_path(spark, "bars"), scratch_path(spark, "late")
+    tables.write_partitioned(W.add_log_return(bars.where(~late).drop("log_return"), HOURS), table)
+    _drop(spark, bars.where(late).withColumn("log_return", F.lit(None).cast("double")), files)
+    stream = _parquet_stream(spark, files, bars.schema)
+    merge = repair.late_repair(table, HOURS, ["num_trades", "price_close"])
+    runs.start(stream.writeStream.foreachBatch(merge), spark, scratch_path(spark, "cp")).awaitTermination()
+    return spark.read.parquet(table).select("symbol", "timestamp", "price_close", "log_return")
+
+
+@query("hybrid_ingest")
+def _(spark, d):
+    bars = hour_bars(spark, d)
+    table, files, clean = scratch_path(spark, "hybrid"), scratch_path(spark, "drop"), scratch_path(spark, "clean")
+    history = C.canonical_bars(klines.bars_to_klines(bars.where(F.dayofmonth("timestamp") < 20), 3600))
+    tables.append_bars(W.add_log_return(history.drop("log_return"), HOURS), table)
+    _kline_files(spark, bars.where(F.dayofmonth("timestamp") >= 18), files)
+    # the stream sink keeps its own file log, so live rows go to their own folder and are merged with the history
+    fresh = scratch_path(spark, "live")
+    live.stream_ingest(klines.read_kline_stream(spark, files), fresh, scratch_path(spark, "cp"))
+    tables.append_bars(spark.read.parquet(fresh), table)
+    tables.consolidate(spark, table, clean, HOURS, ["num_trades", "price_close"])
+    return spark.read.parquet(clean).select("symbol", "timestamp", "price_close", "log_return")

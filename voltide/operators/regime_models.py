@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,12 +207,27 @@ def _cluster_embedding(df: DataFrame, embedded: DataFrame, s: Series, k: int, n_
     return apply_label_rank(filled, "cluster", "vol_60m", s.keys)
 
 
+def principal_axes(rows: DataFrame, column: str, components: int) -> np.ndarray:
+    """Leading axes of the covariance. Spark sums the moments; only the matrix of the columns is decomposed here."""
+    moments = rows.select(Summarizer.metrics("std").summary(F.col(column)).alias("m")).select("m.std").first()[0].toArray()
+    correlation = Correlation.corr(rows, column).first()[0].toArray()
+    covariance = np.nan_to_num(correlation) * np.outer(moments, moments)
+    _values, vectors = np.linalg.eigh(covariance)
+    return vectors[:, ::-1][:, :components].copy()
+
+
 def regime_patch_embedding(df: DataFrame, s: Series, seq_len: int = 168, patch_len: int = 24, components: int = 8,
                            k: int = K, n_init: int = 20) -> DataFrame:
     """Patch sequences, compressed without labels (principal components), then clustered."""
     sequences = _sequence_vectors(df, s, seq_len, patch_len)
-    pca = PCA(k=components, inputCol="sequence", outputCol="features").fit(sequences)
-    return _cluster_embedding(df, pca.transform(sequences), s, k, n_init)
+    axes = principal_axes(sequences, "sequence", components)
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(x.to_list()) @ axes))
+
+    embedded = sequences.withColumn("features", array_to_vector(project(vector_to_array("sequence"))))
+    return _cluster_embedding(df, embedded, s, k, n_init)
 
 
 def regime_pseudo_label_embedding(df: DataFrame, s: Series, seq_len: int = 168, patch_len: int = 24, hidden: int = 16,

@@ -634,3 +634,12 @@ ORACLE["sequence_windows"] = (
 ORACLE["head_fill"] = f"""WITH {LABELS}, sn AS (SELECT symbol, t, CASE WHEN day(t) > 8 THEN regime END AS seen FROM threshold),
 fs AS (SELECT symbol, first(seen ORDER BY t) AS head FROM sn WHERE seen IS NOT NULL GROUP BY symbol)
 SELECT symbol, {ts()}, {big('coalesce(seen, head)', 'seen')} FROM sn JOIN fs USING (symbol)"""
+
+# streams end in the rows of their batch forms --------------------------------------------------
+ORACLE["stream_ingest"] = f"WITH {HOUR} SELECT {BAR_OUT}, {CAL} FROM bars"
+ORACLE["stream_dedup"] = ORACLE["scan_kline_csv"]
+ORACLE["stream_bars"] = (
+    f"WITH {HOUR} SELECT {BAR_OUT} FROM bars WHERE t + INTERVAL '1 hour' <= (SELECT max(tt) FROM ticks) - INTERVAL '10 minutes'"
+)
+ORACLE["stream_log_return"] = ORACLE["late_repair"] = ORACLE["hybrid_ingest"] = ORACLE["log_return"]
+ORACLE["stream_threshold_regime"] = ORACLE["regime_threshold"]
