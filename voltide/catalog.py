@@ -45,7 +45,7 @@ def present(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             # the shift keeps values halfway between two roundings from hanging on the last bit
-            c = F.round(c.cast("double") + 1e-8, digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + float(f"2.3e-{digits + 2}"), digits) + F.lit(0.0)
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
@@ -93,8 +93,8 @@ def hour_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly features with threshold labels, written once because several jobs read them."""
-    return materialise(R.regime_threshold(hour_features(spark, d)), "labels")
+    """Hourly features, written once because several branches read them, with threshold labels."""
+    return R.regime_threshold(materialise(hour_features(spark, d), "features"))
 
 
 def stacked(spark: SparkSession, d: str) -> DataFrame:
@@ -353,8 +353,8 @@ def _(spark, d):
 
 
 # window features -------------------------------------------------------------------------------
-def _feature(name: str, fn: Callable[[DataFrame, Series], DataFrame]) -> None:
-    @query(name)
+def _feature(name: str, fn: Callable[[DataFrame, Series], DataFrame], digits: int = 6) -> None:
+    @query(name, digits)
     def _(spark, d):
         rows = quarter_returns(spark, d)
         out = fn(rows, QUARTERS)
@@ -377,7 +377,7 @@ _feature("volume_volatility", W.volume_volatility)
 _feature("rsi", W.rsi)
 _feature("moving_average", W.moving_average)
 _feature("bollinger", W.bollinger)
-_feature("atr", W.atr)
+_feature("atr", W.atr, digits=4)
 
 
 @query("log_return")
@@ -390,7 +390,7 @@ def _(spark, d):
     return S.return_autocorrelation(R.regime_threshold(hour_features(spark, d)), HOURS)
 
 
-@query("feature_matrix")
+@query("feature_matrix", digits=4)
 def _(spark, d):
     return W.feature_matrix(quarter_returns(spark, d), QUARTERS)
 

@@ -1,7 +1,7 @@
 """Column expressions of the rolling features.
 
-Every function takes the frames of the series and returns a Column; row counts, not time, define the
-windows and leading windows may be partial. Divisions use ``try_divide`` because ANSI mode raises on 0.
+Row counts, not time, define the windows and leading windows may be partial. Divisions use ``try_divide``
+because ANSI mode raises on 0. The rolling ones read values tracked by :class:`Rolling`.
 """
 
 from __future__ import annotations
@@ -9,26 +9,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voltide.functions.rolling import Rolling
 from voltide.plans.series import Frames
 
 CLOSE, HIGH, LOW, VOLUME, RETURN = "price_close", "price_high", "price_low", "volume_base", "log_return"
 
 
+def tracked(f: Frames, *names: str) -> Rolling:
+    """Track the named inputs of the rolling features."""
+    change = F.col(CLOSE) - F.lag(CLOSE, 1).over(f.ordered)
+    inputs = {
+        "return": (F.col(RETURN), 3, False),
+        "bullish": (F.when(F.col(RETURN) > 0, 1.0).otherwise(0.0), 1, False),
+        "range": (F.try_divide(F.col(HIGH) - F.col(LOW), F.col(CLOSE)), 1, False),
+        "volume": (F.col(VOLUME), 2, True),
+        "paid": (F.col(CLOSE) * F.col(VOLUME), 1, False),
+        "close": (F.col(CLOSE), 2, True),
+        "gain": (F.when(change > 0, change).otherwise(0.0), 1, False),
+        "loss": (F.when(change < 0, -change).otherwise(0.0), 1, False),
+        "true_range": (true_range(f), 1, False),
+    }
+    out = Rolling(f)
+    for name in names:
+        value, powers, centred = inputs[name]
+        out.track(name, value, powers, centred)
+    return out
+
+
 # returns ---------------------------------------------------------------------------------------
 def log_return(f: Frames, close: str = CLOSE) -> Column:
     return F.ln(F.try_divide(F.col(close), F.lag(close, 1).over(f.ordered)))
 
 
-def cumulative_return(f: Frames, n: int) -> Column:
-    return F.sum(RETURN).over(f.rows(n))
+def cumulative_return(r: Rolling, n: int) -> Column:
+    return r.sum("return", n)
 
 
-def bullish_ratio(f: Frames, n: int) -> Column:
-    return F.avg(F.when(F.col(RETURN) > 0, 1.0).otherwise(0.0)).over(f.rows(n))
+def bullish_ratio(r: Rolling, n: int) -> Column:
+    return r.mean("bullish", n)
 
 
-def return_skewness(f: Frames, n: int) -> Column:
-    return F.skewness(RETURN).over(f.rows(n))
+def return_skewness(r: Rolling, n: int) -> Column:
+    return r.skewness("return", n)
 
 
 def price_momentum(f: Frames, n: int) -> Column:
@@ -37,8 +59,8 @@ def price_momentum(f: Frames, n: int) -> Column:
 
 
 # volatility ------------------------------------------------------------------------------------
-def realized_volatility(f: Frames, n: int) -> Column:
-    return F.stddev_samp(RETURN).over(f.rows(n))
+def realized_volatility(r: Rolling, n: int) -> Column:
+    return r.deviation("return", n)
 
 
 def volatility_change(f: Frames, vol: str, n: int) -> Column:
@@ -50,18 +72,17 @@ def guarded_ratio(top: str, bottom: str) -> Column:
     return F.when(F.col(bottom) > 0, F.col(top) / F.col(bottom)).otherwise(1.0)
 
 
-def high_low_range(f: Frames, n: int) -> Column:
-    return F.avg(F.try_divide(F.col(HIGH) - F.col(LOW), F.col(CLOSE))).over(f.rows(n))
+def high_low_range(r: Rolling, n: int) -> Column:
+    return r.mean("range", n)
 
 
 # volume ----------------------------------------------------------------------------------------
-def volume_average(f: Frames, n: int) -> Column:
-    return F.avg(VOLUME).over(f.rows(n))
+def volume_average(r: Rolling, n: int) -> Column:
+    return r.mean("volume", n)
 
 
-def vwap(f: Frames, n: int) -> Column:
-    paid = F.sum(F.col(CLOSE) * F.col(VOLUME)).over(f.rows(n))
-    return F.try_divide(paid, F.sum(VOLUME).over(f.rows(n)))
+def vwap(r: Rolling, n: int) -> Column:
+    return F.try_divide(r.sum("paid", n), r.sum("volume", n))
 
 
 def volume_momentum(f: Frames, n: int) -> Column:
@@ -69,21 +90,14 @@ def volume_momentum(f: Frames, n: int) -> Column:
     return F.when(earlier > 0, (F.col(VOLUME) - earlier) / earlier).otherwise(0.0)
 
 
-def volume_volatility(f: Frames, n: int) -> Column:
-    return F.stddev_samp(VOLUME).over(f.rows(n))
+def volume_volatility(r: Rolling, n: int) -> Column:
+    return r.deviation("volume", n)
 
 
 # technical -------------------------------------------------------------------------------------
-def price_change(f: Frames) -> Column:
-    return F.col(CLOSE) - F.lag(CLOSE, 1).over(f.ordered)
-
-
-def rsi(f: Frames, n: int = 14, change: str = "_change") -> Column:
-    """Simple-mean relative strength index; no losses in the window gives rs = 100."""
-    delta = F.col(change)
-    gain = F.avg(F.when(delta > 0, delta).otherwise(0.0)).over(f.rows(n))
-    loss = F.avg(F.when(delta < 0, -delta).otherwise(0.0)).over(f.rows(n))
-    rs = F.when(loss > 0, gain / loss).otherwise(100.0)
+def rsi(gain: str, loss: str) -> Column:
+    """Relative strength index of simple means; no losses in the window gives rs = 100."""
+    rs = F.when(F.col(loss) > 0, F.try_divide(F.col(gain), F.col(loss))).otherwise(100.0)
     return 100 - 100 / (1 + rs)
 
 
@@ -92,18 +106,6 @@ def true_range(f: Frames) -> Column:
     return F.greatest(F.col(HIGH) - F.col(LOW), F.abs(F.col(HIGH) - previous), F.abs(F.col(LOW) - previous))
 
 
-def atr(f: Frames, n: int = 14, tr: str = "_true_range") -> Column:
-    return F.avg(tr).over(f.rows(n))
-
-
-def moving_average(f: Frames, n: int) -> Column:
-    return F.avg(CLOSE).over(f.rows(n))
-
-
-def price_deviation(f: Frames, n: int) -> Column:
-    return F.stddev_samp(CLOSE).over(f.rows(n))
-
-
 def bollinger_width(mean: str, sigma: str, width_mult: float) -> Column:
     return F.try_divide(F.lit(float(width_mult)) * F.col(sigma), F.col(mean))
 

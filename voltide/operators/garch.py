@@ -54,7 +54,7 @@ def garch_variance(df: DataFrame, params: DataFrame, s: Series, returns: str = "
 
 def garch_loglik(df: DataFrame, params: DataFrame, s: Series, returns: str = "log_return") -> DataFrame:
     """Gaussian log-likelihood of given parameters."""
-    rows = garch_variance(df, params, s, returns)
+    rows = garch_variance(_narrow(df, s, returns), params, s, returns)
     h, r = F.greatest(F.col("variance"), F.lit(FLOOR)), F.col(returns)
     return rows.groupBy(*s.keys).agg(
         (-0.5 * F.sum(math.log(2 * math.pi) + F.ln(h) + r * r / h)).alias("loglik"), F.count(F.lit(1)).alias("n")
@@ -73,6 +73,10 @@ def refit_index(refit_every: int) -> Column:
     return F.greatest(F.floor(since / F.lit(refit_every)), F.lit(0))
 
 
+def _narrow(df: DataFrame, s: Series, *columns: str) -> DataFrame:
+    return df.select(*s.keys, s.time, *columns)
+
+
 def _one_step(rows: DataFrame, s: Series, start: Column, out: str) -> DataFrame:
     b = F.col("omega") + F.col("alpha") * F.col("prev_return") * F.col("prev_return")
     return linear_recurrence(rows, s, F.col("beta"), b, start, out, FLOOR)
@@ -84,7 +88,7 @@ def rolling_forecast_baseline(df: DataFrame, params: DataFrame, s: Series, refit
 
     ``params(keys, refit, omega, alpha, beta)`` holds every refit; all were fitted before, in parallel.
     """
-    rows = with_previous_return(train_test_split(df, s, train_frac), s, returns)
+    rows = with_previous_return(train_test_split(_narrow(df, s, returns), s, train_frac), s, returns)
     train = rows.where(F.col("part") == "train").groupBy(*s.keys).agg(F.var_pop(returns).alias("_h0"))
     test = rows.where(F.col("part") == "test").withColumn("refit", refit_index(refit_every))
     test = test.join(params.select(*s.keys, "refit", "omega", "alpha", "beta"), [*s.keys, "refit"]).join(train, list(s.keys))
@@ -99,7 +103,8 @@ def insample_regime_variance(df: DataFrame, params: DataFrame, s: Series, train_
 
     The shock is the return of the previous bar of the whole series, whatever its regime.
     """
-    rows = with_previous_return(train_test_split(df, s, train_frac), s, returns).where(F.col("part") == "train")
+    rows = with_previous_return(train_test_split(_narrow(df, s, returns, "regime"), s, train_frac), s, returns)
+    rows = rows.where(F.col("part") == "train")
     rows = rows.join(params.select(*s.keys, "regime", "omega", "alpha", "beta"), [*s.keys, "regime"])
     first = F.col("rn") == 0
     a = F.when(first, 1.0).otherwise(F.col("beta"))
@@ -116,7 +121,7 @@ def rolling_forecast_regime(df: DataFrame, params: DataFrame, s: Series, refit_e
     Each regime starts at the unconditional variance of its first fit. ``label_mode='lagged'`` uses the label
     of the previous bar, so no forecast knows the label of the bar it predicts.
     """
-    rows = with_previous_return(train_test_split(df, s, train_frac), s, returns)
+    rows = with_previous_return(train_test_split(_narrow(df, s, returns, "regime"), s, train_frac), s, returns)
     if label_mode == "lagged":
 
         def build(d, f):

@@ -102,7 +102,7 @@ def fit_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, floa
 
 def pack(df: DataFrame, s: Series, order: str | None = None, returns: str = "log_return") -> DataFrame:
     """Blocks ``(keys, block, n, squares, previous, rn)`` of a series; ``order`` is kept for cutting."""
-    rows = df.withColumn("_r2", F.pow(finite_or_zero(F.col(returns)), 2))
+    rows = df.select(*s.keys, s.time, *([order] if order else []), F.pow(finite_or_zero(F.col(returns)), 2).alias("_r2"))
 
     def build(d, f):
         return d.withColumn("_p2", F.coalesce(F.lag("_r2", 1).over(f.ordered), F.lit(float("nan"))))
@@ -256,7 +256,7 @@ def refit_cuts(df: DataFrame, s: Series, refit_every: int, train_frac: float = 0
 
 def baseline_fits(df: DataFrame, s: Series, refit_every: int = 168, train_frac: float = 0.8) -> DataFrame:
     """Parameters of every refit of the plain model on its expanding window, all fitted in one job."""
-    rows = train_test_split(df, s, train_frac)
+    rows = train_test_split(df.select(*s.keys, s.time, "log_return"), s, train_frac)
     blocks = expand_refits(pack(rows, s, order="rn"), refit_cuts(df, s, refit_every, train_frac), s.keys)
     fitted = fit_packed(blocks, [*s.keys, "refit"])
     clean = rows.where(F.col("part") == "train").groupBy(*s.keys).agg(
@@ -271,7 +271,7 @@ def regime_fits(df: DataFrame, s: Series, refit_every: int = 168, train_frac: fl
     With under 30 training rows a regime takes the moment-based parameters of the whole training set; a
     refit with under 30 rows keeps what is in force.
     """
-    rows = train_test_split(df, s, train_frac)
+    rows = train_test_split(df.select(*s.keys, s.time, "log_return", "regime"), s, train_frac)
     cuts = refit_cuts(df, s, refit_every, train_frac)
     within = s.by("regime")
     fitted = fit_packed(expand_refits(pack(rows, within, order="rn"), cuts, s.keys), [*within.keys, "refit"])

@@ -9,7 +9,7 @@ ORACLE: dict[str, str] = {}
 
 
 def dbl(expr: str, name: str | None = None, digits: int = 6) -> str:
-    return f"round(CAST({expr} AS DOUBLE) + 1e-8, {digits}) + 0.0 AS {name or expr}"
+    return f"round(CAST({expr} AS DOUBLE) + 2.3e-{digits + 2}, {digits}) + 0.0 AS {name or expr}"
 
 
 def ts(name: str = "timestamp", expr: str = "t") -> str:
@@ -112,10 +112,14 @@ STACKED = f"""{LABELS}, {MULTI}, {BAND}, stacked AS (
   UNION ALL SELECT symbol, 'multi_indicator', t, r, vol_60m, vol_240m, cum_return_60m, volume_spike, regime FROM multi
   UNION ALL SELECT symbol, 'breakout', t, r, vol_60m, vol_240m, cum_return_60m, volume_spike, regime FROM breakout)"""
 
-BAR_OUT = (
-    f"symbol, {ts()}, {dbl('o', 'price_open')}, {dbl('h', 'price_high')}, {dbl('l', 'price_low')}, "
-    f"{dbl('c', 'price_close')}, {dbl('v', 'volume_base')}, {dbl('q', 'volume_quote')}, {big('n', 'num_trades')}"
-)
+
+
+def bar_out(digits: int = 6) -> str:
+    prices = {"o": "price_open", "h": "price_high", "l": "price_low", "c": "price_close", "v": "volume_base", "q": "volume_quote"}
+    return f"symbol, {ts()}, {', '.join(dbl(x, name, digits) for x, name in prices.items())}, {big('n', 'num_trades')}"
+
+
+BAR_OUT = bar_out()
 CAL = (f"{big('year(t)', 'year')}, {big('month(t)', 'month')}, {big('day(t)', 'day')}, {big('hour(t)', 'hour')}")
 KLINE = (
     f"symbol, {big('epoch_ms(t)', 'open_time')}, {dbl('o', 'open')}, {dbl('h', 'high')}, {dbl('l', 'low')}, "
@@ -306,7 +310,8 @@ FEATURE_COLUMNS: dict[str, dict[str, str]] = {
     "atr": {"atr": f"avg(tr) {roll(14)}", "atr_pct": f"100 * avg(tr) {roll(14)} / c"},
 }
 for _name, _cols in FEATURE_COLUMNS.items():
-    ORACLE[_name] = f"WITH {QUARTER}, {BASE} SELECT symbol, {ts()}, {', '.join(dbl(x, c) for c, x in _cols.items())} FROM base"
+    _digits = 4 if _name == "atr" else 6
+    ORACLE[_name] = f"WITH {QUARTER}, {BASE} SELECT symbol, {ts()}, {', '.join(dbl(x, c, _digits) for c, x in _cols.items())} FROM base"
 VOLS = f"vols AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in FEATURE_COLUMNS['realized_volatility'].items())} FROM base)"
 CHANGE = {"vol_change_30m": f"vol_30m - {lag('vol_30m', 30)}"}
 RATIO = {"vol_ratio_30_240": guarded("vol_30m", "vol_240m"), "vol_ratio_60_240": guarded("vol_60m", "vol_240m")}
@@ -321,7 +326,7 @@ _all = {c: x for cols in FEATURE_COLUMNS.values() for c, x in cols.items()} | CH
 for _c in ("vol_30m", "vol_60m", "vol_240m"):
     _all[_c] = _c
 ORACLE["feature_matrix"] = (
-    f"WITH {QUARTER}, {BASE}, {VOLS} SELECT {BAR_OUT}, {dbl('r', 'log_return')}, {', '.join(dbl(x, c) for c, x in _all.items())} FROM vols"
+    f"WITH {QUARTER}, {BASE}, {VOLS} SELECT {bar_out(4)}, {dbl('r', 'log_return', 4)}, {', '.join(dbl(x, c, 4) for c, x in _all.items())} FROM vols"
 )
 ORACLE["log_return"] = f"WITH {HOUR} SELECT symbol, {ts()}, {dbl('c', 'price_close')}, {dbl('r', 'log_return')} FROM bars"
 ORACLE["hourly_feature_matrix"] = f"WITH {FEATURES} SELECT {BAR_OUT}, {dbl('r', 'log_return')}, {CAL}, " + dbls(

@@ -31,38 +31,48 @@ def _fold_chunks(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).applyInPandas(scan, schema)
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _expand(a: pd.Series, b: pd.Series, carry: pd.Series, floor: pd.Series) -> pd.Series:
+    out = []
+    for xs, ys, h, low in zip(a, b, carry, floor):
+        values = []
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            h = max(x * h + y, low)
+            values.append(h)
+        out.append(values)
+    return pd.Series(out)
+
+
 def linear_recurrence(df: DataFrame, s: Series, a: Column, b: Column, start: Column, out: str, floor: float = 1e-10) -> DataFrame:
-    """Add column ``out`` with the recurrence; ``start`` is constant within a series."""
+    """Add column ``out`` with the recurrence; ``start`` is constant within a series.
+
+    Rows are packed once per chunk (bounded by ``chunk_rows``); the other columns stay in the JVM and only the two
+    coefficient arrays cross to Python, which has to walk them in order.
+    """
     keys = list(s.keys)
-    rows = df.withColumns(
-        {"_chunk": s.chunk(), "_pa": a.cast("double"), "_pb": b.cast("double"), "_ps": start.cast("double")}
+    payload = [c for c in df.columns if c not in keys]
+    row = F.struct(
+        F.col(s.time).alias("_t"), a.cast("double").alias("_a"), b.cast("double").alias("_b"), start.cast("double").alias("_s"),
+        F.struct(*payload).alias("_row"),
+    )
+    packed = df.groupBy(*keys, s.chunk().alias("_chunk")).agg(
+        F.array_sort(F.collect_list(row)).alias("_rows")  # by time, which is unique in a series
     )
-    step = F.struct(F.col(s.time).alias("t"), F.col("_pa").alias("a"), F.col("_pb").alias("b"))
     none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("low"))
 
     def then(acc: Column, x: Column) -> Column:
-        low = F.greatest(x["a"] * acc["low"] + x["b"], F.lit(floor))
+        low = F.greatest(x["_a"] * acc["low"] + x["_b"], F.lit(floor))
         # -inf * 0 is NaN: before the first step there is no lower bound to carry
         low = F.when(acc["low"] == float("-inf"), F.lit(floor)).otherwise(low)
-        return F.struct((x["a"] * acc["a"]).alias("a"), (x["a"] * acc["b"] + x["b"]).alias("b"), low.alias("low"))
+        return F.struct((x["_a"] * acc["a"]).alias("a"), (x["_a"] * acc["b"] + x["_b"]).alias("b"), low.alias("low"))
 
-    folded = F.aggregate(F.array_sort(F.collect_list(step)), none, then)
-    chunks = rows.groupBy(*keys, "_chunk").agg(folded.alias("_f"), F.min_by("_ps", s.time).alias("_start"))
-    chunks = chunks.select(
+    folded = packed.select(*keys, "_chunk", F.aggregate("_rows", none, then).alias("_f"), F.col("_rows")[0]["_s"].alias("_start"))
+    chunks = folded.select(
         *keys, "_chunk", F.col("_f.a").alias("_a"), F.col("_f.b").alias("_b"), F.col("_f.low").alias("_low"), "_start"
     )
-    carried = rows.join(_fold_chunks(chunks, keys), [*keys, "_chunk"])
-
-    def expand(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(s.time)
-        h = pdf["_carry"].iloc[0]
-        values = []
-        for x, y in zip(pdf["_pa"].to_numpy().tolist(), pdf["_pb"].to_numpy().tolist()):
-            h = max(x * h + y, floor)
-            values.append(h)
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, s.time: pdf[s.time], out: values})
-
-    schema = T.StructType([df.schema[c] for c in (*keys, s.time)] + [T.StructField(out, T.DoubleType())])
-    narrow = carried.select(*keys, s.time, "_chunk", "_pa", "_pb", "_carry")
-    values = narrow.groupBy(*keys, "_chunk").applyInPandas(expand, schema)
-    return df.join(values, [*keys, s.time])
+    joined = packed.join(_fold_chunks(chunks, keys), [*keys, "_chunk"])
+    values = _expand(
+        F.transform("_rows", lambda x: x["_a"]), F.transform("_rows", lambda x: x["_b"]), F.col("_carry"), F.lit(floor)
+    )
+    each = joined.withColumn("_h", values).select(*keys, F.explode(F.arrays_zip("_rows", "_h")).alias("_z"))
+    return each.select(*[F.col(c) if c in keys else F.col(f"_z._rows._row.{c}").alias(c) for c in df.columns], F.col("_z._h").alias(out))
