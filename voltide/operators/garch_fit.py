@@ -84,14 +84,14 @@ def next_centers(theta: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.n
     return np.column_stack([np.log(picked[:, 0]), picked[:, 1:]]), boxes[np.arange(len(STARTS)), best]
 
 
-def fit_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float, float, float]:
+def fit_blocks(blocks: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> tuple[float, float, float, float]:
     """Whole search for one series of bounded length: (omega, alpha, beta, log-likelihood)."""
     squares = np.concatenate([b[0] for b in blocks])
     previous = np.concatenate([b[1] for b in blocks])
     returns_mean2 = squares.mean()
     centers = start_centers(float(returns_mean2))
     score = None
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         theta = candidates(centers, turn)
         total, _ = block_score(squares, previous, theta, entering(theta))
         centers, score = next_centers(theta, total)
@@ -133,20 +133,24 @@ def _fields(df: DataFrame, names: Sequence[str], *more: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in names] + [T.StructField(c, kinds.get(c, T.DoubleType())) for c in more])
 
 
-def _fit_local(blocks: DataFrame, groups: list[str]) -> DataFrame:
+def _fit_local(blocks: DataFrame, groups: list[str], rounds: int) -> DataFrame:
+    """A fit is long and its input short, so the partitions are fixed and not merged by size."""
+
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
         n = int(pdf["n"].sum())
         if n < MIN_ROWS:
             theta = (None, None, None, None)
         else:
-            theta = fit_blocks([(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["squares"], pdf["previous"])])
+            theta = fit_blocks([(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["squares"], pdf["previous"])], rounds)
         return pd.DataFrame([[*key, n, *theta]], columns=[*groups, "n", "omega", "alpha", "beta", "loglik"])
 
-    return blocks.groupBy(*groups).applyInPandas(fit, _fields(blocks, groups, "n", "omega", "alpha", "beta", "loglik"))
+    partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = blocks.repartition(partitions, *groups)
+    return spread.groupBy(*groups).applyInPandas(fit, _fields(blocks, groups, "n", "omega", "alpha", "beta", "loglik"))
 
 
-def _fit_distributed(blocks: DataFrame, groups: list[str]) -> DataFrame:
+def _fit_distributed(blocks: DataFrame, groups: list[str], rounds: int) -> DataFrame:
     """Search rounds as jobs over all blocks. Only box centers (9 numbers per series) pass through the driver."""
     spark = blocks.sparkSession
     blocks = materialise(blocks.select(*groups, "block", "n", "squares", "previous"), "blocks")
@@ -162,7 +166,7 @@ def _fit_distributed(blocks: DataFrame, groups: list[str]) -> DataFrame:
     carry_schema = T.StructType([*key_fields, blocks.schema["block"], T.StructField("carry", vector)])
     score_schema = T.StructType([*key_fields, T.StructField("score", vector)])
     best: dict[tuple, np.ndarray] = {}
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         state = spark.createDataFrame([(*k, c.ravel().tolist()) for k, c in centers.items()], state_schema)
         # known size: about 200 bytes per series; a plain join beyond the limit
         work = blocks.join(F.broadcast(state) if len(centers) * 200 <= BROADCAST_BYTES else state, groups)
@@ -217,17 +221,17 @@ def _fit_distributed(blocks: DataFrame, groups: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, _fields(blocks, groups, "n", "omega", "alpha", "beta", "loglik"))
 
 
-def fit_packed(blocks: DataFrame, groups: Sequence[str], local_rows: int = LOCAL_ROWS) -> DataFrame:
+def fit_packed(blocks: DataFrame, groups: Sequence[str], local_rows: int = LOCAL_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """``(groups, n, omega, alpha, beta, loglik)``; NULL parameters where there are under 30 rows."""
     groups = list(groups)
     sizes = blocks.groupBy(*groups).agg(F.sum("n").alias("_rows"))
     longest = sizes.agg(F.max("_rows")).first()[0] or 0
     if longest <= local_rows:
-        return _fit_local(blocks, groups)
+        return _fit_local(blocks, groups, rounds)
     sized = blocks.join(sizes, groups)
     short = sized.where(F.col("_rows") <= local_rows).drop("_rows")
     long = sized.where(F.col("_rows") > local_rows).drop("_rows")
-    return _fit_local(short, groups).unionByName(_fit_distributed(long, groups))
+    return _fit_local(short, groups, rounds).unionByName(_fit_distributed(long, groups, rounds))
 
 
 def _with_fallback(params: DataFrame, sigma2: Column) -> DataFrame:
@@ -238,9 +242,9 @@ def _with_fallback(params: DataFrame, sigma2: Column) -> DataFrame:
     )
 
 
-def garch_fit(df: DataFrame, s: Series, returns: str = "log_return", local_rows: int = LOCAL_ROWS) -> DataFrame:
+def garch_fit(df: DataFrame, s: Series, returns: str = "log_return", local_rows: int = LOCAL_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One fit per series; under 30 rows the moment-based parameters."""
-    fitted = fit_packed(pack(df, s, returns=returns), s.keys, local_rows)
+    fitted = fit_packed(pack(df, s, returns=returns), s.keys, local_rows, rounds)
     clean = df.withColumn("_r", finite_or_zero(F.col(returns)))
     spread = clean.groupBy(*s.keys).agg(F.when(F.count("_r") > 1, F.var_pop("_r")).otherwise(1e-6).alias("_s2"))
     return _with_fallback(fitted.join(spread, list(s.keys)), F.col("_s2")).drop("_s2")
