@@ -8,14 +8,17 @@ values decide exactly whether a window is constant or all zero, where a differen
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltide.plans.series import Frames
 
 
 class Rolling:
-    """Tracked values of one chunk layout; call ``track``, then ``prepare``, then use the window columns."""
+    """Tracked values of one chunk layout; call ``track``, then ``prepare``, then use the window columns.
+
+    The formulas are SQL text: a matrix has hundreds of terms, and as text each column is one call to the JVM.
+    """
 
     def __init__(self, frames: Frames):
         self.f = frames
@@ -30,70 +33,69 @@ class Rolling:
             self.centred.add(name)
         return self
 
-    def _x(self, name: str) -> Column:
-        return F.col(f"_x_{name}")
+    def _over(self, call: str, end: str = "CURRENT ROW") -> Column:
+        return F.expr(f"{call} OVER ({self.f.sql} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})")
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        running = self.f.running
-        earlier = self.f.ordered.rowsBetween(Window.unboundedPreceding, -1)
         df = df.withColumns({f"_x_{n}": v.cast("double") for n, v in self.values.items()})
-        base = {f"_0_{n}": F.first(self._x(n), ignorenulls=True).over(running) for n in self.centred}
-        base |= {f"_b_{n}": F.last(self._x(n), ignorenulls=True).over(earlier) for n, p in self.powers.items() if p > 1}
+        base = {f"_0_{n}": self._over(f"first(_x_{n}, true)") for n in self.centred}
+        base |= {f"_b_{n}": self._over(f"last(_x_{n}, true)", "1 PRECEDING") for n, p in self.powers.items() if p > 1}
         if base:
             df = df.withColumns(base)
         sums: dict[str, Column] = {}
         for n, power in self.powers.items():
-            x = self._x(n)
-            d = x - F.col(f"_0_{n}") if n in self.centred else x
-            sums[f"_n_{n}"] = F.count(x).over(running)
-            sums[f"_z_{n}"] = F.sum((x != 0).cast("long")).over(running)
-            term = d
+            sums[f"_n_{n}"] = self._over(f"count(_x_{n})")
+            sums[f"_z_{n}"] = self._over(f"sum(CAST(_x_{n} != 0 AS BIGINT))")
+            d = f"(_x_{n} - _0_{n})" if n in self.centred else f"_x_{n}"
             for k in range(1, power + 1):
-                sums[f"_s{k}_{n}"] = F.sum(term).over(running)
-                term = term * d
+                sums[f"_s{k}_{n}"] = self._over(f"sum({' * '.join([d] * k)})")
             if power > 1:
-                sums[f"_c_{n}"] = F.sum((x != F.col(f"_b_{n}")).cast("long")).over(running)
+                sums[f"_c_{n}"] = self._over(f"sum(CAST(_x_{n} != _b_{n} AS BIGINT))")
         return df.withColumns(sums)
 
     def drop(self, df: DataFrame) -> DataFrame:
         kinds = ("x", "0", "b", "n", "z", "s1", "s2", "s3", "c")
         return df.drop(*[f"_{kind}_{n}" for kind in kinds for n in self.values])
 
-    def _window(self, column: str, rows: int) -> Column:
+    def _window(self, column: str, rows: int) -> str:
         """Sum over the last ``rows`` rows of what ``column`` has summed up."""
-        now, then = F.coalesce(F.col(column), F.lit(0)), F.lag(column, rows).over(self.f.ordered)
-        return now - F.coalesce(then, F.lit(0))
+        return f"(coalesce({column}, 0) - coalesce(lag({column}, {rows}) OVER ({self.f.sql}), 0))"
 
-    def count(self, name: str, rows: int) -> Column:
+    def _count(self, name: str, rows: int) -> str:
         return self._window(f"_n_{name}", rows)
 
-    def _mean(self, name: str, rows: int) -> Column:
-        mean = F.try_divide(self._window(f"_s1_{name}", rows), self.count(name, rows))
-        return mean + F.col(f"_0_{name}") if name in self.centred else mean
+    def _mean(self, name: str, rows: int) -> str:
+        n = self._count(name, rows)
+        mean = f"try_divide({self._window(f'_s1_{name}', rows)}, {n})"
+        if name in self.centred:
+            mean = f"({mean} + _0_{name})"
+        return f"CASE WHEN {n} > 0 THEN CASE WHEN {self._window(f'_z_{name}', rows)} = 0 THEN 0.0D ELSE {mean} END END"
 
     def mean(self, name: str, rows: int) -> Column:
-        some = F.when(self.count(name, rows) > 0, 0.0)
-        return F.when(self._window(f"_z_{name}", rows) == 0, some).otherwise(self._mean(name, rows))
+        return F.expr(self._mean(name, rows))
 
     def sum(self, name: str, rows: int) -> Column:
-        return self.mean(name, rows) * self.count(name, rows)
+        return F.expr(f"({self._mean(name, rows)}) * {self._count(name, rows)}")
 
-    def _constant(self, name: str, rows: int) -> Column:
-        return self._window(f"_c_{name}", rows - 1) == 0
+    def _constant(self, name: str, rows: int) -> str:
+        return f"{self._window(f'_c_{name}', rows - 1)} = 0"
 
     def deviation(self, name: str, rows: int) -> Column:
         """Sample standard deviation, NULL for a single value."""
-        n = self.count(name, rows)
+        n = self._count(name, rows)
         s1, s2 = self._window(f"_s1_{name}", rows), self._window(f"_s2_{name}", rows)
-        variance = F.try_divide(s2 - F.try_divide(s1 * s1, n), n - 1)
-        value = F.when(self._constant(name, rows), 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
-        return F.when(n > 1, value)
+        variance = f"try_divide({s2} - try_divide({s1} * {s1}, {n}), {n} - 1)"
+        return F.expr(
+            f"CASE WHEN {n} > 1 THEN CASE WHEN {self._constant(name, rows)} THEN 0.0D ELSE sqrt(greatest({variance}, 0.0D)) END END"
+        )
 
     def skewness(self, name: str, rows: int) -> Column:
         """Population skewness, NULL without variation."""
-        n = self.count(name, rows)
-        m1, m2, m3 = (F.try_divide(self._window(f"_s{k}_{name}", rows), n) for k in (1, 2, 3))
-        variance = m2 - m1 * m1
-        third = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
-        varies = (n > 1) & ~self._constant(name, rows) & (variance > 0)
-        return F.when(varies, F.try_divide(third, F.pow(variance, F.lit(1.5))))
+        n = self._count(name, rows)
+        m1, m2, m3 = (f"try_divide({self._window(f'_s{k}_{name}', rows)}, {n})" for k in (1, 2, 3))
+        variance = f"({m2} - {m1} * {m1})"
+        third = f"({m3} - 3 * {m1} * {m2} + 2 * {m1} * {m1} * {m1})"
+        return F.expr(
+            f"CASE WHEN {n} > 1 AND NOT {self._constant(name, rows)} AND {variance} > 0 "
+            f"THEN try_divide({third}, power({variance}, 1.5D)) END"
+        )

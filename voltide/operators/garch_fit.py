@@ -153,7 +153,7 @@ def _fit_local(blocks: DataFrame, groups: list[str], rounds: int) -> DataFrame:
 def _fit_distributed(blocks: DataFrame, groups: list[str], rounds: int) -> DataFrame:
     """Search rounds as jobs over all blocks. Only box centers (9 numbers per series) pass through the driver."""
     spark = blocks.sparkSession
-    blocks = materialise(blocks.select(*groups, "block", "n", "squares", "previous"), "blocks")
+    blocks = blocks.select(*groups, "block", "n", "squares", "previous")
     sizes = blocks.groupBy(*groups).agg(
         F.sum("n").alias("n"), F.sum(F.aggregate("squares", F.lit(0.0), lambda a, b: a + b)).alias("total")
     ).collect()
@@ -244,7 +244,7 @@ def _with_fallback(params: DataFrame, sigma2: Column) -> DataFrame:
 
 def garch_fit(df: DataFrame, s: Series, returns: str = "log_return", local_rows: int = LOCAL_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One fit per series; under 30 rows the moment-based parameters."""
-    fitted = fit_packed(pack(df, s, returns=returns), s.keys, local_rows, rounds)
+    fitted = fit_packed(materialise(pack(df, s, returns=returns), "packed"), s.keys, local_rows, rounds)
     clean = df.withColumn("_r", finite_or_zero(F.col(returns)))
     spread = clean.groupBy(*s.keys).agg(F.when(F.count("_r") > 1, F.var_pop("_r")).otherwise(1e-6).alias("_s2"))
     return _with_fallback(fitted.join(spread, list(s.keys)), F.col("_s2")).drop("_s2")
@@ -261,7 +261,8 @@ def refit_cuts(df: DataFrame, s: Series, refit_every: int, train_frac: float = 0
 def baseline_fits(df: DataFrame, s: Series, refit_every: int = 168, train_frac: float = 0.8) -> DataFrame:
     """Parameters of every refit of the plain model on its expanding window, all fitted in one job."""
     rows = train_test_split(df.select(*s.keys, s.time, "log_return"), s, train_frac)
-    blocks = expand_refits(pack(rows, s, order="rn"), refit_cuts(df, s, refit_every, train_frac), s.keys)
+    packed = materialise(pack(rows, s, order="rn"), "packed")
+    blocks = expand_refits(packed, refit_cuts(df, s, refit_every, train_frac), s.keys)
     fitted = fit_packed(blocks, [*s.keys, "refit"])
     clean = rows.where(F.col("part") == "train").groupBy(*s.keys).agg(
         F.var_pop(finite_or_zero(F.col("log_return"))).alias("_s2")
@@ -278,7 +279,8 @@ def regime_fits(df: DataFrame, s: Series, refit_every: int = 168, train_frac: fl
     rows = train_test_split(df.select(*s.keys, s.time, "log_return", "regime"), s, train_frac)
     cuts = refit_cuts(df, s, refit_every, train_frac)
     within = s.by("regime")
-    fitted = fit_packed(expand_refits(pack(rows, within, order="rn"), cuts, s.keys), [*within.keys, "refit"])
+    packed = materialise(pack(rows, within, order="rn"), "packed")
+    fitted = fit_packed(expand_refits(packed, cuts, s.keys), [*within.keys, "refit"])
     spread = rows.where(F.col("part") == "train").groupBy(*s.keys).agg(
         F.var_pop(finite_or_zero(F.col("log_return"))).alias("_s2")
     )

@@ -44,9 +44,10 @@ class Series:
 
 @dataclass(frozen=True)
 class Frames:
-    """Window specs inside a chunk."""
+    """Window specs inside a chunk, and the same window as SQL text."""
 
     ordered: WindowSpec
+    sql: str
 
     def rows(self, n: int) -> WindowSpec:
         """The current row and the n-1 rows before it."""
@@ -111,7 +112,8 @@ def over_series(
 ) -> DataFrame:
     """Run ``build(rows, frames)`` per chunk; exact if windows reach at most ``before``/``after`` rows."""
     placed = _place(df, s, before, after)
-    frames = Frames(Window.partitionBy(*s.keys, "_chunk").orderBy(s.time))
+    parts = ", ".join(f"`{c}`" for c in (*s.keys, "_chunk"))
+    frames = Frames(Window.partitionBy(*s.keys, "_chunk").orderBy(s.time), f"PARTITION BY {parts} ORDER BY `{s.time}`")
     return build(placed, frames).where(~F.col("_halo")).drop("_chunk", "_halo")
 
 
