@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}  # application id to the folder made for it
+
 
 def get_spark(app: str = "voltide", **conf: str) -> SparkSession:
     """Session with the settings every operator assumes (UTC, AQE, Arrow)."""
@@ -25,13 +29,19 @@ def get_spark(app: str = "voltide", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) is a temporary folder made.
+    Without that setting a session on one machine gets a temporary folder of its own; on a cluster it is an error, for executors
+    would not see each other's files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="voltide-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="voltide-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
+    return _own[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
