@@ -100,9 +100,9 @@ def fair_mix(
     )
 
 
-def in_mix_order(mixed: DataFrame) -> DataFrame:
-    """Rows of ``fair_mix`` range-sorted over all partitions by their first virtual finish time; documents not taken come last."""
-    return mixed.withColumn("_finish", F.get("copies", F.lit(0))["finish"]).orderBy(F.asc_nulls_last("_finish")).drop("_finish")
+def in_mix_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``fair_mix`` range-sorted over all partitions by their first virtual finish time; documents not taken come last, by id."""
+    return mixed.withColumn("_finish", F.get("copies", F.lit(0))["finish"]).orderBy(F.asc_nulls_last("_finish"), id_col).drop("_finish")
 
 
 def first_words(text: Column, words: Column) -> Column:

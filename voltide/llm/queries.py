@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltide.llm import content_sort, fair_mix
+from voltide.llm import content_sort, fair_mix, html_density, quality_pu, rule_ledger
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(remainder: int, of: int) -> Column:
+    """True for the documents whose crc32 of the id as text leaves ``remainder``: no label of theirs is learnt."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == remainder
+
+
+def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = documents(spark, sf_dir), held_out(1, 3)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~apart)
+    model = quality_pu.fit(docs.where(~apart), labels)
+    scored = quality_pu.score(docs, model)
+    return scored.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = rule_ledger.verdicts(rule_ledger.ledger(documents(spark, sf_dir)))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = fair_mix.in_mix_order(fair_mix.fair_mix(documents(spark, sf_dir)))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -25,6 +47,9 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_pu": op3_quality_pu,
+    "op5_html_density": op5_html_density,
+    "op6_rule_ledger": op6_rule_ledger,
     "op7_fair_mix": op7_fair_mix,
     "op9_content_sort": op9_content_sort,
     "pipeline": corpus_pipeline.run,
@@ -32,6 +57,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The same results as DuckDB SQL, where SQL states them.
 ORACLE: dict[str, str] = {
+    "op6_rule_ledger": """
+        WITH d AS (
+            SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   list_filter(string_split(coalesce(text, ''), E'\\n'), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+            FROM documents),
+        t AS (SELECT doc_id, i, w[i:i + 2] AS tri FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+                  SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM t) WHERE c > 1)
+              GROUP BY doc_id),
+        m AS (
+            SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+                   len(lines) AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) AS n_upper,
+                   len(regexp_extract_all(coalesce(text, ''), '[a-z]')) AS n_lower,
+                   len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) AS n_twin_words
+            FROM d LEFT JOIN r USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 40 * n_words
+                    OR n_upper > n_lower OR 10 * n_twin_words > 3 * n_words) AS kept
+        FROM b
+    """,
     "op7_fair_mix": """
         WITH d AS (
             SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
