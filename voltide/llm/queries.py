@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltide.llm import content_sort, fair_mix, html_density, quality_pu, rule_ledger
+from voltide.llm import content_sort, fair_mix, html_density, quality_pu, rule_ledger, sentence_pieces, token_counts
+
+#: Tokenizer model, and the tokens a training sequence holds.
+PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,11 @@ def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", apart.alias("held_out"), "score", "predicted")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(PIECES), budgets=(TOKEN_LIMIT,))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.get("cuts", F.lit(0)).alias("fitting_chars"))
+
+
 def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,12 +55,18 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_classes(documents(spark, sf_dir))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_pu": op3_quality_pu,
+    "op4_token_counts": op4_token_counts,
     "op5_html_density": op5_html_density,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_fair_mix": op7_fair_mix,
     "op9_content_sort": op9_content_sort,
+    "op10_sentence_pieces": op10_sentence_pieces,
     "pipeline": corpus_pipeline.run,
 }
 
