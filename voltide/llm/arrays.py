@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Bytes of text worked on at once. A longer text is worked on alone.
 PART_BYTES = 1 << 20
@@ -118,9 +119,9 @@ def parts(batch: pa.RecordBatch, text: str, most: int = PART_BYTES) -> Iterator[
         start = stop
 
 
-def map_texts(rows: DataFrame, text: str, schema: str, work: Callable[[pa.RecordBatch, Texts], list]) -> DataFrame:
+def map_texts(rows: DataFrame, text: str, schema: str | StructType, work: Callable[[pa.RecordBatch, Texts], list]) -> DataFrame:
     """``rows`` mapped part by part; ``work`` gives the columns of ``schema`` for a part, in order."""
-    fields = rows.sparkSession.createDataFrame([], schema).schema
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = fields.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,3 +130,51 @@ def map_texts(rows: DataFrame, text: str, schema: str, work: Callable[[pa.Record
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in work(part, texts)], names)
 
     return rows.mapInArrow(run, fields)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 4096) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``keys``: about ``most_rows`` rows or one larger group each."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < most_rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cut = int(group_starts(table, keys)[-1])  # the last group may go on in the next batch
+        if cut:
+            yield table.slice(0, cut)
+            table = table.slice(cut)
+        held, rows = table.combine_chunks().to_batches(), 0
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        if len(table):
+            yield table
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a new combination of ``keys`` begins, in a sorted table."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        if len(table) > 1:
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(table) - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For n nodes with edges (a, b), the smallest node connected with each."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (jumped := new[new]).tobytes() != new.tobytes():
+            new = jumped
+        new = new[label]
+        if (new == label).all():
+            return label
+        label = new

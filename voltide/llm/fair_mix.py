@@ -72,20 +72,15 @@ def fair_mix(
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("_size"),
         shuffle_key(F.col(id_col), F.col(text_col), seed).alias("_key"), *([F.struct("*").alias("_row")] if carry else []),
-    ).withColumn("_run", F.floor(F.col("_key") / F.lit(2.0**60) * runs))
-    per_run = rows.groupBy("source", "_run").agg(F.sum("_size").alias("_words"))
-    earlier = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_run.withColumn("_before", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
+    ).withColumn("_run", F.floor(F.col("_key") / F.lit(2.0**60) * runs)).withColumn("_of", _source_key())
+    per_run = rows.groupBy("source", "_of", "_run").agg(F.sum("_size").alias("_words"))
+    earlier = Window.partitionBy("_of").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_run.select("_of", "_run", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
     targets = source_targets(per_run.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, most)
-    placed = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
-        F.col("a.source").alias("_of"), F.col("a._run").alias("_at"), "_before", "source_size", "target"
-    )
-    inside = Window.partitionBy("source", "_run").orderBy("_key", F.asc_nulls_last("_id"), "_size").rowsBetween(Window.unboundedPreceding, 0)
-    sent = (
-        rows.withColumn("_inside", F.sum("_size").over(inside))
-        .join(placed, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_run") == F.col("_at")))
-        .withColumn("_sent", F.col("_before") + F.col("_inside") - F.col("_size"))
-    )
+    placed = starts.join(targets.withColumn("_of", _source_key()).drop("source"), "_of")
+    # Joined first: join and window share one shuffle of the rows.
+    inside = Window.partitionBy("_of", "_run").orderBy("_key", F.asc_nulls_last("_id"), "_size").rowsBetween(Window.unboundedPreceding, 0)
+    sent = rows.join(placed, ["_of", "_run"]).withColumn("_sent", F.col("_before") + F.sum("_size").over(inside) - F.col("_size"))
 
     def copy(k: int) -> Column:
         start = F.col("_sent") + F.lit(k) * F.col("source_size")
@@ -100,6 +95,11 @@ def fair_mix(
     )
 
 
+def _source_key() -> Column:
+    """The source as a join key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
 def in_mix_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``fair_mix`` range-sorted over all partitions by their first virtual finish time; documents not taken come last, by id."""
     return mixed.withColumn("_finish", F.get("copies", F.lit(0))["finish"]).orderBy(F.asc_nulls_last("_finish"), id_col).drop("_finish")

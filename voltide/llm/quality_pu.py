@@ -7,14 +7,17 @@ flexible model overfits, so its negative part is held at zero or above (non-nega
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voltide.llm import measures
-from voltide.llm.arrays import map_texts
+from voltide.llm.arrays import Texts, map_texts, parts
 
 #: Most documents of either kind that a fit reads, chosen by a hash of the id.
 FIT_ROWS = 10_000
@@ -117,7 +120,7 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("_of"), F.col("_mark")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.when(F.col("_mark") == 1, F.lit(fit_rows / counts.good)).otherwise(F.lit(fit_rows / counts.rest))
     chosen = ids.where((F.col("_mark").isNull() | (F.col("_mark") == 1)) & (draw < share)).dropDuplicates(["_of"])
-    sample = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_of")), "inner").select(docs[id_col], docs[text_col], "_mark")
+    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_of")).select(docs[id_col], docs[text_col], "_mark")
     rows = sample.select(F.col("_mark").isNotNull().cast("int").alias("_id"), F.col(text_col).alias("_text"))
     got = _measured(rows, "_id", "_text").toPandas()
     x, good = np.array(got["x"].tolist()), got["_id"].to_numpy() == 1
@@ -134,10 +137,24 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"_id {dict(docs.dtypes)[id_col]}, score double"
+    scored = map_texts(rows, "_text", schema, lambda part, texts: [part.column(0), _scores(model, texts)])
+    return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
-    def work(part, texts):
-        x = (features(measures.measured(texts)) - model.mean) / model.scale
-        return [part.column(0), _sigmoid(_forward(x, *model.layers)[1])]
 
-    scored = map_texts(rows, "_text", schema, work)
-    return scored.select(F.col("_id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def _scores(model: Model, texts: Texts) -> np.ndarray:
+    return _sigmoid(_forward((features(measures.measured(texts)) - model.mean) / model.scale, *model.layers)[1])
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is 0.5 or more, with their own columns."""
+    rows = docs.select(F.struct("*").alias("row"))
+    fields = StructType([*rows.schema, StructField("score", DoubleType())])
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).flatten()[at]], ["row", "text"])
+            for part, texts in parts(whole, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(model, texts))], fields.names)
+
+    return rows.mapInArrow(run, fields).where("score >= 0.5").select("row.*")

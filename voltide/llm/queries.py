@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltide.llm import content_sort, fair_mix, html_density, quality_pu, rule_ledger, sentence_pieces, token_counts
+from voltide.llm import content_sort, fair_mix, html_density, jaccard_join, quality_pu, rule_ledger, sentence_pieces, token_counts
 
 #: Tokenizer model, and the tokens a training sequence holds.
 PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -21,7 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out(remainder: int, of: int) -> Column:
     """True for the documents whose crc32 of the id as text leaves ``remainder``: no label of theirs is learnt."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == remainder
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == remainder, F.lit(False))
 
 
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_classes(documents(spark, sf_dir))
+
+
 def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_classes(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_density": op5_html_density,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_fair_mix": op7_fair_mix,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_content_sort": op9_content_sort,
     "op10_sentence_pieces": op10_sentence_pieces,
     "pipeline": corpus_pipeline.run,

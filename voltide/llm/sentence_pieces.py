@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voltide.llm.arrays import PART_BYTES, Texts, parts
 from voltide.llm.pieces import SPACE_MARK, Pieces, Ragged, distinct, gathered, load, marked, read_model, units
@@ -193,7 +194,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     model = read_model(model_path)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids array<int>"
-    fields = docs.sparkSession.createDataFrame([], schema).schema
+    fields = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +214,7 @@ def decode(encoded_docs: DataFrame, model_path: str, id_col: str = "doc_id", ids
     """
     model = read_model(model_path)
     rows = encoded_docs.select(F.col(id_col).alias("_id"), F.col(ids_col).alias("_ids"))
-    fields = encoded_docs.sparkSession.createDataFrame([], f"_id {dict(encoded_docs.dtypes)[id_col]}, text string").schema
+    fields = StructType.fromDDL(f"_id {dict(encoded_docs.dtypes)[id_col]}, text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spelt = load(model).bytes_of

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voltide.llm.arrays import PART_BYTES, Texts, parts
 from voltide.llm.pieces import SPACE_MARK, Pieces, Ragged, distinct, gathered, load, marked, read_model, units
@@ -87,7 +88,7 @@ def token_counts(
     model = read_model(model_path)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"_id {dict(docs.dtypes)[id_col]}, n_bytes long, n_tokens long, cuts array<long>" + ", prefixes array<int>" * table
-    fields = docs.sparkSession.createDataFrame([], schema).schema
+    fields = StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
