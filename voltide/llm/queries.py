@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltide.llm import content_sort, fair_mix, html_density, jaccard_join, quality_pu, rule_ledger, sentence_pieces, token_counts
+from voltide.llm import content_sort, fair_mix, html_density, jaccard_join, language_id, quality_pu, rule_ledger, sentence_pieces, token_counts, warc_fixity
 
 #: Tokenizer model, and the tokens a training sequence holds.
 PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -24,6 +24,29 @@ def held_out(remainder: int, of: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of)) == remainder, F.lit(False))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, apart = documents(spark, sf_dir), held_out(2, 4)
+    found = language_id.identify(docs, language_id.fit(docs.where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of the page archives in which every 97th page has a byte changed, another is cut short and another lost."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    index = warc_fixity.archived(pages)
+    kind = F.pmod("page_id", F.lit(97))
+    stored = pages.where(kind != 17).withColumn(
+        "html", F.when(kind == 5, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 2))).when(kind == 11, F.substring("html", 1, 100)).otherwise(F.col("html"))
+    )
+    # The replica is read at the offsets of the index, as an audit of stored files does.
+    again = warc_fixity.archived(stored).select("id", F.col("digest").alias("read"))
+    replica = index.join(again, "id").select("archive", "offset", "length", "id", F.col("read").alias("digest"))
+    wrong = warc_fixity.audit(index, replica).select("archive", "offset", "found", "status")
+    return index.join(wrong, ["archive", "offset"], "left").select(
+        F.col("id").alias("page_id"), "archive", F.col("offset").alias("record_offset"), "length", "digest", "found", F.coalesce("status", F.lit("intact")).alias("status")
+    )
+
+
 def op3_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, apart = documents(spark, sf_dir), held_out(1, 3)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~apart)
@@ -64,6 +87,8 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_quality_pu": op3_quality_pu,
     "op4_token_counts": op4_token_counts,
     "op5_html_density": op5_html_density,
@@ -77,6 +102,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The same results as DuckDB SQL, where SQL states them.
 ORACLE: dict[str, str] = {
+    "op2_warc_fixity": """
+        WITH p AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, page_id % 97 AS kind,
+                   CASE page_id % 97 WHEN 5 THEN '#' || substr(coalesce(html, ''), 2) WHEN 11 THEN substr(coalesce(html, ''), 1, 100)
+                                     ELSE coalesce(html, '') END AS stored
+            FROM pages),
+        r AS (
+            SELECT page_id, kind,
+                   E'WARC/1.0\\r\\nWARC-Type: response\\r\\nWARC-Record-ID: <urn:page:' || page_id || E'>\\r\\nWARC-Target-URI: ' || url
+                   || E'\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || strlen(html) || E'\\r\\n\\r\\n' || html || E'\\r\\n\\r\\n' AS record,
+                   E'WARC/1.0\\r\\nWARC-Type: response\\r\\nWARC-Record-ID: <urn:page:' || page_id || E'>\\r\\nWARC-Target-URI: ' || url
+                   || E'\\r\\nContent-Type: text/html\\r\\nContent-Length: ' || strlen(stored) || E'\\r\\n\\r\\n' || stored || E'\\r\\n\\r\\n' AS again
+            FROM p),
+        d AS (SELECT page_id, kind, (page_id // 1000)::VARCHAR AS archive, strlen(record) AS length, sha256(record) AS digest,
+                     CASE WHEN kind <> 17 THEN sha256(again) END AS read FROM r)
+        SELECT page_id, archive, (sum(length) OVER (PARTITION BY archive ORDER BY page_id) - length)::BIGINT AS record_offset, length, digest,
+               CASE WHEN read <> digest THEN read END AS found,
+               CASE WHEN read IS NULL THEN 'missing' WHEN read <> digest THEN 'altered' ELSE 'intact' END AS status
+        FROM d
+    """,
     "op6_rule_ledger": """
         WITH d AS (
             SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
