@@ -114,7 +114,7 @@ class Model:
         grams, owners = windows(texts)
         size = np.bincount(owners, minlength=len(texts))
         total = np.zeros((len(texts), len(self.languages)))
-        if len(owners):
+        if len(owners) and self.languages:
             starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
             total[owners[starts]] = -np.add.reduceat(self.log_probabilities(grams), starts, axis=0, dtype=np.float64)
         return total / np.maximum(1, size)[:, None], size
