@@ -552,11 +552,11 @@ _metric("transition_frequency", lambda df: E.duration_and_change(df, HOURS).sele
 _metric("within_regime_volatility", E.within_regime_volatility)
 
 # chart tables ----------------------------------------------------------------------------------
-_metric("regime_timeline", lambda df: S.regime_timeline(df, HOURS, 200))
+_metric("regime_timeline", lambda df: S.regime_timeline(df, HOURS))
 _metric("feature_box_stats", lambda df: S.feature_box_stats(df, ["log_return", "vol_60m", "cum_return_60m", "volume_spike", "rsi"]))
 _metric("regime_heatmap", lambda df: S.regime_heatmap(S.regime_stats(df, HOURS)))
 _metric("duration_histogram", lambda df: S.duration_histogram(P.regime_spells(df, HOURS)))
-_metric("return_density", lambda df: S.return_density(df, points=100))
+_metric("return_density", lambda df: S.return_density(df))
 
 
 # volatility models -----------------------------------------------------------------------------
@@ -817,12 +817,12 @@ def _kline_files(spark: SparkSession, bars: DataFrame, path: str) -> None:
 
 
 def _drop(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write one more file for a stream to find."""
-    df.coalesce(1).write.mode("append").parquet(path)
+    """Write more files for a stream to find."""
+    df.write.mode("append").parquet(path)
 
 
 def _parquet_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
 @query("stream_ingest")
@@ -839,31 +839,26 @@ def _(spark, d):
     bars = hour_bars(spark, d)
     _kline_files(spark, bars, first)
     _kline_files(spark, bars, second)
-    table = scratch_path(spark, "deduped")
-    both = klines.read_kline_stream(spark, first, 1000).union(klines.read_kline_stream(spark, second, 1000))
-    runs.run_to_parquet(live.stream_dedup(both), table, scratch_path(spark, "cp"), state_partitions=8)
-    return spark.read.parquet(table)
+    both = klines.read_kline_stream(spark, first, 2).union(klines.read_kline_stream(spark, second, 3))
+    return live.stream_dedup(both, scratch_path(spark, "deduped"), scratch_path(spark, "cp"))
 
 
 @query("stream_bars")
 def _(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    table = scratch_path(spark, "bars")
-    bars = live.stream_bars(ticks.event_ticks(source))
-    runs.run_to_parquet(bars, table, scratch_path(spark, "cp"), state_partitions=8)
-    return spark.read.parquet(table)
+    return live.stream_bars(ticks.event_ticks(source), scratch_path(spark, "bars"), scratch_path(spark, "cp"))
 
 
 @query("stream_log_return")
 def _(spark, d):
-    bars = hour_bars(spark, d).select("symbol", "timestamp", "price_close")
+    bars = hour_bars(spark, d).select("symbol", "timestamp", "price_close", "num_trades")
     files, table = scratch_path(spark, "drop"), scratch_path(spark, "returns")
-    _drop(spark, bars.where(F.dayofmonth("timestamp") < 15), files)
     _drop(spark, bars.where(F.dayofmonth("timestamp") >= 15), files)
-    returns = live.stream_log_return(_parquet_stream(spark, files, bars.schema))
-    runs.run_to_parquet(returns, table, scratch_path(spark, "cp"), state_partitions=8)
-    return spark.read.parquet(table)
+    _drop(spark, bars.where(F.dayofmonth("timestamp") < 15), files)
+    stream = _parquet_stream(spark, files, bars.schema)
+    returns = live.stream_log_return(stream, table, scratch_path(spark, "cp"), HOURS, ("num_trades", "price_close"))
+    return returns.select("symbol", "timestamp", "price_close", "log_return")
 
 
 @query("stream_threshold_regime")
@@ -872,7 +867,8 @@ def _(spark, d):
     files, table = scratch_path(spark, "drop"), scratch_path(spark, "labels")
     narrow = rows.select("symbol", "timestamp", "vol_60m")
     _drop(spark, narrow, files)
-    stream = live.stream_threshold_regime(_parquet_stream(spark, files, narrow.schema), R.vol_quantiles(rows))
+    thresholds = materialise(R.vol_quantiles(rows), "thresholds")
+    stream = live.stream_threshold_regime(_parquet_stream(spark, files, narrow.schema), thresholds)
     runs.run_to_parquet(stream, table, scratch_path(spark, "cp"))
     return _labels_only(spark.read.parquet(table))
 

@@ -210,9 +210,9 @@ def within_regime_volatility(df: DataFrame, by: Sequence[str] = ("symbol",)) ->
 
 
 def evaluate_regimes(df: DataFrame, s: Series) -> DataFrame:
-    """All metrics of each labeling, one row per ``s.keys`` (use ``s.by("method")`` for stacked methods)."""
+    """All metrics of each labeling over all its rows, the silhouette on squared distances; one row per ``s.keys`` (use ``s.by("method")`` for stacked methods)."""
     by = list(s.keys)
-    out = silhouette_euclidean(df, by, row_key=(*by, s.time))
+    out = silhouette_squared(df, by).withColumnRenamed("silhouette_squared", "silhouette_score")
     for metric in (
         calinski_harabasz(df, by), davies_bouldin(df, by), duration_and_change(df, s), regime_balance(df, by),
         volatility_separation(df, by), within_regime_volatility(df, by),

@@ -30,11 +30,14 @@ def vol_quantiles_exact(df: DataFrame, columns: Sequence[str], by: Sequence[str]
     return spread_quantiles(exact_quantiles(df, by, columns, (0.33, 0.67)), by, names)
 
 
+def regime_of(v: Column) -> Column:
+    """0 up to q33, 1 up to q67, else (also for a NULL volatility) 2."""
+    return F.when(v <= F.col("q33"), 0).when(v <= F.col("q67"), 1).otherwise(2)
+
+
 def label_by_thresholds(df: DataFrame, thresholds: DataFrame, by: Sequence[str] = ("symbol",), value: str = "vol_60m") -> DataFrame:
     """0 up to q33, 1 up to q67, else (also for a NULL volatility) 2. Works on batch and streaming ``df``."""
-    v = F.col(value)
-    regime = F.when(v <= F.col("q33"), 0).when(v <= F.col("q67"), 1).otherwise(2)
-    out = df.join(thresholds, list(by)).withColumn("regime", regime)
+    out = df.join(thresholds, list(by)).withColumn("regime", regime_of(F.col(value)))
     return out.withColumn("regime_name", regime_name(F.col("regime"))).drop("q33", "q67")
 
 

@@ -15,7 +15,6 @@ from voltide.plans.series import Series, over_series, with_row_index
 SUMMARY_FEATURES = ("log_return", "vol_60m", "cum_return_60m", "volume_spike", "atr_pct")
 DISPLAY_NAMES = ("Low Vol", "Medium Vol", "High Vol")
 AUTOCORRELATION_LAGS = (1, 2, 24)
-MIN_ROWS = 10
 # statistics shown in the heat map (fixed values)
 HEATMAP_STATS = ("return_mean", "return_std", "return_skew", "return_kurtosis", "vol_mean", "vol_of_vol", "rsi_mean",
                  "atr_mean", "bb_width_mean", "vol_spike_mean", "autocorr_lag1", "autocorr_lag24", "sharpe_hourly")
@@ -51,7 +50,7 @@ def display_name(regime: Column) -> Column:
 
 
 def regime_stats(df: DataFrame, s: Series) -> DataFrame:
-    """The 23 statistics per regime; regimes with fewer than 10 rows are left out."""
+    """The 23 statistics per regime; a statistic that its rows don't define is NULL, see ``n_bars``."""
     by = [*s.keys, "regime"]
     r, v = "log_return", "vol_60m"
     positive = F.avg(F.when(F.col(r) > 0, 1.0).when(F.col(r).isNotNull(), 0.0)) * 100
@@ -66,7 +65,7 @@ def regime_stats(df: DataFrame, s: Series) -> DataFrame:
         F.avg("volume_spike").alias("vol_spike_mean"),
     )
     share = 100.0 * F.col("n_bars") / F.sum("n_bars").over(Window.partitionBy(*s.keys))
-    stats = stats.withColumn("pct_of_total", share).where(F.col("n_bars") >= MIN_ROWS)
+    stats = stats.withColumn("pct_of_total", share)
     cuts = {"vol_p25": (v, 0.25), "vol_median": (v, 0.5), "vol_p75": (v, 0.75), "vol_p95": (v, 0.95)}
     quantiles = spread_quantiles(exact_quantiles(df, by, [v], [p for _, p in cuts.values()]), by, cuts)
     out = stats.join(quantiles, by, "left").join(return_autocorrelation(df, s), by, "left")
@@ -101,9 +100,9 @@ def stride_downsample(df: DataFrame, s: Series, n: int = 10000) -> DataFrame:
     return indexed.where(F.col("rn") % step == 0).drop("rn", "n_rows")
 
 
-def regime_timeline(df: DataFrame, s: Series, n: int = 10000) -> DataFrame:
-    """Contiguous regime spans of the downsampled series."""
-    return regime_spells(stride_downsample(df.select(*s.keys, s.time, "regime"), s, n), s)
+def regime_timeline(df: DataFrame, s: Series) -> DataFrame:
+    """Contiguous regime spans of all rows; a chart thins only the price line (:func:`stride_downsample`)."""
+    return regime_spells(df.select(*s.keys, s.time, "regime"), s)
 
 
 def feature_box_stats(df: DataFrame, features: Sequence[str], by: Sequence[str] = ("symbol", "regime")) -> DataFrame:
@@ -163,16 +162,17 @@ def forecast_vol_histogram(forecasts: DataFrame, by: Sequence[str] = ("symbol",
 def return_density(df: DataFrame, by: Sequence[str] = ("symbol", "regime"), value: str = "log_return", points: int = 1000) -> DataFrame:
     """Gaussian kernel density per group on a grid half a range wider than the data (Scott bandwidth).
 
-    Each row adds its kernel to the grid points inside its task; only grid sums are shuffled.
+    Each row adds its kernel to the grid points inside its task; only grid sums are shuffled. A group without
+    variation keeps its grid, with a NULL density.
     """
     by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"))
     shape = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-    ).where((F.col("_n") >= MIN_ROWS) & (F.col("_s") > 0))
+    )
     span = F.col("_hi") - F.col("_lo")
     x = F.col("_lo") - span / 2 + F.col("point") * (2 * span / (points - 1))
-    width = F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))
+    width = F.when(F.col("_s") > 0, F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2)))
     grid = rows.join(shape, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumns({"x": x, "_h": width})
     kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("_h"), 2))

@@ -57,9 +57,10 @@ def raw_bars(bucket: str, name: str = "bars0") -> str:
 
 
 RETURNS = f"bars AS (SELECT *, ln(c / {lag('c')}) AS r FROM bars0)"
-HOUR = f"{TICKS}, {raw_bars(chr(100) + 'ate_trunc(' + chr(39) + 'hour' + chr(39) + ', tt)')}, {RETURNS}"
-QUARTER = f"{TICKS}, {raw_bars('time_bucket(INTERVAL ' + chr(39) + '15 minutes' + chr(39) + ', tt)')}, {RETURNS}"
-DAY = f"{LI_TICKS}, {raw_bars('date_trunc(' + chr(39) + 'day' + chr(39) + ', tt)')}, {RETURNS}"
+HOUR_START, QUARTER_START, DAY_START = "date_trunc('hour', tt)", "time_bucket(INTERVAL '15 minutes', tt)", "date_trunc('day', tt)"
+HOUR = f"{TICKS}, {raw_bars(HOUR_START)}, {RETURNS}"
+QUARTER = f"{TICKS}, {raw_bars(QUARTER_START)}, {RETURNS}"
+DAY = f"{LI_TICKS}, {raw_bars(DAY_START)}, {RETURNS}"
 
 BASE = f"""base AS (SELECT *, c - {lag('c')} AS dc,
   greatest(h - l, coalesce(abs(h - {lag('c')}), h - l), coalesce(abs(l - {lag('c')}), h - l)) AS tr FROM bars)"""
@@ -270,7 +271,7 @@ STAT_NAMES = ("return_mean", "return_std", "return_skew", "return_kurtosis", "pc
               "pct_of_total", "sharpe_hourly", "vol_of_vol", "autocorr_lag1", "autocorr_lag2", "autocorr_lag24")
 SHOWN = "CASE regime WHEN 0 THEN 'Low Vol' WHEN 1 THEN 'Medium Vol' ELSE 'High Vol' END AS regime_name"
 ORACLE["regime_stats"] = (
-    f"WITH {LABELS}, {STATS} SELECT symbol, {big('regime', 'regime')}, {SHOWN}, n_bars, {dbls(*STAT_NAMES)} FROM stats WHERE n_bars >= 10"
+    f"WITH {LABELS}, {STATS} SELECT symbol, {big('regime', 'regime')}, {SHOWN}, n_bars, {dbls(*STAT_NAMES)} FROM stats"
 )
 MATRIX = """pairs AS (SELECT symbol, regime AS a, lead(regime) OVER (PARTITION BY symbol ORDER BY t) AS b FROM threshold),
 pc AS (SELECT symbol, a, b, count(*) AS n FROM pairs WHERE b IS NOT NULL GROUP BY ALL),
@@ -279,7 +280,7 @@ cells AS (SELECT s.symbol, x.a, y.b, coalesce(n, 0) AS n FROM (SELECT DISTINCT s
 matrix AS (SELECT *, coalesce(n / NULLIF(sum(n) OVER (PARTITION BY symbol, a), 0), 0) AS probability FROM cells)"""
 ORACLE["key_findings"] = f"""WITH {LABELS}, {STATS}, {MATRIX},
 vf AS (SELECT symbol, first(regime ORDER BY vol_mean DESC, regime) AS most_volatile,
-  first(regime ORDER BY pct_of_total DESC, regime) AS most_common FROM stats WHERE n_bars >= 10 GROUP BY symbol),
+  first(regime ORDER BY pct_of_total DESC, regime) AS most_common FROM stats GROUP BY symbol),
 lf AS (SELECT symbol, first(a ORDER BY probability DESC, a) AS most_persistent, max(probability) AS p_stay FROM matrix WHERE a = b GROUP BY symbol)
 SELECT symbol, {big('most_volatile', 'most_volatile')}, {big('most_common', 'most_common')},
 {big('most_persistent', 'most_persistent')}, {dbl('p_stay')} FROM vf JOIN lf USING (symbol)"""
@@ -383,12 +384,12 @@ ORACLE["stack_methods"] = f"WITH {STACKED} SELECT symbol, method, {ts()}, {big('
 EVAL_X = ("r", "vol_60m", "vol_240m", "cum_return_60m", "volume_spike")
 
 
-def evaluation(source: str, key: str) -> str:
-    """CTEs of all metrics of ``source`` grouped by the columns ``key``."""
+def evaluation(source: str, key: str, squared: bool = False) -> str:
+    """CTEs of all metrics of ``source`` grouped by the columns ``key``; the silhouette on distances or their squares."""
     k = [c.strip() for c in key.split(",")]
     same = " AND ".join(f"x.{c} = y.{c}" for c in k)
     z = [f"z{i}" for i in range(len(EVAL_X))]
-    dist = "sqrt(" + " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in z) + ")"
+    dist = ("(" if squared else "sqrt(") + " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in z) + ")"
     center = "sqrt(" + " + ".join(f"(z.{c} - m.m{c}) * (z.{c} - m.m{c})" for c in z) + ")"
     gap = "sqrt(" + " + ".join(f"(x.m{c} - y.m{c}) * (x.m{c} - y.m{c})" for c in z) + ")"
     on_m = " AND ".join(f"z.{c} = m.{c}" for c in (*k, "regime"))
@@ -426,10 +427,10 @@ for _name, _cte, _col in (
 ):
     ORACLE[_name] = f"{_single} SELECT symbol, {dbl(_col)} FROM {_cte}"
 ORACLE["silhouette_squared"] = (
-    _single.replace("sqrt((x.z0", "((x.z0") + f" SELECT symbol, {dbl('silhouette_score', 'silhouette_squared')} FROM sil"
+    f"WITH {LABELS}, {evaluation('threshold', 'symbol', True)} SELECT symbol, {dbl('silhouette_score', 'silhouette_squared')} FROM sil"
 )
 _joined = " JOIN ".join(["sil", *[f"{c} USING (symbol, method)" for c in ("ch", "db", "du", "ba", "vs", "wv")]])
-_compared = f"WITH {STACKED}, {evaluation('stacked', 'symbol, method')}, cmp AS (SELECT symbol, method, {', '.join(METRICS)} FROM {_joined})"
+_compared = f"WITH {STACKED}, {evaluation('stacked', 'symbol, method', True)}, cmp AS (SELECT symbol, method, {', '.join(METRICS)} FROM {_joined})"
 ORACLE["evaluate_regimes"] = f"{_compared} SELECT symbol, method, {dbls(*METRICS)} FROM cmp"
 ORACLE["best_method"] = (
     f"{_compared} SELECT symbol, first(method ORDER BY silhouette_score DESC, method) AS best_method, "
@@ -482,9 +483,7 @@ ORACLE["sequence_settings"] = f"""WITH {FEATURES}, g AS (SELECT symbol, count(*)
 SELECT symbol, n_bars, {big('s', 'seq_len')}, 24::BIGINT AS patch_len, {big('s // 24', 'n_patches')} FROM g"""
 
 # chart tables ----------------------------------------------------------------------------------
-ORACLE["regime_timeline"] = (
-    f"WITH {LABELS}, {strided('threshold', 200)}, " + SPELLS.replace("FROM threshold", "FROM strided") + f" SELECT {SPELL_OUT} FROM spells"
-)
+ORACLE["regime_timeline"] = f"WITH {LABELS}, {SPELLS} SELECT {SPELL_OUT} FROM spells"
 _box = {"log_return": "r", "vol_60m": "vol_60m", "cum_return_60m": "cum_return_60m", "volume_spike": "volume_spike", "rsi": "rsi"}
 ORACLE["feature_box_stats"] = f"""WITH {LABELS}, long AS ({' UNION ALL '.join(
     f"SELECT symbol, regime, '{c}' AS feature, {x} AS x FROM threshold" for c, x in _box.items())}),
@@ -495,7 +494,7 @@ FROM long JOIN q USING (symbol, regime, feature) GROUP BY symbol, regime, featur
 _heat = ("return_mean", "return_std", "return_skew", "return_kurtosis", "vol_mean", "vol_of_vol", "rsi_mean", "atr_mean", "bb_width_mean",
          "vol_spike_mean", "autocorr_lag1", "autocorr_lag24", "sharpe_hourly")
 ORACLE["regime_heatmap"] = f"WITH {LABELS}, {STATS}, hl AS (" + " UNION ALL ".join(
-    f"SELECT symbol, regime, '{c}' AS stat, {c} AS x FROM stats WHERE n_bars >= 10" for c in _heat
+    f"SELECT symbol, regime, '{c}' AS stat, {c} AS x FROM stats" for c in _heat
 ) + f""") SELECT symbol, {big('regime', 'regime')}, stat, {dbl('(x - avg(x) OVER (PARTITION BY symbol, stat)) / (stddev_samp(x) OVER (PARTITION BY symbol, stat) + 1e-10)', 'z')} FROM hl"""
 
 
@@ -511,8 +510,8 @@ SELECT symbol, {big('regime', 'regime')}, {big('bin', 'bin')}, {big('bins', 'bin
 
 ORACLE["duration_histogram"] = f"WITH {LABELS}, {SPELLS}, {binned('spells', 'duration', 'least(50, nv // 2 + 1)')}"
 ORACLE["return_density"] = f"""WITH {LABELS}, shape AS (SELECT symbol, regime, count(r) AS n, stddev_samp(r) AS s, min(r) AS lo, max(r) AS hi
-  FROM threshold GROUP BY symbol, regime HAVING count(r) >= 10),
-grid AS (SELECT *, s * pow(n, -0.2) AS bw, lo - (hi - lo) / 2 + point * (2 * (hi - lo) / 99) AS x FROM shape, (SELECT unnest(range(100)) AS point))
+  FROM threshold GROUP BY symbol, regime),
+grid AS (SELECT *, s * pow(n, -0.2) AS bw, lo - (hi - lo) / 2 + point * (2 * (hi - lo) / 999) AS x FROM shape, (SELECT unnest(range(1000)) AS point))
 SELECT symbol, {big('regime', 'regime')}, {big('point', 'point')}, {dbl('x')}, {dbl('sum(exp(-0.5 * pow((x - r) / bw, 2))) / (grid.n * bw * sqrt(2 * pi()))', 'density')}
 FROM grid JOIN threshold USING (symbol, regime) GROUP BY symbol, regime, point, x, grid.n, bw"""
 
@@ -567,9 +566,8 @@ ORACLE["rolling_forecast_given"] = (
 )
 _fr = f"symbol, {ts()}, {dbl('h', 'rs_forecast')}, {dbl('sqrt(h)', 'rs_vol')}, {dbl('r * r', 'realised_var')}, {big('regime', 'regime')}"
 ORACLE["rolling_forecast_regime_given"] = f"{_g}, {regime_forecast()} SELECT {_fr} FROM fr"
-ORACLE["rolling_forecast_regime_lagged"] = (
-    f"{_g}, {regime_forecast(f'coalesce({lag(chr(114) + chr(101) + chr(103) + chr(105) + chr(109) + chr(101))}, regime)')} SELECT {_fr} FROM fr"
-)
+_lagged = regime_forecast(f"coalesce({lag('regime')}, regime)")
+ORACLE["rolling_forecast_regime_lagged"] = f"{_g}, {_lagged} SELECT {_fr} FROM fr"
 ORACLE["insample_regime_variance"] = f"""{_g}, gr AS (SELECT symbol, regime, 0.05 * var_pop(r) AS w, 0.10::DOUBLE AS a, 0.85::DOUBLE AS b
   FROM threshold GROUP BY symbol, regime),
 ti AS (SELECT tr.symbol, tr.regime, t, p, rn, row_number() OVER (PARTITION BY tr.symbol, tr.regime ORDER BY t) AS i, w, a, b,
@@ -643,8 +641,6 @@ SELECT symbol, {ts()}, {big('coalesce(seen, head)', 'seen')} FROM sn JOIN fs USI
 # streams end in the rows of their batch forms --------------------------------------------------
 ORACLE["stream_ingest"] = f"WITH {HOUR} SELECT {BAR_OUT}, {CAL} FROM bars"
 ORACLE["stream_dedup"] = ORACLE["scan_kline_csv"]
-ORACLE["stream_bars"] = (
-    f"WITH {HOUR} SELECT {BAR_OUT} FROM bars WHERE t + INTERVAL '1 hour' <= (SELECT max(tt) FROM ticks) - INTERVAL '10 minutes'"
-)
+ORACLE["stream_bars"] = f"WITH {HOUR} SELECT {BAR_OUT} FROM bars"
 ORACLE["stream_log_return"] = ORACLE["late_repair"] = ORACLE["hybrid_ingest"] = ORACLE["log_return"]
 ORACLE["stream_threshold_regime"] = ORACLE["regime_threshold"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -25,6 +27,17 @@ def start(writer: DataStreamWriter, spark: SparkSession, checkpoint: str, trigge
         spark.conf.set(key, before)
 
 
+def run_batches(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str, seconds: int | None = None,
+                trigger_seconds: int | None = None) -> None:
+    """Hand each micro-batch to ``merge``, until the input is used up or for ``seconds``."""
+    query = start(stream.writeStream.foreachBatch(merge), stream.sparkSession, checkpoint, trigger_seconds)
+    if seconds:
+        query.awaitTermination(seconds)
+        query.stop()
+    else:
+        query.awaitTermination()
+
+
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, partitions: tuple[str, ...] = (),
                    state_partitions: int | None = None, seconds: int | None = None, trigger_seconds: int | None = None) -> None:
     """Append a stream to a Parquet table, until its input is used up or for ``seconds``."""
