@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import random_bars
 
 from voltide.operators import features as W
@@ -65,3 +66,15 @@ def test_monotone_price_has_no_losses(make):
 def test_one_row(make):
     got = matrix(make, prices(np.array([5.0]))).iloc[0]
     assert np.isnan(got["log_return"]) and np.isnan(got["vol_5m"]) and got["momentum_2m"] == 0.0 and got["atr"] == 0.0
+
+
+@pytest.mark.parametrize("spike", [1e8, 1e10])
+def test_spike_leaves_no_trace(make, spike):
+    """A value far outside every window changes nothing in it."""
+    rng = np.random.default_rng(3)
+    volume = rng.integers(1, 50, 2000).astype(float)
+    volume[50] = spike
+    bars = pd.DataFrame({"symbol": "A", "timestamp": 3600 * np.arange(2000), "volume_base": volume, "price_close": 1.0})
+    got = W.volume_volatility(make(bars), Series(step=3600), (60,)).orderBy("timestamp").toPandas()["volume_vol_60m"]
+    away = range(950, 2000)
+    assert np.allclose(got[away], [np.std(volume[i - 59 : i + 1], ddof=1) for i in away], rtol=1e-9)

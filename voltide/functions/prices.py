@@ -19,20 +19,20 @@ def tracked(f: Frames, *names: str) -> Rolling:
     """Track the named inputs of the rolling features."""
     change = F.col(CLOSE) - F.lag(CLOSE, 1).over(f.ordered)
     inputs = {
-        "return": (F.col(RETURN), 3, False),
-        "bullish": (F.when(F.col(RETURN) > 0, 1.0).otherwise(0.0), 1, False),
-        "range": (F.try_divide(F.col(HIGH) - F.col(LOW), F.col(CLOSE)), 1, False),
-        "volume": (F.col(VOLUME), 2, True),
-        "paid": (F.col(CLOSE) * F.col(VOLUME), 1, False),
-        "close": (F.col(CLOSE), 2, True),
-        "gain": (F.when(change > 0, change).otherwise(0.0), 1, False),
-        "loss": (F.when(change < 0, -change).otherwise(0.0), 1, False),
-        "true_range": (true_range(f), 1, False),
+        "return": (F.col(RETURN), 3),
+        "bullish": (F.when(F.col(RETURN) > 0, 1.0).otherwise(0.0), 1),
+        "range": (F.try_divide(F.col(HIGH) - F.col(LOW), F.col(CLOSE)), 1),
+        "volume": (F.col(VOLUME), 2),
+        "paid": (F.col(CLOSE) * F.col(VOLUME), 1),
+        "close": (F.col(CLOSE), 2),
+        "gain": (F.when(change > 0, change).otherwise(0.0), 1),
+        "loss": (F.when(change < 0, -change).otherwise(0.0), 1),
+        "true_range": (true_range(f), 1),
     }
     out = Rolling(f)
     for name in names:
-        value, powers, centred = inputs[name]
-        out.track(name, value, powers, centred)
+        value, powers = inputs[name]
+        out.track(name, value, powers)
     return out
 
 

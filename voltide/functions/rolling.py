@@ -1,9 +1,9 @@
-"""Rolling moments in constant time per row.
+"""Rolling moments in logarithmic time per row, without differences of sums.
 
-A window function over the last n rows is evaluated from scratch for every row, so 240-row features cost 240
-steps each. Here every tracked value keeps running sums inside its chunk, and a window is the difference of two of
-them. The sums restart with each chunk and are centred, so they stay short; counts of changes and of nonzero
-values decide exactly whether a window is constant or all zero, where a difference of sums would leave noise.
+A window function over the last n rows is evaluated from scratch for every row, so 240-row features cost 240 steps each, and running
+sums would let one huge value spoil every later window. Here count, mean and central moments of the last 1, 2, 4, 8 ... rows are made by
+merging two neighbours of half the size, and a window is merged from the sizes its length is the sum of: 60 = 32 + 16 + 8 + 4. Nothing
+outside a window ever enters it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,29 @@ from pyspark.sql import functions as F
 from voltide.plans.series import Frames
 
 
+def _merged(a: dict[str, str], b: dict[str, str]) -> dict[str, str]:
+    """SQL of the state of two disjoint sets of rows: n, s (sum) or m (mean), q and t (sums of squared and cubed deviations)."""
+    n = f"({a['n']} + {b['n']})"
+    d = f"({b['m']} - {a['m']})" if "m" in a else ""
+
+    def either(field: str, both: str) -> str:
+        return f"CASE WHEN {b['n']} = 0 THEN {a[field]} WHEN {a['n']} = 0 THEN {b[field]} ELSE {both} END"
+
+    out = {"n": n}
+    if "s" in a:
+        out["s"] = f"{a['s']} + {b['s']}"
+    if "m" in a:
+        out["m"] = either("m", f"{a['m']} + {d} * {b['n']} / {n}")
+    if "q" in a:
+        out["q"] = either("q", f"{a['q']} + {b['q']} + {d} * {d} * {a['n']} * {b['n']} / {n}")
+    if "t" in a:
+        out["t"] = either("t", f"{a['t']} + {b['t']} + {d} * {d} * {d} * {a['n']} * {b['n']} * ({a['n']} - {b['n']}) / ({n} * {n}) "
+                               f"+ 3 * {d} * ({a['n']} * {b['q']} - {b['n']} * {a['q']}) / {n}")
+    return out
+
+
 class Rolling:
-    """Tracked values of one chunk layout; call ``track``, then ``prepare``, then use the window columns.
+    """Tracked values of one chunk layout: ``track``, then the window columns, then ``prepare``, then use the columns.
 
     The formulas are SQL text: a matrix has hundreds of terms, and as text each column is one call to the JVM.
     """
@@ -23,79 +44,76 @@ class Rolling:
     def __init__(self, frames: Frames):
         self.f = frames
         self.values: dict[str, Column] = {}
-        self.powers: dict[str, int] = {}
-        self.centred: set[str] = set()
+        self.fields: dict[str, str] = {}
+        self.asked: dict[tuple[str, int], None] = {}
+        self.made: set[str] = set()
 
-    def track(self, name: str, value: Column, powers: int = 1, centred: bool = False) -> Rolling:
+    def track(self, name: str, value: Column, powers: int = 1) -> Rolling:
+        """Track ``value`` for means (powers 1), deviations (2) or skewness (3)."""
         self.values[name] = value
-        self.powers[name] = powers
-        if centred:
-            self.centred.add(name)
+        self.fields[name] = {1: "ns", 2: "nmq", 3: "nmqt"}[powers]
         return self
 
-    def _over(self, call: str, end: str = "CURRENT ROW") -> Column:
-        return F.expr(f"{call} OVER ({self.f.sql} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})")
+    def _add(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        self.made |= set(columns)
+        return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
+
+    def _level(self, name: str, size: int) -> dict[str, str]:
+        return {f: f"_{f}{size}_{name}" for f in self.fields[name]}
+
+    def _lagged(self, state: dict[str, str], rows: int, tag: str) -> tuple[dict[str, str], dict[str, str]]:
+        """The state ``rows`` rows earlier, nothing where there is none: its columns, and the SQL to add them."""
+        names = {f: f"_lag_{f}_{tag}" for f in state}
+        return names, {names[f]: f"coalesce(lag({c}, {rows}) OVER ({self.f.sql}), 0.0D)" for f, c in state.items()}
 
     def prepare(self, df: DataFrame) -> DataFrame:
+        self.made |= {f"_x_{n}" for n in self.values}
         df = df.withColumns({f"_x_{n}": v.cast("double") for n, v in self.values.items()})
-        base = {f"_0_{n}": self._over(f"first(_x_{n}, true)") for n in self.centred}
-        base |= {f"_b_{n}": self._over(f"last(_x_{n}, true)", "1 PRECEDING") for n, p in self.powers.items() if p > 1}
-        if base:
-            df = df.withColumns(base)
-        sums: dict[str, Column] = {}
-        for n, power in self.powers.items():
-            sums[f"_n_{n}"] = self._over(f"count(_x_{n})")
-            sums[f"_z_{n}"] = self._over(f"sum(CAST(_x_{n} != 0 AS BIGINT))")
-            d = f"(_x_{n} - _0_{n})" if n in self.centred else f"_x_{n}"
-            for k in range(1, power + 1):
-                sums[f"_s{k}_{n}"] = self._over(f"sum({' * '.join([d] * k)})")
-            if power > 1:
-                sums[f"_c_{n}"] = self._over(f"sum(CAST(_x_{n} != _b_{n} AS BIGINT))")
-        return df.withColumns(sums)
+        first = {"n": "CASE WHEN _x_{0} IS NULL THEN 0.0D ELSE 1.0D END", "s": "coalesce(_x_{0}, 0.0D)", "m": "coalesce(_x_{0}, 0.0D)", "q": "0.0D", "t": "0.0D"}
+        df = self._add(df, {c: first[f].format(n) for n in self.values for f, c in self._level(n, 1).items()})
+        longest = {name: max([rows for n, rows in self.asked if n == name], default=1) for name in self.values}
+        size = 1
+        while names := [n for n in self.values if longest[n] >= 2 * size]:
+            lags = {n: self._lagged(self._level(n, size), size, n) for n in names}
+            df = self._add(df, {c: sql for _, columns in lags.values() for c, sql in columns.items()})
+            both = {n: _merged(self._level(n, size), lags[n][0]) for n in names}
+            size *= 2
+            df = self._add(df, {c: both[n][f] for n in names for f, c in self._level(n, size).items()})
+
+        # Of each window the sizes still to be merged, the largest first, and the rows merged so far.
+        open_ = {key: [1 << k for k in range(key[1].bit_length() - 1, -1, -1) if key[1] >> k & 1] for key in self.asked}
+        done = {key: sizes.pop(0) for key, sizes in open_.items()}
+        df = self._add(df, {c: self._level(n, done[n, w])[f] for n, w in open_ for f, c in self._window(n, w).items()})
+        while keys := [key for key, sizes in open_.items() if sizes]:
+            lags = {(n, w): self._lagged(self._level(n, open_[n, w][0]), done[n, w], f"{w}_{n}") for n, w in keys}
+            df = self._add(df, {c: sql for _, columns in lags.values() for c, sql in columns.items()})
+            both = {key: _merged(self._window(*key), lags[key][0]) for key in keys}
+            df = self._add(df, {c: both[key][f] for key in keys for f, c in self._window(*key).items()})
+            for key in keys:
+                done[key] += open_[key].pop(0)
+        return df
 
     def drop(self, df: DataFrame) -> DataFrame:
-        kinds = ("x", "0", "b", "n", "z", "s1", "s2", "s3", "c")
-        return df.drop(*[f"_{kind}_{n}" for kind in kinds for n in self.values])
-
-    def _window(self, column: str, rows: int) -> str:
-        """Sum over the last ``rows`` rows of what ``column`` has summed up."""
-        return f"(coalesce({column}, 0) - coalesce(lag({column}, {rows}) OVER ({self.f.sql}), 0))"
+        return df.drop(*self.made)
 
-    def _count(self, name: str, rows: int) -> str:
-        return self._window(f"_n_{name}", rows)
-
-    def _mean(self, name: str, rows: int) -> str:
-        n = self._count(name, rows)
-        mean = f"try_divide({self._window(f'_s1_{name}', rows)}, {n})"
-        if name in self.centred:
-            mean = f"({mean} + _0_{name})"
-        return f"CASE WHEN {n} > 0 THEN CASE WHEN {self._window(f'_z_{name}', rows)} = 0 THEN 0.0D ELSE {mean} END END"
+    def _window(self, name: str, rows: int) -> dict[str, str]:
+        self.asked[name, rows] = None
+        return {f: f"_window_{f}{rows}_{name}" for f in self.fields[name]}
 
     def mean(self, name: str, rows: int) -> Column:
-        return F.expr(self._mean(name, rows))
+        w = self._window(name, rows)
+        return F.expr(f"CASE WHEN {w['n']} > 0 THEN {w['m'] if 'm' in w else w['s'] + ' / ' + w['n']} END")
 
     def sum(self, name: str, rows: int) -> Column:
-        return F.expr(f"({self._mean(name, rows)}) * {self._count(name, rows)}")
-
-    def _constant(self, name: str, rows: int) -> str:
-        return f"{self._window(f'_c_{name}', rows - 1)} = 0"
+        w = self._window(name, rows)
+        return F.expr(f"CASE WHEN {w['n']} > 0 THEN {w['s'] if 's' in w else w['m'] + ' * ' + w['n']} END")
 
     def deviation(self, name: str, rows: int) -> Column:
         """Sample standard deviation, NULL for a single value."""
-        n = self._count(name, rows)
-        s1, s2 = self._window(f"_s1_{name}", rows), self._window(f"_s2_{name}", rows)
-        variance = f"try_divide({s2} - try_divide({s1} * {s1}, {n}), {n} - 1)"
-        return F.expr(
-            f"CASE WHEN {n} > 1 THEN CASE WHEN {self._constant(name, rows)} THEN 0.0D ELSE sqrt(greatest({variance}, 0.0D)) END END"
-        )
+        w = self._window(name, rows)
+        return F.expr(f"CASE WHEN {w['n']} > 1 THEN sqrt({w['q']} / ({w['n']} - 1)) END")
 
     def skewness(self, name: str, rows: int) -> Column:
         """Population skewness, NULL without variation."""
-        n = self._count(name, rows)
-        m1, m2, m3 = (f"try_divide({self._window(f'_s{k}_{name}', rows)}, {n})" for k in (1, 2, 3))
-        variance = f"({m2} - {m1} * {m1})"
-        third = f"({m3} - 3 * {m1} * {m2} + 2 * {m1} * {m1} * {m1})"
-        return F.expr(
-            f"CASE WHEN {n} > 1 AND NOT {self._constant(name, rows)} AND {variance} > 0 "
-            f"THEN try_divide({third}, power({variance}, 1.5D)) END"
-        )
+        w = self._window(name, rows)
+        return F.expr(f"CASE WHEN {w['n']} > 1 AND {w['q']} > 0 THEN try_divide({w['t']} / {w['n']}, power({w['q']} / {w['n']}, 1.5D)) END")

@@ -26,7 +26,8 @@ def _rolling(df: DataFrame, s: Series, inputs: Sequence[str], reach: int,
 
     def build(d: DataFrame, f: Frames) -> DataFrame:
         r = p.tracked(f, *inputs)
-        return r.drop(r.prepare(d).withColumns(columns(r)))
+        asked = columns(r)
+        return r.drop(r.prepare(d).withColumns(asked))
 
     return over_series(df, s, build, before=reach)
 
@@ -41,7 +42,8 @@ def volatility_change(df: DataFrame, s: Series, window: int = 30, lag: int = 30,
 
     def build(d: DataFrame, f: Frames) -> DataFrame:
         r = p.tracked(f, "return")
-        d = r.drop(r.prepare(d).withColumn(vol, p.realized_volatility(r, window)))
+        asked = p.realized_volatility(r, window)
+        d = r.drop(r.prepare(d).withColumn(vol, asked))
         return d.withColumn(f"vol_change_{window}{unit}", p.volatility_change(f, vol, lag))
 
     return over_series(df, s, build, before=window - 1 + lag)
@@ -142,8 +144,9 @@ def rolling_band(df: DataFrame, s: Series, value: str, window: int = 240) -> Dat
     """Rolling mean of ``value`` and the band one sample deviation around it."""
 
     def build(d: DataFrame, f: Frames) -> DataFrame:
-        r = Rolling(f).track("band", F.col(value), powers=2, centred=True)
-        return r.drop(r.prepare(d).withColumns({"vol_ma": r.mean("band", window), "vol_std": r.deviation("band", window)}))
+        r = Rolling(f).track("band", F.col(value), powers=2)
+        asked = {"vol_ma": r.mean("band", window), "vol_std": r.deviation("band", window)}
+        return r.drop(r.prepare(d).withColumns(asked))
 
     return over_series(df, s, build, before=window - 1).withColumns(
         {"vol_lower": F.col("vol_ma") - F.col("vol_std"), "vol_upper": F.col("vol_ma") + F.col("vol_std")}

@@ -311,8 +311,7 @@ FEATURE_COLUMNS: dict[str, dict[str, str]] = {
     "atr": {"atr": f"avg(tr) {roll(14)}", "atr_pct": f"100 * avg(tr) {roll(14)} / c"},
 }
 for _name, _cols in FEATURE_COLUMNS.items():
-    _digits = 4 if _name == "atr" else 6
-    ORACLE[_name] = f"WITH {QUARTER}, {BASE} SELECT symbol, {ts()}, {', '.join(dbl(x, c, _digits) for c, x in _cols.items())} FROM base"
+    ORACLE[_name] = f"WITH {QUARTER}, {BASE} SELECT symbol, {ts()}, {', '.join(dbl(x, c) for c, x in _cols.items())} FROM base"
 VOLS = f"vols AS (SELECT *, {', '.join(f'{x} AS {c}' for c, x in FEATURE_COLUMNS['realized_volatility'].items())} FROM base)"
 CHANGE = {"vol_change_30m": f"vol_30m - {lag('vol_30m', 30)}"}
 RATIO = {"vol_ratio_30_240": guarded("vol_30m", "vol_240m"), "vol_ratio_60_240": guarded("vol_60m", "vol_240m")}
@@ -327,7 +326,7 @@ _all = {c: x for cols in FEATURE_COLUMNS.values() for c, x in cols.items()} | CH
 for _c in ("vol_30m", "vol_60m", "vol_240m"):
     _all[_c] = _c
 ORACLE["feature_matrix"] = (
-    f"WITH {QUARTER}, {BASE}, {VOLS} SELECT {bar_out(4)}, {dbl('r', 'log_return', 4)}, {', '.join(dbl(x, c, 4) for c, x in _all.items())} FROM vols"
+    f"WITH {QUARTER}, {BASE}, {VOLS} SELECT {bar_out()}, {dbl('r', 'log_return')}, {', '.join(dbl(x, c) for c, x in _all.items())} FROM vols"
 )
 ORACLE["log_return"] = f"WITH {HOUR} SELECT symbol, {ts()}, {dbl('c', 'price_close')}, {dbl('r', 'log_return')} FROM bars"
 ORACLE["hourly_feature_matrix"] = f"WITH {FEATURES} SELECT {BAR_OUT}, {dbl('r', 'log_return')}, {CAL}, " + dbls(
