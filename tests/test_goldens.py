@@ -2,12 +2,13 @@
 
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from voltide.operators import evaluation as E
 from voltide.operators import garch as G
 from voltide.operators import ranking as K
+from voltide.operators.spells import transition_matrix
+from voltide.plans.series import Series
 
 # regime, rows, return deviation, volatility mean, volatility deviation
 REGIMES = [(0, 12690, 0.0036237056437855497, 0.0035640482696722895, 0.0013293892520083095),
@@ -32,10 +33,14 @@ def test_balance_and_separation(spark):
     assert abs(f / 7933.461272156431 - 1) < 1e-9
 
 
-def test_share_weighted_deviation():
-    total = sum(r[1] for r in REGIMES)
-    assert total == 16799 and total - int(total * 0.8) == 3360
-    assert abs(sum(r[1] * r[2] for r in REGIMES) / total - 0.004595102501199392) < 1e-12
+def test_share_weighted_deviation(spark):
+    """Returns of two opposite values (and a zero where their number is odd) with the published deviations."""
+    rows = spark.createDataFrame([(r, n, sd * math.sqrt((n - 1) / (n - n % 2))) for r, n, sd, *_ in REGIMES], "regime int, n int, a double")
+    each = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    sign = F.when((F.col("i") == F.col("n")) & (F.col("n") % 2 == 1), 0).when(F.col("i") % 2 == 0, 1).otherwise(-1)
+    each = each.select(F.lit("X").alias("symbol"), "regime", (F.col("a") * sign).alias("log_return"))
+    assert each.count() == 16799
+    assert abs(E.within_regime_volatility(each).first()["within_regime_volatility"] - 0.004595102501199392) < 1e-12
 
 
 def test_average_tie_ranks(spark):
@@ -69,6 +74,10 @@ def test_improvement(spark):
         assert abs(got[metric]["improvement_pct"] - want) < 0.006 and got[metric]["winner"] == "regime_switching"
 
 
-@pytest.mark.parametrize("leaving,stay,want", [((165, 158), None, (0.013003388761919773, 0.01245172984474742))])
-def test_transitions_over_outgoing_bars(leaving, stay, want):
-    assert all(math.isclose(n / (12690 - 1), p, rel_tol=1e-12) for n, p in zip(leaving, want))
+def test_transitions_over_outgoing_bars(spark):
+    """12,690 bars of regime 0, the last of the series among them, 165 switches to 1 and 158 to 2."""
+    labels = [0, 1] * 165 + [0, 2] * 158 + [0] * (12690 - 165 - 158)
+    df = spark.createDataFrame([("X", 3600 * i, r) for i, r in enumerate(labels)], "symbol string, t long, regime int")
+    matrix = transition_matrix(df.withColumn("timestamp", F.timestamp_seconds("t")).drop("t"), Series(step=3600)).where("from_regime = 0").collect()
+    got = {r["to_regime"]: r["probability"] for r in matrix}
+    assert math.isclose(got[1], 0.013003388761919773, rel_tol=1e-12) and math.isclose(got[2], 0.01245172984474742, rel_tol=1e-12)

@@ -711,6 +711,14 @@ def _(spark, d):
     return tables.load_params(spark, path, "baseline")
 
 
+@query("params_table_given", digits=12)
+def _(spark, d):
+    path = scratch_path(spark, "params")
+    for model in ("baseline", "other"):
+        tables.save_params(G.moment_params(filled_returns(spark, d), ["symbol"]).withColumn("model", F.lit(model)), path)
+    return tables.load_params(spark, path, "baseline")
+
+
 # model detectors -------------------------------------------------------------------------------
 def model_features(spark: SparkSession, d: str) -> DataFrame:
     return materialise(hour_features(spark, d), "features")

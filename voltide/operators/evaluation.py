@@ -31,10 +31,11 @@ def evaluation_features(columns: Sequence[str]) -> list[str]:
 def capped_sample(df: DataFrame, by: Sequence[str], cap: int, row_key: Sequence[str]) -> DataFrame:
     """A repeatable sample of about ``cap`` rows per group (all rows of smaller groups).
 
-    Rows are kept by the hash of their key against cap / group size, so no group is sorted or gathered.
+    Rows are kept by a digest of their key (as text) against cap / group size, so no group is sorted or gathered.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    draw = F.pmod(F.xxhash64(*row_key), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in row_key])
+    draw = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     kept = df.join(sizes, list(by)).where((F.col("_n") <= cap) | (draw < F.lit(float(cap)) / F.col("_n")))
     return kept.drop("_n")
 

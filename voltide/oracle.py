@@ -372,6 +372,11 @@ ORACLE["recent_rows"] = f"WITH {HOUR} SELECT {_few} FROM (SELECT * FROM bars ORD
 ORACLE["sample_rows"] = f"WITH {HOUR} SELECT {_few} FROM (SELECT * FROM bars ORDER BY t, symbol LIMIT 10)"
 
 
+ORACLE["capped_sample"] = f"""WITH {FEATURES}, counted AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n_rows,
+  ('0x' || substr(md5(symbol || '|' || t), 1, 8))::BIGINT / 4294967296.0 AS draw FROM feats)
+SELECT symbol, {ts()}, {dbl('r', 'log_return')}, {dbl('vol_60m')} FROM counted WHERE n_rows <= 200 OR draw < 200.0 / n_rows"""
+
+
 def strided(source: str, n: int) -> str:
     return f"""idx AS (SELECT *, row_number() OVER ({SERIES}) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS total FROM {source}),
 strided AS (SELECT * EXCLUDE (rn, total) FROM idx WHERE rn % CASE WHEN total > {n} THEN total // {n} ELSE 1 END = 0)"""
@@ -525,6 +530,9 @@ gv AS (SELECT symbol, 0::BIGINT AS rn, w / greatest(1 - a - b, 1e-6) AS h FROM g
 ORACLE["garch_variance"] = (
     f"WITH RECURSIVE {HOUR}, {FILLED} SELECT symbol, {ts()}, {dbl('r', 'log_return')}, {dbl('h', 'variance')} FROM gv JOIN f USING (symbol, rn)"
 )
+ORACLE["params_table_given"] = (
+    f"WITH RECURSIVE {HOUR}, {FILLED} SELECT symbol, {dbl('w', 'omega', 12)}, {dbl('a', 'alpha', 12)}, {dbl('b', 'beta', 12)}, 'baseline' AS model FROM given"
+)
 ORACLE["garch_loglik"] = (
     f"WITH RECURSIVE {HOUR}, {FILLED} SELECT symbol, {dbl('-0.5 * sum(ln(2 * pi()) + ln(greatest(h, 1e-10)) + r * r / greatest(h, 1e-10))', 'loglik')}, "
     "count(*) AS n FROM gv JOIN f USING (symbol, rn) GROUP BY symbol"

@@ -32,10 +32,11 @@ def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str] = PART
 
 
 def append_bars(df: DataFrame, path: str, partitions: Sequence[str] = PARTITIONS) -> bool:
-    """Append unless empty; tells whether anything was written."""
+    """Append unless empty; tells whether anything was written. A hot month is written by several tasks."""
     if df.isEmpty():
         return False
-    df.repartition(*partitions).write.mode("append").partitionBy(*partitions).parquet(path)
+    keys = [*partitions, "day"] if "day" in df.columns else list(partitions)
+    df.repartition(*keys).write.mode("append").partitionBy(*partitions).parquet(path)
     return True
 
 
