@@ -181,7 +181,8 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
     facts = sets.select("node", "size", "marks")
     rows, links = sets.select(F.explode("roots").alias("bucket"), "node"), None
     for depth in range(DEPTH + 1):
-        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # Written first: with plain shuffles on both sides of the join, Spark can split the rows of a hot bucket.
+        counts = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"bucket-counts-{depth}")
         live = materialise(rows.join(counts, "bucket").join(facts, "node"), f"bucket-rows-{depth}")
         small = live if depth == DEPTH else live.where(F.col("n") <= LEAF)
         found = _bucket_links(_in_cells(small, "n", LEAF), ["bucket", "low", "high"], similarity)
