@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one source that one window of the running sum sees, about.
-RUN_ROWS = 4096
+RUN_ROWS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -116,6 +116,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = fair_mix(docs, id_col, text_col, carry=True, **options)
     out = mixed.select("row", "size", F.explode("copies").alias("_copy")).orderBy("_copy.finish")
     cut = F.col("_copy.words") < F.col("size")
-    text = F.when(cut, first_words(F.col(f"row.{text_col}"), F.col("_copy.words"))).otherwise(F.col(f"row.{text_col}"))
-    changed = {text_col: text} | ({"n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*[changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    row = F.col("row")
+    text = F.when(cut, first_words(row[text_col], F.col("_copy.words"))).otherwise(row[text_col])
+    changed = {text_col: text} | ({"n_chars": F.when(cut, F.length(text).cast("long")).otherwise(row["n_chars"])} if "n_chars" in docs.columns else {})
+    return out.select(*[changed.get(c, row[c]).alias(c) for c in docs.columns])
