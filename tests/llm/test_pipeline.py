@@ -31,6 +31,14 @@ def test_stages(spark):
     assert sorted(r.ids for r in encoded.collect()) == sorted(map(library.encode, (r.text for r in mix.collect())))
 
 
+def test_stages_on_odd_rows(spark, odd_docs, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (odd_docs, no_docs):
+            out = stage(spark, docs, SF)
+            assert out.count() <= 2 * docs.count(), name
+            assert name == "encoding" or out.columns == docs.columns
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 

@@ -120,8 +120,8 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit("fit"), F.col("_of"), F.col("_mark")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     share = F.when(F.col("_mark") == 1, F.lit(fit_rows / counts.good)).otherwise(F.lit(fit_rows / counts.rest))
     chosen = ids.where((F.col("_mark").isNull() | (F.col("_mark") == 1)) & (draw < share)).dropDuplicates(["_of"])
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_of")).select(docs[id_col], docs[text_col], "_mark")
-    rows = sample.select(F.col("_mark").isNotNull().cast("int").alias("_id"), F.col(text_col).alias("_text"))
+    slim = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text"))
+    rows = slim.join(F.broadcast(chosen), "_of").select(F.col("_mark").isNotNull().cast("int").alias("_id"), "_text")
     got = _measured(rows, "_id", "_text").toPandas()
     x, good = np.array(got["x"].tolist()), got["_id"].to_numpy() == 1
     order = np.lexsort(x.T)  # the result must not depend on the order of partitions

@@ -127,5 +127,5 @@ def _cut(counts: np.ndarray, owners: np.ndarray, lengths: np.ndarray, budget: in
 def truncated(docs: DataFrame, model_path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with the text cut to the longest prefix of at most ``budget`` tokens. Ids must be unique and not null."""
     cuts = token_counts(docs, model_path, id_col, text_col, (budget,)).select(F.col(id_col).alias("_of"), F.get("cuts", F.lit(0)).alias("_cut"))
-    out = docs.join(cuts, docs[id_col] == F.col("_of"))
-    return out.select(*[F.substring(docs[c], F.lit(1), F.col("_cut").cast("int")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    out = docs.join(cuts, docs[id_col] == cuts["_of"])
+    return out.select(*[F.substring(docs[c], F.lit(1), cuts["_cut"].cast("int")).alias(c) if c == text_col else docs[c] for c in docs.columns])
