@@ -12,6 +12,15 @@ def wordy(rng: random.Random, n: int, words: int = 400) -> str:
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(1 + rng.randrange(6))) + str(rng.randrange(words)) for _ in range(n))
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables need few tasks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="session")
 def texts():
     """Null, empty, blank, one-word, repeated, very long and ordinary texts, some in other scripts."""
@@ -31,7 +40,7 @@ def odd_docs(spark, texts):
         doc_id = None if k in (2, 7) else (5 if k in (5, 6) else k)
         rows.append((doc_id, text, ["en", "fr", None][k % 3], [f"s{k % 4}", None][k % 7 == 0], 1, *[None] * 14))
     rows += rows[8:14]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(rows, SCHEMA).coalesce(2)
 
 
 @pytest.fixture(scope="session")

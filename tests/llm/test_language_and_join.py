@@ -152,7 +152,7 @@ def test_runs_reach_the_recall():
 
 def test_components(spark):
     rng = random.Random(5)
-    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 560)] + [(700, 700)]
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 516)] + [(700, 700)]
     parent = {}
 
     def root(k):

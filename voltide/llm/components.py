@@ -11,15 +11,17 @@ from voltide.session import materialise
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, component`` for every node of ``edges`` (a, b); a component is named by its smallest node.
 
-    In each round every node moves to its smallest neighbour, and the graph of those that moved together is what is left; it shrinks
-    geometrically. Nothing but the count of edges left reaches the driver. Each round is written to the shared folder, so a lost
+    In each round every node moves to its smallest neighbour, and on to where that one moves, and the graph of those that moved
+    together is what is left. So a chain is halved in each round, and the rounds grow with the logarithm of its length. Nothing but the count of edges left reaches the driver. Each round is written to the shared folder, so a lost
     executor loses nothing. Edges from a node to itself are allowed and keep it in the result; null nodes are left out.
     """
     edges = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct(), f"{name}-edges")
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        to = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("at"), F.least("a", "b").alias("to")), f"{name}-moves")
+        moves = materialise(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("at"), F.least("a", "b").alias("via")), f"{name}-moves")
+        on = moves.select(F.col("at").alias("stop"), F.col("via").alias("to"))
+        to = materialise(moves.join(on, moves.via == on.stop).select("at", "to"), f"{name}-moves")
         if labels is None:
             labels = to.select(F.col("at").alias("node"), F.col("to").alias("component"))
         else:

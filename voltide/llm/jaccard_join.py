@@ -275,9 +275,11 @@ def near_classes(
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), "join-classes")
     named = classes.join(sets.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"))
-    of_node = (
+    # Written, like the bucket counts, so that the rows of a hot node can be split below.
+    of_node = materialise(
         sets.select("node", "least", "copies").join(classes, "node", "left").join(named, "component", "left").join(links, "node", "left")
-        .select("node", F.coalesce("class_id", "least").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", F.coalesce("class_id", "least").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        "join-nodes",
     )
     return records.select("id", "node").join(of_node, "node", "left").select(
         F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -288,4 +290,4 @@ def near_classes(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns: of each class the one with the smallest id. Rows without id stay."""
     gone = near_classes(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
