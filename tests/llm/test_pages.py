@@ -24,6 +24,31 @@ def test_main_text(html, want):
     assert main_text(html) == want
 
 
+def items(n, size, tag="p"):
+    return [f"{tag}{k} ".ljust(size, "x") for k in range(n)]
+
+
+def marked(texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<main><div>{}</div></main>", "<div>{}</div>", "<nav>Some menu</nav><div>{}</div>", "<nav>Some menu</nav>{}"])
+def test_thin_parts_of_a_text_stay(around):
+    """Short paragraphs next to a long list, and a short section behind a long one."""
+    short, long = items(3, 100), items(20, 60, "li")
+    assert main_text("<body>" + around.format(f"{marked(short)}<ul>{marked(long, 'li')}</ul>") + "<footer>f</footer></body>") == "\n\n".join(short + long)
+    first, second = items(10, 300), items(2, 40, "q")
+    html = f"<section>{marked(first)}</section><section><h2>Second</h2>{marked(second)}<p><a href=x>Linked</a></p></section>"
+    assert main_text("<body>" + around.format(html) + "<footer>f</footer></body>") == "\n\n".join([*first, "Second", *second, "Linked"])
+
+
+def test_link_lists_of_an_article_go():
+    links = "<ul><li><a href=x>one</a><li><b><a href=y>two</a></b></ul>"
+    assert main_text(f"<article><div>{f'<p>{LONG}</p>' * 9}</div><div><p>Short.</p>{links}</div></article>") == "\n\n".join([LONG] * 9 + ["Short."])
+    assert main_text(f"<article><p>{LONG * 9}</p></article><article><p>Short post.</p></article>") == f"{LONG * 9}\n\nShort post."
+    assert main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><article>teaser</article>").startswith(LONG)
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>One two</p>", "x", "y"), (None, None, None, "x", "y"), (1, "u", "<p>One two</p>", "x", "y"), (2, "v", "", None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, _html string")

@@ -1,8 +1,10 @@
 """Main text of web pages by composite text density.
 
 Every node of a page gets its characters per tag, lowered where they are link text. The densities of a node's children are summed; the
-node with the largest sum holds the main text. The smallest density on the path from there up to the body is the threshold that
-further parts must reach.
+node with the largest sum lies in the main text. Of the article or main around it every block is kept, as are those of further articles.
+Without one, that holds for the highest element around it of which nothing is skipped, but at least the one that holds its list, table or
+section. The smallest density on the path up to the body is the threshold: parts outside must reach it, and inside, lists of links that
+do not reach it are left out.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ ASIDE_NAMES = frozenset(
     "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
 LANDMARKS = frozenset(("article", "main"))
+#: Blocks that are always a part of a larger text; blocks that are no list of links, however many they have; elements without visible text.
+PARTS = frozenset("blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre section summary table tbody tfoot thead tr ul".split())
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 p".split()) | {"html", "body"}
+UNSEEN = frozenset("head noscript script select style template textarea title".split())
 #: Open elements that a new one of these kinds closes, up to the given limits.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -108,8 +114,8 @@ class _Tree(HTMLParser):
         return False
 
 
-def densities(tags: list[str], parents: list[int], skipped: list[bool], texts: list[tuple[int, str | None]]) -> tuple[list[float], list[float], list[int]]:
-    """Composite density and characters of every node; of every block, the sum of the densities of the blocks right inside it.
+def densities(tags: list[str], parents: list[int], skipped: list[bool], texts: list[tuple[int, str | None]]) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
+    """Of every node composite density, sum, characters, those of links, links; the sum is that of the densities of the blocks right inside a block.
 
     Inline elements count as tags of their block. A block without blocks inside has its own density as sum.
     """
@@ -143,44 +149,57 @@ def densities(tags: list[str], parents: list[int], skipped: list[bool], texts: l
                 sums[k] = sums[k] or density[k]
                 if k:
                     sums[around[k]] += density[k]
-    return density, sums, chars
+    return density, sums, chars, linked, links
 
 
-def main_nodes(tags: list[str], parents: list[int], density: list[float], sums: list[float], chars: list[int]) -> set[int]:
-    """Roots of the subtrees that hold the main text."""
-    n = len(tags)
+def main_nodes(tree: _Tree, density: list[float], sums: list[float], chars: list[int], linked: list[int], links: list[int]) -> tuple[set[int], set[int]]:
+    """Roots of the subtrees that hold the main text, and roots of what is left out below them."""
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
     if not chars[0]:
-        return set()
+        return set(), set()
     best = max((k for k in range(n) if chars[k]), key=lambda k: (sums[k], -k))
-    above = []
-    k = best
-    while k >= 0:
-        above.append(k)
-        k = parents[k]
-    marks = [k for k in range(n) if tags[k] in LANDMARKS and chars[k]]
-    top = next((k for k in above if tags[k] in LANDMARKS), None)
-    if top is None:
-        below = [k for k in marks if not any(tags[a] in LANDMARKS for a in _ancestors(parents, k))]
-        if len(below) == 1:  # the sum of the whole page won over its only article
-            best = top = below[0]
-            above = [best]
-    root = top if top is not None else next((k for k in above if tags[k] == "body"), 0)
-    path = above[: above.index(root) + 1]
-    threshold = min(density[k] for k in path)
+    inside = [False] * n  # an article or main is around it
+    for k in range(1, n):
+        inside[k] = inside[parents[k]] or tags[parents[k]] in LANDMARKS
+    marks = [k for k in range(n) if tags[k] in LANDMARKS and chars[k] and not inside[k]]
+    top = next((k for k in _upward(parents, best) if tags[k] in LANDMARKS and not inside[k]), None)
+    if top is None and len(marks) == 1 and 2 * chars[marks[0]] > chars[best]:  # the sum of the whole page won over its only article
+        best = top = marks[0]
+    page = next((k for k in _upward(parents, best) if tags[k] == "body"), 0)
+    threshold = min(density[k] for k in _until(parents, best, page))
+    aside = _link_lists(tree, density, chars, linked, links, threshold)
+    if top is not None:
+        found = {k for k in marks if k == top or k not in aside}
+    else:
+        root = next(k for k in _until(parents, best, page) if tags[k] not in PARTS or k == page)
+        apart = _skipped_chars(tree)
+        root = [root, *(k for k in _until(parents, root, page) if not apart[k])][-1]
+        found = {root} | _dense(parents, density, sums, chars, threshold, page, root)
+    path = set(_upward(parents, best))
+    below = [False] * n  # the node with the largest sum is kept whole
+    for k in range(1, n):
+        below[k] = below[parents[k]] or k == best
+    return found, {k for k in aside if k not in path and k not in found and not below[k]}
+
+
+def _dense(parents: list[int], density: list[float], sums: list[float], chars: list[int], threshold: float, page: int, root: int) -> set[int]:
+    """Outside ``root``, of each part that reaches the threshold the node with the largest sum."""
+    n = len(parents)
     children: list[list[int]] = [[] for _ in range(n)]
     for k in range(1, n):
         children[parents[k]].append(k)
+    around = set(_upward(parents, root))
     most = list(range(n))  # of each subtree, the node with the largest sum
     for k in range(n - 1, 0, -1):
         up = parents[k]
         if (sums[most[k]], -most[k]) > (sums[most[up]], -most[up]):
             most[up] = most[k]
-    found, todo = {best}, [root]
+    found, todo = set(), [page]
     while todo:
         k = todo.pop()
-        if k in found:
+        if k == root or k in found:
             continue
-        if density[k] >= threshold and chars[k]:
+        if k not in around and density[k] >= threshold and chars[k]:
             found.add(most[k])
             if most[k] == k:
                 continue
@@ -188,24 +207,60 @@ def main_nodes(tags: list[str], parents: list[int], density: list[float], sums:
     return found
 
 
-def _ancestors(parents: list[int], k: int) -> Iterator[int]:
-    k = parents[k]
+def _link_lists(tree: _Tree, density: list[float], chars: list[int], linked: list[int], links: list[int], threshold: float) -> set[int]:
+    """Blocks of two links or more that are thinner than the threshold and hold no block or text of their own that is not mostly link text."""
+    tags, parents, n = tree.tags, tree.parents, len(tree.tags)
+    block, in_link, own = list(range(n)), [False] * n, [0] * n  # own: characters in no block further down, those of links subtracted
+    for k in range(1, n):
+        in_link[k] = tags[k] == "a" or in_link[parents[k]]
+        block[k] = k if tags[k] in BLOCK else block[parents[k]]
+    for k, piece in tree.texts:
+        if piece and not tree.skipped[k]:
+            own[block[k]] += len("".join(piece.split())) * (-1 if in_link[k] else 1)
+    text = [k > 0 and tags[k] in BLOCK and own[k] > 0 for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        text[parents[k]] |= text[k]
+    return {k for k in range(1, n) if tags[k] in BLOCK and tags[k] not in KEPT and links[k] > 1 and not text[k] and 2 * linked[k] > chars[k] and density[k] < threshold}
+
+
+def _skipped_chars(tree: _Tree) -> list[int]:
+    """Characters of every node's subtree that could be seen but are skipped."""
+    unseen, out = [False] * len(tree.tags), [0] * len(tree.tags)
+    for k, up in enumerate(tree.parents):
+        unseen[k] = tree.tags[k] in UNSEEN or (k > 0 and unseen[up])
+    for k, text in tree.texts:
+        if text and tree.skipped[k] and not unseen[k]:
+            out[k] += len("".join(text.split()))
+    for k in range(len(out) - 1, 0, -1):
+        out[tree.parents[k]] += out[k]
+    return out
+
+
+def _upward(parents: list[int], k: int) -> Iterator[int]:
     while k >= 0:
         yield k
         k = parents[k]
 
 
+def _until(parents: list[int], k: int, last: int) -> Iterator[int]:
+    """From ``k`` upwards to ``last``, which is around it or ``k`` itself."""
+    for up in _upward(parents, k):
+        yield up
+        if up == last:
+            return
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, joined by two line feeds; empty if there is none."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
     tags, parents, skipped = tree.tags, tree.parents, tree.skipped
-    density, sums, chars = densities(tags, parents, skipped, tree.texts)
-    found = main_nodes(tags, parents, density, sums, chars)
+    density, sums, chars, linked, links = densities(tags, parents, skipped, tree.texts)
+    found, left_out = main_nodes(tree, density, sums, chars, linked, links)
     wanted = [False] * len(tags)
     for k, up in enumerate(parents):
-        wanted[k] = (k in found or (up >= 0 and wanted[up])) and not skipped[k]
+        wanted[k] = (k in found or (up >= 0 and wanted[up])) and not skipped[k] and k not in left_out
     blocks: list[list[str]] = [[]]
     for k, text in tree.texts:
         if text is None:
