@@ -42,6 +42,25 @@ def test_thin_parts_of_a_text_stay(around):
     assert main_text("<body>" + around.format(html) + "<footer>f</footer></body>") == "\n\n".join([*first, "Second", *second, "Linked"])
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content has-sidebar'>{}</div>", "<div class='no-sidebar'>{}</div>", "<div id='page-with-sidebar'>{}</div>", "<div class='post share-enabled'>{}</div>",
+    "<div class='legal-history'>{}</div>", "<section class='discussion'>{}</section>", "<form action=/>{}</form>", "<form><div id=login>{}</div></form>",
+])
+@pytest.mark.parametrize("part", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "{}"])
+def test_a_wrapper_is_not_skipped(wrapper, part):
+    menu = "<nav><a href=/>Home</a><a href=/a>About</a></nav>"
+    side = f"<div class='box sidebar'>{LONG}</div><form>Search</form>"
+    html = wrapper.format(menu + part.format(f"<p>{LONG} 1</p><p>{LONG} 2</p>") + side)
+    assert main_text(f"<body>{html}<footer>f</footer></body>") == f"{LONG} 1\n\n{LONG} 2"
+
+
+def test_asides_around_no_article_are_skipped():
+    assert main_text(f"<article><p>{LONG}</p></article><div class='Ad top'>{LONG * 9}</div><form>{LONG * 9}</form><footer><article></article>{LONG * 9}</footer>") == LONG
+    assert main_text(f"<article><p>{LONG * 2}</p></article><div class=comments><article>{LONG}</article></div>") == f"{LONG * 2}"
+    assert main_text(f"<form><main><p>{LONG}</p></main></form><article>{LONG * 2}</article>") == f"{LONG}\n\n{LONG * 2}"
+    assert main_text(f"<div class=nav-less><p>{LONG}</p></div><div class=ad>{LONG}</div>") == LONG
+
+
 def test_link_lists_of_an_article_go():
     links = "<ul><li><a href=x>one</a><li><b><a href=y>two</a></b></ul>"
     assert main_text(f"<article><div>{f'<p>{LONG}</p>' * 9}</div><div><p>Short.</p>{links}</div></article>") == "\n\n".join([LONG] * 9 + ["Short."])

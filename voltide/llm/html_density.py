@@ -10,7 +10,6 @@ do not reach it are left out.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,11 +25,12 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_PARAGRAPH = BLOCK - frozenset("body caption html tbody td tfoot th thead tr".split())
+#: Never main text; parts of a page that are skipped unless they hold its main text.
 SKIPPED = frozenset(
-    "aside audio button canvas datalist dialog embed footer form head iframe input map math menu nav noscript object script select style svg "
-    "template textarea title video".split()
+    "audio button canvas datalist embed head iframe input map math noscript object script select style svg template textarea title video".split()
 )
-#: Words of class, id or role names that mark a part which is not main text.
+ASIDES = frozenset("aside dialog footer form menu nav".split())
+#: Classes, ids or roles, as whole names, that mark such a part.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies "
     "copyright disclaimer discussion disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices "
@@ -47,15 +47,17 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
-NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Tree(HTMLParser):
-    """Nodes in page order: ``tags``, ``parents``, whether ``skipped``; ``texts`` are (node, text), text None where a block begins or ends."""
+    """Nodes in page order: ``tags``, ``parents``, whether ``skipped``; ``texts`` are (node, text), text None where a block begins or ends.
+
+    Only ``close`` skips the parts that are marked as ``aside``, as what they hold must be known.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.skipped, self.open = ["#root"], [-1], [False], [0]
+        self.tags, self.parents, self.skipped, self.aside, self.open = ["#root"], [-1], [False], [False], [0]
         self.texts: list[tuple[int, str | None]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -64,10 +66,10 @@ class _Tree(HTMLParser):
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         parent = self.open[-1]
-        skip = self.skipped[parent] or tag in SKIPPED or (tag == "header" and not self._in_landmark()) or (tag not in ("html", "body", "article", "main") and self._aside(attrs))
         self.tags.append(tag)
         self.parents.append(parent)
-        self.skipped.append(skip)
+        self.skipped.append(self.skipped[parent] or tag in SKIPPED)
+        self.aside.append(tag in ASIDES or (tag == "header" and not self._in_landmark()) or (tag not in ("html", "body", "article", "main") and self._named_aside(attrs)))
         if tag in BLOCK:
             self.texts.append((parent, None))
         elif tag == "br":
@@ -105,14 +107,37 @@ class _Tree(HTMLParser):
         del self.open[k:]
 
     @staticmethod
-    def _aside(attrs: list[tuple[str, str | None]]) -> bool:
+    def _named_aside(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id", "role") and value and any(w.lower() in ASIDE_NAMES for w in NAME_WORD.findall(value)):
+            if name in ("class", "id", "role") and value and not ASIDE_NAMES.isdisjoint(value.lower().split()):
                 return True
         return False
 
+    def close(self) -> None:
+        """Skips the asides, but none that holds a main or half of the text in articles; on a page without either, none with most of the text outside links."""
+        super().close()
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        in_link, landmark, main = [False] * n, [False] * n, [False] * n
+        plain, chars = [0] * n, [0] * n  # outside links; in landmarks
+        for k in range(1, n):
+            in_link[k] = tags[k] == "a" or in_link[parents[k]]
+            landmark[k] = tags[k] in LANDMARKS or landmark[parents[k]]
+        for k, text in self.texts:
+            if text and not self.skipped[k]:
+                size = len("".join(text.split()))
+                plain[k] += size * (not in_link[k])
+                chars[k] += size * landmark[k]
+        for k in range(n - 1, 0, -1):
+            main[k] |= tags[k] == "main" and chars[k] > 0
+            plain[parents[k]] += plain[k]
+            chars[parents[k]] += chars[k]
+            main[parents[k]] |= main[k]
+        for k in range(1, n):
+            needed = main[k] or 2 * chars[k] >= chars[0] if chars[0] else 2 * plain[k] > plain[0]
+            self.skipped[k] |= self.skipped[parents[k]] or (self.aside[k] and not needed)
+
 
 def densities(tags: list[str], parents: list[int], skipped: list[bool], texts: list[tuple[int, str | None]]) -> tuple[list[float], list[float], list[int], list[int], list[int]]:
     """Of every node composite density, sum, characters, those of links, links; the sum is that of the densities of the blocks right inside a block.
