@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltide.llm import jaccard_join, language_id
+from voltide.llm.arrays import mixed
 from voltide.llm.components import connected
 
 
@@ -150,6 +151,38 @@ def test_runs_reach_the_recall():
     assert jaccard_join.runs_for(0.8, 0.999) > jaccard_join.runs_for(0.8, 0.9) >= 1
 
 
+@pytest.mark.parametrize("depth", [1, 2])
+def test_roots_reach_the_recall(depth, monkeypatch):
+    """Pairs at the threshold, by whether each minimum hash agrees; below the roots a bucket draws anew."""
+    monkeypatch.setattr(jaccard_join, "DEPTH", depth)
+    rng = np.random.default_rng(3)
+    n, k = 200_000, jaccard_join.COORDINATES
+    roots = mixed(np.arange(1, jaccard_join.runs_for(0.8, 0.999) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    agree = rng.random((n, k)) < 0.8
+    common = agree.astype(int) @ jaccard_join._drawn(roots, 0.8).sum(0)
+    for _ in range(depth):
+        common = rng.binomial(common * agree.sum(1), 1 / (0.8 * k))
+    lost = ((common == 0) | (agree.mean(1) < 0.6)).mean()
+    assert lost <= 0.001 * 1.15  # two standard deviations of this sample
+    assert abs(lost - jaccard_join.miss_probability(0.8, 0.999, len(roots))) < 0.0002
+
+
+def test_high_recall_lowers_the_floor():
+    runs = jaccard_join.runs_for(0.8, 0.99999)
+    assert jaccard_join.miss_probability(0.8, 0.99999, runs) <= 0.00001 < jaccard_join.miss_probability(0.8, 0.99999, runs - 1)
+
+
+def test_pairs_at_the_threshold_in_split_buckets(spark, monkeypatch):
+    """Pairs with 8 of 10 shingles in common, in buckets that are split to the deepest level."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 1)
+    n, rows = 6000, []
+    for k in range(n):
+        words = [f"w{k}x{j}" for j in range(14)]
+        rows += [(2 * k, " ".join(words[:-1])), (2 * k + 1, " ".join(words[1:]))]
+    found = jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).where("n_links = 1").count()
+    assert 2 * n - found <= 2 * 0.0015 * n
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(500, 516)] + [(700, 700)]

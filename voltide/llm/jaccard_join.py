@@ -54,14 +54,50 @@ def shingles(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs_for(similarity: float, recall: float) -> int:
-    """Runs after which a pair at the threshold, split down to the deepest level, is found with probability ``recall``.
+    """The first number of runs after which a pair at the threshold, split down to the deepest level, is found with probability ``recall``."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must be between 0 and 1")
+    runs = 1
+    while miss_probability(similarity, recall, runs) > 1 - recall:
+        runs += 1
+    return runs
 
-    A node draws 1 / similarity tokens on average, so such a pair has one common child on average at every level.
+
+def miss_probability(similarity: float, recall: float, runs: int) -> float:
+    """That of a pair at the threshold whose buckets are all split down to the deepest level, with the coordinates that these roots draw.
+
+    Each minimum hash of such a pair agrees with probability ``similarity``. Below the roots every coordinate is drawn anew in every
+    bucket. A pair that agrees on less than the floor of the estimate is lost in any case.
     """
-    stays = 1.0
-    for _ in range(DEPTH + 1):
-        stays = 1 - math.exp(-stays)
-    return math.ceil(math.log(1 - recall) / math.log(1 - stays))
+    agree = np.arange(COORDINATES + 1)
+    share = min(1.0, 1 / (similarity * COORDINATES))  # of a coordinate to be drawn by a node
+    lost = np.zeros(COORDINATES + 1)  # in a common bucket, by how many coordinates agree
+    for _ in range(DEPTH):
+        lost = (1 - share + share * lost) ** agree
+    chance = np.zeros((COORDINATES + 1, COORDINATES + 1))  # with ``lost`` of a row, of so many coordinates that agree and no common bucket that finds the pair
+    chance[:, 0] = 1
+    for drawn in _drawn(_roots(runs), similarity).sum(0).tolist():
+        more = chance * (1 - similarity)
+        more[:, 1:] += chance[:, :-1] * similarity * (lost**drawn)[:, None]
+        chance = more
+    below = agree < _floor(similarity, recall) * COORDINATES
+    return float(np.where(below, _agreeing(similarity), np.diag(chance)).sum())
+
+
+def _agreeing(similarity: float) -> np.ndarray:
+    """Probability of each number of minimum hashes that agree."""
+    return np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+
+
+def _floor(similarity: float, recall: float) -> float:
+    """Estimate from which a pair is linked: four standard deviations below the threshold, or less where that loses over half of 1 - recall."""
+    lost = np.concatenate([[0.0], np.cumsum(_agreeing(similarity))])  # with so many or more wanted
+    least = np.flatnonzero(lost[:-1] <= (1 - recall) / 2)[-1] / COORDINATES
+    return min(similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES), float(least))
+
+
+def _roots(runs: int) -> np.ndarray:
+    return mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
 def _drawn(paths: np.ndarray, similarity: float) -> np.ndarray:
@@ -76,7 +112,7 @@ def _child(paths: np.ndarray, coordinate: np.ndarray, value: np.ndarray) -> np.n
 
 def described(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, runs: int) -> DataFrame:
     """Per row: ``id``, ``text_key``, ``node`` (128-bit digest of the set, null if empty), ``size``, ``marks``, ``roots`` (buckets of all runs)."""
-    roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    roots = _roots(runs)
     run, coordinate = np.nonzero(_drawn(roots, similarity))
 
     def work(part: pa.RecordBatch, texts: Texts) -> list:
@@ -128,9 +164,8 @@ def _pairs(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return a, np.arange(len(a)) - before[a] + a + 1
 
 
-def _bucket_links(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+def _bucket_links(rows: DataFrame, keys: list[str], similarity: float, floor: float) -> DataFrame:
     """``a, b``: each set of a bucket with the first of those that it is linked with there, by estimate; at most a row per row."""
-    floor = similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
@@ -176,8 +211,9 @@ def _in_cells(rows: DataFrame, count: str, block: int) -> DataFrame:
     )
 
 
-def candidates(sets: DataFrame, similarity: float) -> DataFrame:
+def candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
     """Links ``a, b`` between sets that a bucket holds together and whose estimate may reach the threshold."""
+    floor = _floor(similarity, recall)
     facts = sets.select("node", "size", "marks")
     rows, links = sets.select(F.explode("roots").alias("bucket"), "node"), None
     for depth in range(DEPTH + 1):
@@ -185,7 +221,7 @@ def candidates(sets: DataFrame, similarity: float) -> DataFrame:
         counts = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"bucket-counts-{depth}")
         live = materialise(rows.join(counts, "bucket").join(facts, "node"), f"bucket-rows-{depth}")
         small = live if depth == DEPTH else live.where(F.col("n") <= LEAF)
-        found = _bucket_links(_in_cells(small, "n", LEAF), ["bucket", "low", "high"], similarity)
+        found = _bucket_links(_in_cells(small, "n", LEAF), ["bucket", "low", "high"], similarity, floor)
         links = found if links is None else links.union(found)
         large = live.where(F.col("n") > LEAF)
         if depth == DEPTH or large.isEmpty():
@@ -267,7 +303,7 @@ def near_classes(
             F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "text_key")).alias("of"), F.first("size").alias("size"),
             F.first("marks").alias("marks"), F.first("roots").alias("roots"),
         ), "join-sets")
-    groups = connected(candidates(sets, similarity), "join-candidates")
+    groups = connected(candidates(sets, similarity, recall), "join-candidates")
     counted = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").join(sets.select("node", "copies", "of"), "node")
     texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key")).alias("_of"), F.col(text_col).alias("text"))
     members = counted.join(texts, F.col("of").eqNullSafe(F.col("_of"))).dropDuplicates(["node"]).select("component", "n", "node", "copies", "text")
