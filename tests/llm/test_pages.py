@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from voltide.llm import html_density, warc_fixity
+from voltide.llm import html_density, queries, warc_fixity
 from voltide.llm.html_density import main_text
 
 LONG = "Some long paragraph of text that goes on and on for quite a while."
@@ -117,6 +117,13 @@ def test_damage_is_found(index, leaf, fanout, monkeypatch):
     assert got == want
 
 
+def test_query_with_null_and_repeated_ids(spark, tmp_path):
+    rows = [(None, "u", "a"), (None, "u", "a"), (None, None, None), (7, "u", "one"), (7, "u", "other"), (7, "u", "one"), (5, "u", "xy"), (5, "u", "xz"), (17, "u", "q"), (8, "u", "z")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id or 0, r.status) for r in queries.QUERIES["op2_warc_fixity"](spark, str(tmp_path)).collect()))
+    assert got == [*[(0, "intact")] * 3, *[(5, "altered")] * 2, *[(7, "intact")] * 3, (8, "intact"), (17, "missing")]
+
+
 def test_node_digests(spark):
     rows = [("a", 0, "x"), ("a", 70_000, None), ("a", 10, "y"), ("b", 5, "x"), ("b", 5, "x")]
     nodes = warc_fixity.merkle_nodes(spark.createDataFrame(rows, "archive string, offset long, digest string"), 2).collect()

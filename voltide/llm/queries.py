@@ -33,14 +33,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a replica of the page archives in which every 97th page has a byte changed, another is cut short and another lost."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    index = warc_fixity.archived(pages)
     kind = F.pmod("page_id", F.lit(97))
-    stored = pages.where(kind != 17).withColumn(
-        "html", F.when(kind == 5, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 2))).when(kind == 11, F.substring("html", 1, 100)).otherwise(F.col("html"))
-    )
-    # The replica is read at the offsets of the index, as an audit of stored files does.
-    again = warc_fixity.archived(stored).select("id", F.col("digest").alias("read"))
-    replica = index.join(again, "id").select("archive", "offset", "length", "id", F.col("read").alias("digest"))
+    stored = F.when(kind == 5, F.concat(F.lit("#"), F.substring("html", 2, 2**31 - 2))).when(kind == 11, F.substring("html", 1, 100)).otherwise(F.col("html"))
+    # The replica is read at the offsets of the index, as an audit of stored files does: each record in the place of its own row.
+    read = warc_fixity.archived(pages, stored=stored)
+    index = read.drop("read")
+    lost = F.coalesce(F.pmod("id", F.lit(97)) == 17, F.lit(False))
+    replica = read.where(~lost).select("archive", "offset", "length", "id", F.col("read").alias("digest"))
     wrong = warc_fixity.audit(index, replica).select("archive", "offset", "found", "status")
     return index.join(wrong, ["archive", "offset"], "left").select(
         F.col("id").alias("page_id"), "archive", F.col("offset").alias("record_offset"), "length", "digest", "found", F.coalesce("status", F.lit("intact")).alias("status")

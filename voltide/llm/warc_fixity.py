@@ -26,20 +26,25 @@ def warc_record(id: Column, url: Column, payload: Column) -> Column:
     )
 
 
-def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", records: int = ARCHIVE_RECORDS) -> DataFrame:
+def archived(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", records: int = ARCHIVE_RECORDS, stored: Column | None = None,
+) -> DataFrame:
     """The index of the archives that hold ``pages``: ``archive, offset, length, id, digest``, one row per row of ``pages``.
 
     Ids in runs of ``records`` share an archive and lie there in their order, equal ids in that of their digests. Rows without id
     are spread over archives by their digest. A record is hashed where it is read; only its hash and length are shuffled.
+    With ``stored``, the payload that another replica holds in place of a row's, ``read`` is the digest of that replica's record.
     """
     record = warc_record(F.col(id_col), F.col(url_col), F.col(payload_col))
-    hashed = pages.select(F.col(id_col).alias("id"), record.alias("_record")).select(
-        "id", F.octet_length("_record").cast("long").alias("length"), F.sha2("_record", 256).alias("digest")
+    again = [] if stored is None else [F.sha2(warc_record(F.col(id_col), F.col(url_col), stored), 256).alias("read")]
+    kept = ["read"] if again else []
+    hashed = pages.select(F.col(id_col).alias("id"), record.alias("_record"), *again).select(
+        "id", F.octet_length("_record").cast("long").alias("length"), F.sha2("_record", 256).alias("digest"), *kept
     )
     place = F.coalesce(F.floor(F.col("id") / records).cast("string"), F.concat(F.lit("none-"), F.substring("digest", 1, 4)))
     before = Window.partitionBy("archive").orderBy("id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return hashed.withColumn("archive", place).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(
-        "archive", "offset", "length", "id", "digest"
+        "archive", "offset", "length", "id", "digest", *kept
     )
 
 
