@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltide.llm import content_sort, fair_mix, html_density, jaccard_join, language_id, quality_pu, rule_ledger, sentence_pieces, token_counts, warc_fixity
+from voltide.llm import content_sort, fair_mix, html_density, jaccard_join, language_id, line_dedup, quality_pu, rule_ledger, sentence_pieces, token_counts, warc_fixity
 
 #: Tokenizer model, and the tokens a training sequence holds.
 PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -85,6 +85,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup.dedup_lines(documents(spark, sf_dir), min_chars=20, min_docs=3)
+    return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc_fixity": op2_warc_fixity,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_content_sort": op9_content_sort,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_line_dedup": op11_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -170,4 +176,15 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_line_dedup": """
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), E'\\n')) AS line, generate_subscripts(string_split(coalesce(text, ''), E'\\n'), 1) AS place
+            FROM documents),
+        k AS (SELECT *, translate(trim(line, E' \\t\\n\\x0b\\x0c\\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        s AS (SELECT key, max(doc_id) AS best FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        d AS (SELECT k.*, best IS NOT NULL AND doc_id <> best AS gone FROM k LEFT JOIN s USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, E'\\n' ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM d GROUP BY doc_id
+    """,
 }
