@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltide.llm import content_sort, fair_mix, html_density, jaccard_join, language_id, line_dedup, quality_pu, rule_ledger, sentence_pieces, token_counts, warc_fixity
+from voltide.llm import content_sort, fair_mix, filter_audit, html_density, jaccard_join, language_id, line_dedup, quality_pu, rule_ledger, sentence_pieces, token_counts, warc_fixity
 
 #: Tokenizer model, and the tokens a training sequence holds.
 PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -90,6 +90,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc_fixity": op2_warc_fixity,
@@ -102,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_content_sort": op9_content_sort,
     "op10_sentence_pieces": op10_sentence_pieces,
     "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -187,4 +192,34 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(string_agg(line, E'\\n' ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id
     """,
+    "op12_filter_audit": """
+        WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+        b AS (SELECT doc_id FROM labels WHERE quality = 1), x AS (SELECT doc_id FROM labels WHERE toxic = 1),
+        d AS (
+            SELECT part, doc_id IN (FROM b) AS good, doc_id IN (FROM x) AS toxic,
+                   {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words),
+                    'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+                    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > least, false)} AS f
+            FROM w),
+        c AS (SELECT part, good, toxic, f, count(*) AS n FROM d GROUP BY ALL),
+        l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT o, unnest(range(1, 6)) AS step FROM o),
+        m AS (SELECT *, map_from_entries([('A', f.A), ('B', f.B), ('C', f.C), ('D', f.D), ('E', f.E)]) AS g FROM c),
+        r AS (
+            SELECT part, o, step, o[step] AS x, good, toxic, n, g[o[step]] AS fails, len(list_filter(o[1:step - 1], lambda y: g[y])) > 0 AS earlier,
+                   len(list_filter(o, lambda y: g[y])) = 1 AS single
+            FROM m, s),
+        a AS (
+            SELECT part, o, step, x, coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (fails AND single), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(n) FILTER (fails AND NOT earlier AND good), 0)::BIGINT AS good_lost,
+                   coalesce(sum(n) FILTER (fails AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost
+            FROM r GROUP BY part, o, step, x)
+        SELECT part, array_to_string(o, '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+        FROM a
+    """,
 }
