@@ -147,6 +147,35 @@ def test_join_of_groups(spark, leaf, block, monkeypatch):
     assert all(a[2] <= b[2] for a, b in zip(have, want)) and lost <= 0.001 * sum(b[2] for b in want)
 
 
+@pytest.mark.parametrize(("groups", "others"), [((60,), 3), ((60,), 0), ((40, 40), 2), ((25, 25), 12)])
+def test_large_buckets_by_representatives(spark, groups, others, monkeypatch):
+    """One bucket of linked groups, of which nothing may be lost that a comparison of all pairs links; a finished bucket is not split."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 10)
+    monkeypatch.setattr(jaccard_join, "DEPTH", 0)
+    rng = np.random.default_rng(1)
+    rows = []
+    for size in (*groups, *[2] * others):
+        base = rng.integers(0, 1 << 16, 64, np.uint16)
+        for _ in range(size):
+            marks = base.copy()
+            marks[rng.integers(0, 64, 8)] = rng.integers(0, 1 << 16, 8)
+            rows.append((bytearray(rng.bytes(16)), 100, bytearray(marks.tobytes()), [7]))
+    sets = spark.createDataFrame(rows, "node binary, size long, marks binary, roots array<long>")
+    marks = np.array([np.frombuffer(r[2], np.uint16) for r in rows])
+    near = (marks[:, None] == marks[None]).mean(2) >= jaccard_join._floor(0.8, 0.999)
+    want = jaccard_join.components(len(rows), *np.nonzero(near))
+    place = {bytes(r[0]): k for k, r in enumerate(rows)}
+    links = [(place[bytes(r.a)], place[bytes(r.b)]) for r in jaccard_join.candidates(sets, 0.8, 0.999).collect()]
+    a, b = np.array(links).T
+    assert near[a, b].all()
+    assert (jaccard_join.components(len(rows), a, b) == want).all()
+    assert len(links) <= (2 if len(groups) == 1 else len(rows)) * len(rows)  # a group of its own costs a link or two per set
+
+
+def test_main_component():
+    assert jaccard_join._main({0: 5, 1: 7, 2: 4, 4: 4, 6: 1}) == (6, 12) and jaccard_join._main({0: 3}) == (0, 3) and jaccard_join._main({1: 2, 2: 2, 3: 1}) == (3, 0)
+
+
 def test_runs_reach_the_recall():
     assert jaccard_join.runs_for(0.8, 0.999) > jaccard_join.runs_for(0.8, 0.9) >= 1
 

@@ -2,8 +2,10 @@
 
 A run splits the sets on sampled shared tokens: a node of its tree draws a few of the tokens, and sets that share a drawn token go to
 the same child. A set stands in the tree by its minimum hashes, of which two sets share as large a part as their Jaccard index. Small
-buckets are compared by brute force on these hashes; a large one is split again, and what is still large at the deepest level is
-compared block by block. Runs are repeated until a pair at the threshold is found with the target recall.
+buckets are compared by brute force on these hashes. In a large one all sets are first compared with a few of them: those that are linked
+with the same one belong together already, so what is left to search are pairs with one of the others. Few others are compared with the
+whole bucket, in blocks; with many the bucket is split again, and what is still large at the deepest level is compared block by block.
+Runs are repeated until a pair at the threshold is found with the target recall.
 
 What the buckets find are candidate groups. Inside a group all pairs are then compared exactly, on the whole sets.
 """
@@ -28,6 +30,8 @@ from voltide.session import materialise
 COORDINATES = 64
 #: Levels below the root at which large buckets are split; sets of a bucket or block that are compared with each other.
 DEPTH, LEAF, BLOCK = 2, 512, 128
+#: Sets of a large bucket that all others of it are compared with before it is split.
+REPRESENTATIVES = 4
 
 _FACTORS = mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _XOR, _ODD = _FACTORS[:COORDINATES], _FACTORS[COORDINATES:] | np.uint64(1)
@@ -165,11 +169,15 @@ def _pairs(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_links(rows: DataFrame, keys: list[str], similarity: float, floor: float) -> DataFrame:
-    """``a, b``: each set of a bucket with the first of those that it is linked with there, by estimate; at most a row per row."""
+    """``a, b``: each set of a bucket with the first of those that it is linked with there, by estimate; at most a row per row.
+
+    Only pairs with a set that is ``open`` are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             marks, sizes = _marks(table.column("marks").combine_chunks()), table.column("size").to_numpy()
+            wanted = table.column("open").to_numpy(zero_copy_only=False).astype(bool)
             starts = group_starts(table, keys)
             ends = np.append(starts[1:], len(table))
             large = ends - starts > 64
@@ -177,11 +185,14 @@ def _bucket_links(rows: DataFrame, keys: list[str], similarity: float, floor: fl
             small = np.concatenate([np.arange(s, e) for s, e in zip(starts[~large], ends[~large])]) if (~large).any() else np.empty(0, np.int64)
             lengths = (ends - starts)[~large]
             a, b = _pairs(np.cumsum(lengths) - lengths, len(small))
+            some = wanted[small[a]] | wanted[small[b]]
+            a, b = a[some], b[some]
             for k in range(0, len(a), 1 << 17):
                 found.append(_close(marks, sizes, small[a[k : k + (1 << 17)]], small[b[k : k + (1 << 17)]], similarity, floor))
             for s, e in zip(starts[large].tolist(), ends[large].tolist()):
+                places = np.arange(s, e)
                 for k in range(s, e):
-                    rest = np.arange(k + 1, e)
+                    rest = places[k + 1 - s :] if wanted[k] else places[k + 1 - s :][wanted[k + 1 : e]]
                     found.append(_close(marks, sizes, np.full(len(rest), k), rest, similarity, floor))
             a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
             label = components(len(table), a, b)
@@ -211,22 +222,105 @@ def _in_cells(rows: DataFrame, count: str, block: int) -> DataFrame:
     )
 
 
+def _represented(large: DataFrame, similarity: float, floor: float, name: str) -> tuple[DataFrame, DataFrame]:
+    """Large buckets compared with representatives: links ``a, b``, and the rows with ``open`` (must still be compared) and ``n_open``.
+
+    A bucket's largest component of sets that are linked by representatives needs no search among its own; all others are open.
+    """
+    pick = F.pmod(F.xxhash64("node"), F.lit(REPRESENTATIVES)).alias("pick")
+    first = large.groupBy("bucket", pick).agg(F.min(F.struct("node", "size", "marks")).alias("_one"))
+    chosen = materialise(first.groupBy("bucket").agg(F.sort_array(F.collect_list("_one")).alias("ones")), f"{name}-representatives")
+    kinds = {"bucket": T.LongType(), "node": T.BinaryType(), "size": T.LongType(), "marks": T.BinaryType(), "n": T.LongType(), "near": T.IntegerType(), "to": T.ArrayType(T.BinaryType())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = len(batch)
+            ones = batch.column(batch.schema.get_field_index("ones"))
+            starts, flat = ones.offsets.to_numpy(), ones.values
+            marks, sizes = _marks(batch.column(3)), batch.column(2).to_numpy()
+            nodes, one_nodes = batch.column(1).to_pylist(), flat.field("node").to_pylist()
+            one_marks, one_sizes = _marks(flat.field("marks")), flat.field("size").to_numpy()
+            buckets = batch.column(0).to_numpy()
+            near, to = np.zeros(rows, np.int32), [[] for _ in range(rows)]
+            for k in range(REPRESENTATIVES):
+                row = np.flatnonzero(starts[:-1] + k < starts[1:])
+                at = starts[row] + k
+                a, _ = _close(np.concatenate([marks, one_marks]), np.concatenate([sizes, one_sizes]), row, rows + at, similarity, floor)
+                near[a] |= 1 << k
+            told = set()  # of a bucket, which representatives a set has joined already
+            for row in np.flatnonzero(near).tolist():
+                bits, key = int(near[row]), (int(buckets[row]), int(near[row]))
+                joins = [k for k in range(REPRESENTATIVES) if bits >> k & 1]
+                to[row] = [one_nodes[starts[row] + k] for k in (joins[:1] if key in told else joins) if one_nodes[starts[row] + k] != nodes[row]]
+                told.add(key)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(near), pa.array(to, pa.list_(pa.binary()))], list(kinds))
+
+    fields = T.StructType([T.StructField(c, kind) for c, kind in kinds.items()])
+    seen = large.join(chosen, "bucket").select("bucket", "node", "size", "marks", "n", "ones").mapInArrow(run, fields)
+    seen = materialise(seen, f"{name}-represented")
+    links = seen.select(F.col("node").alias("a"), F.explode("to").alias("b"))
+    masks = seen.groupBy("bucket", "near").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.collect_list(F.struct("near", "m")).alias("masks"))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mains, opens = zip(*(_main({x["near"]: x["m"] for x in masks}) for masks in batch.column(1).to_pylist())) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mains, pa.int32()), pa.array(opens, pa.int64())], ["bucket", "main", "n_open"])
+
+    settled = materialise(masks.mapInArrow(settle, "bucket long, main int, n_open long"), f"{name}-settled")
+    rows = seen.drop("to").join(settled, "bucket").withColumn("open", F.col("near").bitwiseAND(F.col("main")) == 0)
+    return links, rows.drop("near", "main")
+
+
+def _main(masks: dict[int, int]) -> tuple[int, int]:
+    """Of rows counted by the representatives they are linked with: those of the largest component, and the rows outside it."""
+    parts: list[int] = []
+    for mask in masks:
+        if mask:
+            joined = [x for x in parts if x & mask]
+            parts = [x for x in parts if not x & mask] + [sum(joined) | mask]
+    inside = {part: sum(n for mask, n in masks.items() if mask & part) for part in parts}
+    main = max(inside, key=lambda x: (inside[x], x), default=0)
+    return main, sum(masks.values()) - inside.get(main, 0)
+
+
+def _open_cells(rows: DataFrame) -> DataFrame:
+    """Open rows once for each block of their bucket, all others in their own block."""
+    blocks = F.ceil(F.col("n") / F.lit(LEAF)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    at = F.when(F.col("open"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    return rows.withColumn("low", F.explode(at)).withColumn("high", F.col("low"))
+
+
 def candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Links ``a, b`` between sets that a bucket holds together and whose estimate may reach the threshold."""
+    """Links ``a, b`` between sets that a bucket holds together and whose estimate may reach the threshold.
+
+    They connect what any such pairs would connect: in a bucket whose sets are linked with representatives, pairs among these are left out.
+    """
     floor = _floor(similarity, recall)
+    keys = ["bucket", "low", "high"]
     facts = sets.select("node", "size", "marks")
-    rows, links = sets.select(F.explode("roots").alias("bucket"), "node"), None
+    rows, links = sets.select(F.explode("roots").alias("bucket"), "node"), []
     for depth in range(DEPTH + 1):
         # Written first: with plain shuffles on both sides of the join, Spark can split the rows of a hot bucket.
         counts = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), f"bucket-counts-{depth}")
         live = materialise(rows.join(counts, "bucket").join(facts, "node"), f"bucket-rows-{depth}")
-        small = live if depth == DEPTH else live.where(F.col("n") <= LEAF)
-        found = _bucket_links(_in_cells(small, "n", LEAF), ["bucket", "low", "high"], similarity, floor)
-        links = found if links is None else links.union(found)
+        small = live.where(F.col("n") <= LEAF).withColumn("open", F.lit(True))
+        links.append(_bucket_links(_in_cells(small, "n", LEAF), keys, similarity, floor))
         large = live.where(F.col("n") > LEAF)
-        if depth == DEPTH or large.isEmpty():
-            return links
-        rows = _children(large, similarity)
+        if large.isEmpty():
+            break
+        joined, large = _represented(large, similarity, floor, f"bucket-{depth}")
+        few = large.where((F.col("n_open") > 0) & (F.col("n_open") <= LEAF))
+        many = large.where(F.col("n_open") > LEAF)
+        links += [joined, _bucket_links(_open_cells(few), keys, similarity, floor)]
+        if depth == DEPTH:
+            links.append(_bucket_links(_in_cells(many, "n", LEAF), keys, similarity, floor))
+        else:
+            rows = _children(many, similarity)
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
 
 
 def _verified(rows: DataFrame, words: int, similarity: float) -> DataFrame:
