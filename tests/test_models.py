@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltide.operators import garch_fit as GF
+from voltide.operators import garch_score as GS
 from voltide.operators import hmm as H
 from voltide.operators import regime_models as RM
 from voltide.plans.series import Series
@@ -58,6 +59,55 @@ def test_distributed_fit_equals_local(return_rows):
     pd.testing.assert_frame_equal(local, split[local.columns], rtol=1e-9)
 
 
+def test_windows_are_fitted_as_if_alone(return_rows, returns):
+    """Every refit of the expanding window, whole and with blocks apart, against a fit of that window by itself."""
+    cuts = GF.refit_cuts(return_rows, SMALL, 48)
+    packed = GF.materialise(GF.pack(GF.train_test_split(return_rows, SMALL), SMALL, order="rn"), "packed")
+    ends = {(r["symbol"], r["refit"]): r["cut"] for r in cuts.collect()}
+    for local_rows in (10**6, 100):
+        fits = GF.fit_packed(packed, cuts, ["symbol"], local_rows).collect()
+        assert len(fits) == len(ends)
+        for f in fits:
+            window = returns[f["symbol"]][: ends[f["symbol"], f["refit"]]]
+            assert f["n"] == len(window)
+            if len(window) < 30:
+                assert f["omega"] is None
+                continue
+            assert abs(f["loglik"] - loglik(window, f["omega"], f["alpha"], f["beta"])) < 1e-6
+            counts, best = GF.fit_series(pd.DataFrame({"block": [0], "squares": [window**2], "previous": [np.append(np.nan, window[:-1] ** 2)],
+                                                       "rn": [np.arange(len(window))]}), np.array([len(window)]))
+            alone = -0.5 * (len(window) * np.log(2 * np.pi) + best[0, 3])
+            assert abs(f["loglik"] - alone) < 1e-4
+
+
+def test_gradient_and_blocks(returns):
+    """Gradient by differences of the likelihood; a series cut anywhere gives the same sums."""
+    r = returns["B"]
+    squares, previous = r**2, np.append(np.nan, r[:-1] ** 2)
+    theta = np.array([[0.2, 0.25, 0.6], [0.05, 0.4, 0.01], [1.0, 1e-6, 0.99]])
+    whole = GS.block_sums(squares, previous, theta, GS.entering(theta), np.array([0]))[0]
+    for k in range(3):
+        for c, t in enumerate(theta):
+            step = np.eye(3)[k] * 1e-7 * max(t[k], 1e-2)
+            slope = (loglik(r, *(t + step)) - loglik(r, *(t - step))) / (2 * step[k])
+            assert slope == pytest.approx(-0.5 * whole[1 + k, c], rel=1e-4, abs=1e-2)
+    for cut in (1, 2, 450, 899):
+        state = GS.block_end(previous[:cut], theta) + GS.passed(GS.entering(theta), theta, GS.block_steps(previous[:cut]))
+        both = GS.block_sums(squares[:cut], previous[:cut], theta, GS.entering(theta), np.array([0])) + GS.block_sums(squares[cut:], previous[cut:], theta, state, np.array([0]))
+        np.testing.assert_allclose(both[0], whole, rtol=1e-9)
+
+
+def test_gradient_vanishes_at_the_fit(returns):
+    for r in (returns["A"], returns["B"]):
+        data = pd.DataFrame({"block": [0], "squares": [r**2], "previous": [np.append(np.nan, r[:-1] ** 2)], "rn": [np.arange(len(r))]})
+        _, best = GF.fit_series(data, np.array([len(r)]))
+        gain, _ = GS.scoring_steps(best[0, :3], best[0, 3:], 1.0)
+        assert gain < GS.TOLERANCE
+    noise = np.random.default_rng(5).normal(0, 0.01, 800)
+    data = pd.DataFrame({"block": [0], "squares": [noise**2], "previous": [np.append(np.nan, noise[:-1] ** 2)], "rn": [np.arange(800)]})
+    assert np.isfinite(GF.fit_series(data, np.array([800]))[1]).all()
+
+
 def test_refit_cuts_match_the_rolling_loop(return_rows):
     got = GF.refit_cuts(return_rows.where("symbol = 'B'"), Series(), 48).orderBy("refit").collect()
     n, end = 900, 720

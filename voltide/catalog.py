@@ -605,6 +605,19 @@ def _(spark, d):
     return GF.garch_fit(filled_returns(spark, d), HOURS)
 
 
+@query("garch_scores_given", digits=4)
+def _(spark, d):
+    """Log-likelihood and gradient (by log omega, alpha, beta) of three given parameter sets on every expanding window."""
+    rows = filled_returns(spark, d)
+    sets = F.array(*[F.struct(F.lit(k).cast("long").alias("candidate"), *[F.lit(x).alias(c) for c, x in zip(("share", "alpha", "beta"), start)])
+                     for k, start in enumerate(GF.STARTS)])
+    given = rows.groupBy("symbol").agg(F.var_pop("log_return").alias("s2")).select("symbol", "s2", F.inline(sets))
+    candidates = given.select("symbol", "candidate", (F.col("s2") * F.col("share")).alias("omega"), "alpha", "beta")
+    scores = GF.scores_at_cuts(rows, HOURS, candidates, GF.refit_cuts(rows, HOURS, REFIT))
+    scale = candidates.select("symbol", "candidate", "omega")
+    return scores.join(scale, ["symbol", "candidate"]).withColumn("d_log_omega", F.col("d_omega") * F.col("omega")).drop("d_omega", "omega")
+
+
 @query("train_test_split")
 def _(spark, d):
     out = G.train_test_split(hour_returns(spark, d), HOURS)

@@ -1,9 +1,12 @@
-"""Gaussian maximum likelihood of GARCH(1,1) for many series at once.
+"""Gaussian maximum likelihood of GARCH(1,1) for many series, and many expanding windows of each, at once.
 
-Series are packed into blocks of consecutive rows. Series that fit into ``LOCAL_ROWS`` rows are fitted whole,
-one task each. Longer ones keep their blocks apart: in every search round all blocks score the same
-candidates in parallel, first reduced to transfer coefficients, then, once the variance entering each block
-is known, to their share of the likelihood. Both ways run the same search and give the same parameters.
+Series are packed into blocks of consecutive rows. A pass scores a few parameters, shared by all windows of a series, with likelihood,
+gradient and curvature at every window's end (``garch_score``); each window keeps the best, and windows that their gradient says are not
+done propose the next ones. So no row is copied for a window, and windows that end close to each other are fitted together.
+
+Series of up to ``LOCAL_ROWS`` rows are fitted in one task each. Longer ones keep their blocks apart: all blocks answer the parameters in
+parallel, a short table of blocks gives the state that enters each, and all are then summed up to the windows' ends. The state of the
+search is a table with a row per series. Both ways run the same search.
 """
 
 from __future__ import annotations
@@ -17,87 +20,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltide.operators.cleaning import finite_or_zero
-from voltide.operators.garch import FLOOR, in_force, train_test_split
+from voltide.operators.garch import in_force, train_test_split
+from voltide.operators.garch_score import (
+    STARTS, TERMS, Search, block_end, block_steps, block_sums, entering, first_candidates, passed,
+)
 from voltide.plans.series import Series, over_series
 from voltide.session import materialise
 
 LOCAL_ROWS = 65_536
 MIN_ROWS = 30
 BROADCAST_BYTES = 64 << 20
-ROUNDS, SHRINK, PER_BOX = 18, 0.62, 48
-OMEGA_MIN, ALPHA_MIN, ALPHA_MAX, BETA_MIN, BETA_MAX, PERSISTENCE_MAX = 1e-8, 1e-6, 0.45, 1e-6, 0.9999, 0.9999
-# start points as (share of the variance, alpha, beta), and the fallback (fixed values)
-STARTS = ((0.05, 0.10, 0.85), (0.10, 0.15, 0.80), (0.02, 0.05, 0.93))
+ROUNDS = 40
+# parameters where a fit is impossible (fixed values): share of the variance, alpha, beta
 FALLBACK = (0.05, 0.10, 0.85)
-HALF_WIDTH = np.array([3.0, 0.2, 0.5])
-N_CANDIDATES = len(STARTS) * PER_BOX
-
-
-def start_centers(sigma2: float) -> np.ndarray:
-    """Box centers as (log omega, alpha, beta)."""
-    return np.array([[np.log(max(share * sigma2, OMEGA_MIN)), a, b] for share, a, b in STARTS])
-
-
-def candidates(centers: np.ndarray, turn: int) -> np.ndarray:
-    """Candidates around each center, the center itself first; the same everywhere for the same round."""
-    draw = np.random.default_rng(1000 + turn).uniform(-1, 1, (len(STARTS), PER_BOX, 3))
-    draw[:, 0, :] = 0.0
-    points = (centers[:, None, :] + draw * HALF_WIDTH * SHRINK**turn).reshape(-1, 3)
-    omega = np.maximum(np.exp(points[:, 0]), OMEGA_MIN)
-    alpha = np.clip(points[:, 1], ALPHA_MIN, ALPHA_MAX)
-    beta = np.clip(points[:, 2], BETA_MIN, BETA_MAX)
-    return np.column_stack([omega, alpha, np.minimum(beta, PERSISTENCE_MAX - 1e-6 - alpha)])
-
-
-def entering(theta: np.ndarray) -> np.ndarray:
-    return theta[:, 0] / np.maximum(1 - theta[:, 1] - theta[:, 2], 1e-6)
-
-
-def block_score(squares: np.ndarray, previous: np.ndarray, theta: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of ln h + r^2 / h per candidate over one block, and the variance leaving it."""
-    omega, alpha, beta = theta.T
-    total = np.zeros(len(theta))
-    for r2, p2 in zip(squares.tolist(), previous.tolist()):
-        if p2 == p2:  # NaN marks the first row of the series, which keeps the entering variance
-            h = np.maximum(omega + alpha * p2 + beta * h, FLOOR)
-        floored = np.maximum(h, FLOOR)
-        total += np.log(floored) + r2 / floored
-    return total, h
-
-
-def block_transfer(previous: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A, B, L) with leaving variance = max(A * entering + B, L)."""
-    omega, alpha, beta = theta.T
-    a, b, low = np.ones(len(theta)), np.zeros(len(theta)), np.full(len(theta), FLOOR)
-    for p2 in previous.tolist():
-        if p2 == p2:
-            step = omega + alpha * p2
-            a, b, low = beta * a, beta * b + step, np.maximum(beta * low + step, FLOOR)
-    return a, b, low
-
-
-def next_centers(theta: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best candidate of each box as the new centers, and their scores."""
-    boxes = score.reshape(len(STARTS), PER_BOX)
-    best = np.nanargmin(np.where(np.isfinite(boxes), boxes, np.inf), axis=1)
-    picked = theta.reshape(len(STARTS), PER_BOX, 3)[np.arange(len(STARTS)), best]
-    return np.column_stack([np.log(picked[:, 0]), picked[:, 1:]]), boxes[np.arange(len(STARTS)), best]
-
-
-def fit_blocks(blocks: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -> tuple[float, float, float, float]:
-    """Whole search for one series of bounded length: (omega, alpha, beta, log-likelihood)."""
-    squares = np.concatenate([b[0] for b in blocks])
-    previous = np.concatenate([b[1] for b in blocks])
-    returns_mean2 = squares.mean()
-    centers = start_centers(float(returns_mean2))
-    score = None
-    for turn in range(rounds):
-        theta = candidates(centers, turn)
-        total, _ = block_score(squares, previous, theta, entering(theta))
-        centers, score = next_centers(theta, total)
-    i = int(np.argmin(score))
-    loglik = -0.5 * (len(squares) * np.log(2 * np.pi) + score[i])
-    return float(np.exp(centers[i, 0])), float(centers[i, 1]), float(centers[i, 2]), float(loglik)
+FITTED = ("omega", "alpha", "beta", "loglik")
+VECTOR = T.ArrayType(T.DoubleType())
 
 
 def pack(df: DataFrame, s: Series, order: str | None = None, returns: str = "log_return") -> DataFrame:
@@ -118,120 +55,242 @@ def pack(df: DataFrame, s: Series, order: str | None = None, returns: str = "log
     )
 
 
-def expand_refits(blocks: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Blocks of every expanding training window: rows with index below the refit's cut."""
-    pairs = blocks.join(cuts, list(keys)).withColumn("_keep", F.size(F.filter("rn", lambda i: i < F.col("cut"))))
-    kept = pairs.where(F.col("_keep") > 0)
-    return kept.withColumns(
-        {"squares": F.slice("squares", F.lit(1), F.col("_keep")), "previous": F.slice("previous", F.lit(1), F.col("_keep")),
-         "n": F.col("_keep").cast("long")}
-    ).drop("_keep", "cut", "rn")
+def _fields(df: DataFrame, names: Sequence[str], **more: T.DataType) -> T.StructType:
+    return T.StructType([df.schema[c] for c in names] + [T.StructField(c, kind) for c, kind in more.items()])
+
+
+def _arrays(pdf: pd.DataFrame, column: str) -> list[np.ndarray]:
+    return [np.asarray(x, float) for x in pdf[column]]
+
+
+def _apart(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for a cogroup with frames derived from the same table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _parts(rn: Sequence[int], cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Where in a block the rows of another window begin, the first window that has each part, and the rows that any window has."""
+    window = np.searchsorted(cuts, np.asarray(rn), side="right")
+    window = window[window < len(cuts)]  # in time order; what is behind the last cut is in no window
+    starts = np.flatnonzero(np.diff(window, prepend=-1)) if len(window) else np.empty(0, int)
+    return starts, window[starts], len(window)
+
+
+def _up_to(parts: Sequence[tuple[int, np.ndarray]], windows: int, shape: tuple[int, ...]) -> np.ndarray:
+    """Running sums over the windows of what each adds."""
+    out = np.zeros((windows, *shape))
+    for window, value in parts:
+        out[window] += value
+    return out.cumsum(0)
 
 
-def _fields(df: DataFrame, names: Sequence[str], *more: str) -> T.StructType:
-    kinds = {"n": T.LongType()}
-    return T.StructType([df.schema[c] for c in names] + [T.StructField(c, kinds.get(c, T.DoubleType())) for c in more])
+def _results(key: tuple, refits: Sequence[int], counts: np.ndarray, best: np.ndarray) -> list[list]:
+    out = []
+    for refit, n, found in zip(refits, counts, best):
+        fitted = [None] * 4 if n < MIN_ROWS or not np.isfinite(found).all() else [*found[:3], -0.5 * (n * np.log(2 * np.pi) + found[3])]
+        out.append([*key, int(refit), int(n), *fitted])
+    return out
 
 
-def _fit_local(blocks: DataFrame, groups: list[str], rounds: int) -> DataFrame:
+def fit_series(blocks: pd.DataFrame, cuts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of each window that ends before a cut, and the best parameters with their sums; no fit for a window of under ``MIN_ROWS`` rows."""
+    blocks = blocks.sort_values("block")
+    data = list(zip(_arrays(blocks, "squares"), _arrays(blocks, "previous"), [_parts(rn, cuts) for rn in blocks["rn"]]))
+    ends = [(w, (b - a, squares[a:b].sum())) for squares, _, (starts, windows, n) in data for a, b, w in zip(starts, [*starts[1:], n], windows)]
+    totals = _up_to([(w, np.array(x, float)) for w, x in ends], len(cuts), (2,))
+    counts = totals[:, 0].astype(int)
+    fitted = counts >= MIN_ROWS
+    search = Search.of(len(cuts))
+    if not fitted.any():
+        return counts, search.best
+    theta = first_candidates(totals[fitted, 1] / counts[fitted])
+    for _ in range(rounds):
+        state, parts = entering(theta), []
+        for squares, previous, (starts, windows, n) in data:
+            if n:
+                parts += zip(windows, block_sums(squares[:n], previous[:n], theta, state, starts))
+            state = block_end(previous, theta) + passed(state, theta, block_steps(previous))
+        sums = _up_to(parts, len(cuts), (TERMS, len(theta)))
+        sums[~fitted] = np.nan
+        search.take(theta, sums)
+        theta = search.theta
+        if not len(theta):
+            break
+    return counts, search.best
+
+
+def _fit_local(blocks: DataFrame, cuts: DataFrame, groups: list[str], rounds: int) -> DataFrame:
     """A fit is long and its input short, so the partitions are fixed and not merged by size."""
 
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        n = int(pdf["n"].sum())
-        if n < MIN_ROWS:
-            theta = (None, None, None, None)
-        else:
-            theta = fit_blocks([(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(pdf["squares"], pdf["previous"])], rounds)
-        return pd.DataFrame([[*key, n, *theta]], columns=[*groups, "n", "omega", "alpha", "beta", "loglik"])
+    def fit(key: tuple, rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        names = [*groups, "refit", "n", *FITTED]
+        if not len(rows) or not len(ends):
+            return pd.DataFrame([], columns=names)
+        ends = ends.sort_values("cut")
+        counts, best = fit_series(rows, ends["cut"].to_numpy(), rounds)
+        return pd.DataFrame(_results(key, ends["refit"], counts, best), columns=names)
 
     partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = blocks.repartition(partitions, *groups)
-    return spread.groupBy(*groups).applyInPandas(fit, _fields(blocks, groups, "n", "omega", "alpha", "beta", "loglik"))
-
-
-def _fit_distributed(blocks: DataFrame, groups: list[str], rounds: int) -> DataFrame:
-    """Search rounds as jobs over all blocks. Only box centers (9 numbers per series) pass through the driver."""
-    spark = blocks.sparkSession
-    blocks = blocks.select(*groups, "block", "n", "squares", "previous")
-    sizes = blocks.groupBy(*groups).agg(
-        F.sum("n").alias("n"), F.sum(F.aggregate("squares", F.lit(0.0), lambda a, b: a + b)).alias("total")
-    ).collect()
-    n_of = {tuple(r[g] for g in groups): r["n"] for r in sizes}
-    centers = {tuple(r[g] for g in groups): start_centers(r["total"] / r["n"]) for r in sizes}
-    key_fields = [blocks.schema[g] for g in groups]
-    state_schema = T.StructType([*key_fields, T.StructField("centers", T.ArrayType(T.DoubleType()))])
-    vector = T.ArrayType(T.DoubleType())
-    transfer_schema = T.StructType([*key_fields, blocks.schema["block"], *[T.StructField(c, vector) for c in ("a", "b", "low", "first")]])
-    carry_schema = T.StructType([*key_fields, blocks.schema["block"], T.StructField("carry", vector)])
-    score_schema = T.StructType([*key_fields, T.StructField("score", vector)])
-    best: dict[tuple, np.ndarray] = {}
-    for turn in range(rounds):
-        state = spark.createDataFrame([(*k, c.ravel().tolist()) for k, c in centers.items()], state_schema)
-        # known size: about 200 bytes per series; a plain join beyond the limit
-        work = blocks.join(F.broadcast(state) if len(centers) * 200 <= BROADCAST_BYTES else state, groups)
-
-        def transfer(batches: Iterator[pd.DataFrame], turn: int = turn) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for row in pdf.to_dict("records"):
-                    theta = candidates(np.asarray(row["centers"]).reshape(-1, 3), turn)
-                    a, b, low = block_transfer(np.asarray(row["previous"], float), theta)
-                    out.append([*[row[g] for g in groups], row["block"], a, b, low, entering(theta)])
-                yield pd.DataFrame(out, columns=[*groups, "block", "a", "b", "low", "first"])
-
-        def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("block")
-            h, carried = np.asarray(pdf["first"].iloc[0]), []
-            for a, b, low in zip(pdf["a"], pdf["b"], pdf["low"]):
-                carried.append(h)
-                h = np.maximum(a * h + b, low)
-            return pdf.assign(carry=carried)[[*groups, "block", "carry"]]
-
-        def score(batches: Iterator[pd.DataFrame], turn: int = turn) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for row in pdf.to_dict("records"):
-                    theta = candidates(np.asarray(row["centers"]).reshape(-1, 3), turn)
-                    total, _ = block_score(np.asarray(row["squares"], float), np.asarray(row["previous"], float), theta,
-                                           np.asarray(row["carry"]))
-                    out.append([*[row[g] for g in groups], total])
-                yield pd.DataFrame(out, columns=[*groups, "score"])
-
-        carried = work.mapInPandas(transfer, transfer_schema).groupBy(*groups).applyInPandas(carry, carry_schema)
-        scored = work.join(carried, [*groups, "block"]).mapInPandas(score, score_schema)
-        summed = scored.select(*groups, F.posexplode("score")).groupBy(*groups, "pos").agg(F.sum("col").alias("score"))
-        box = F.floor(F.col("pos") / F.lit(PER_BOX))
-        picked = summed.groupBy(*groups, box.alias("box")).agg(
-            F.min("score").alias("score"), F.min_by("pos", F.struct("score", "pos")).alias("pos")
-        )
-        fresh: dict[tuple, np.ndarray] = {k: c.copy() for k, c in centers.items()}
-        best = {k: np.zeros(len(STARTS)) for k in centers}
-        for r in picked.collect():
-            key = tuple(r[g] for g in groups)
-            theta = candidates(centers[key], turn)[r["pos"]]
-            fresh[key][r["box"]] = [np.log(theta[0]), theta[1], theta[2]]
-            best[key][r["box"]] = r["score"]
-        centers = fresh
-    rows = []
-    for k, c in centers.items():
-        i = int(np.argmin(best[k]))
-        loglik = -0.5 * (n_of[k] * np.log(2 * np.pi) + best[k][i])
-        rows.append((*k, int(n_of[k]), float(np.exp(c[i, 0])), float(c[i, 1]), float(c[i, 2]), float(loglik)))
-    return spark.createDataFrame(rows, _fields(blocks, groups, "n", "omega", "alpha", "beta", "loglik"))
-
-
-def fit_packed(blocks: DataFrame, groups: Sequence[str], local_rows: int = LOCAL_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """``(groups, n, omega, alpha, beta, loglik)``; NULL parameters where there are under 30 rows."""
+    schema = _fields(blocks, groups, refit=T.LongType(), n=T.LongType(), **dict.fromkeys(FITTED, T.DoubleType()))
+    left, right = blocks.repartition(partitions, *groups), _apart(cuts).repartition(partitions, *groups)
+    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(fit, schema)
+
+
+def _fit_distributed(blocks: DataFrame, cuts: DataFrame, groups: list[str], rounds: int) -> DataFrame:
+    """Passes as jobs over all blocks; the search of each series is a row of a table that every pass writes anew."""
+    blocks = blocks.select(*groups, "block", "squares", "previous", "rn")
+    ends = cuts.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct("cut", "refit"))).alias("_ends"))
+    ends = ends.select(*groups, F.transform("_ends", lambda x: x["cut"]).alias("cuts"), F.transform("_ends", lambda x: x["refit"]).alias("refits"))
+    longs = T.ArrayType(T.LongType())
+    state_schema = _fields(blocks, groups, cuts=longs, refits=longs, counts=longs, theta=VECTOR, best=VECTOR, stalled=longs)
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                at = np.asarray(row["cuts"])
+                totals = _up_to([(x["window"], np.array([x["n"], x["total"]], float)) for x in row["parts"]], len(at), (2,))
+                some = totals[:, 0] >= MIN_ROWS
+                search = Search.of(len(at))
+                theta = first_candidates(totals[some, 1] / totals[some, 0]) if some.any() else search.theta
+                out.append([*[row[g] for g in groups], at, row["refits"], totals[:, 0].astype(int), theta.ravel(), search.best.ravel(), search.stalled])
+            yield pd.DataFrame(out, columns=state_schema.names)
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                squares = np.asarray(row["squares"], float)
+                starts, windows, n = _parts(row["rn"], np.asarray(row["cuts"]))
+                out += [[*[row[g] for g in groups], int(w), int(b - a), squares[a:b].sum()] for a, b, w in zip(starts, [*starts[1:], n], windows)]
+            yield pd.DataFrame(out, columns=[*groups, "window", "n", "total"])
+
+    part_schema = _fields(blocks, groups, window=T.LongType(), n=T.LongType(), total=T.DoubleType())
+    parts = blocks.join(ends, groups).mapInPandas(sizes, part_schema).groupBy(*groups, "window").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    parts = parts.groupBy(*groups).agg(F.collect_list(F.struct("window", "n", "total")).alias("parts"))
+    state = materialise(ends.join(parts, groups).mapInPandas(begin, state_schema), "search-0")
+    end_schema = _fields(blocks, [*groups, "block"], steps=T.LongType(), end=VECTOR, theta=VECTOR)
+    carry_schema = _fields(blocks, [*groups, "block"], carry=VECTOR)
+    sum_schema = _fields(blocks, groups, window=T.LongType(), sums=VECTOR)
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                previous, theta = np.asarray(row["previous"], float), np.asarray(row["theta"]).reshape(-1, 3)
+                out.append([*[row[g] for g in groups], row["block"], block_steps(previous), block_end(previous, theta).ravel(), row["theta"]])
+            yield pd.DataFrame(out, columns=end_schema.names)
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        theta = np.asarray(pdf["theta"].iloc[0]).reshape(-1, 3)
+        now, carried = entering(theta), []
+        for end, steps in zip(pdf["end"], pdf["steps"]):
+            carried.append(now.ravel())
+            now = np.asarray(end).reshape(4, -1) + passed(now, theta, int(steps))
+        return pdf.assign(carry=carried)[carry_schema.names]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                theta = np.asarray(row["theta"]).reshape(-1, 3)
+                starts, windows, n = _parts(row["rn"], np.asarray(row["cuts"]))
+                if n:
+                    squares, previous = (np.asarray(row[c], float)[:n] for c in ("squares", "previous"))
+                    sums = block_sums(squares, previous, theta, np.asarray(row["carry"]).reshape(4, -1), starts)
+                    out += [[*[row[g] for g in groups], int(w), x.ravel()] for w, x in zip(windows, sums)]
+            yield pd.DataFrame(out, columns=sum_schema.names)
+
+    def turn(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        row = before.iloc[0]
+        theta, counts = np.asarray(row["theta"]).reshape(-1, 3), np.asarray(row["counts"])
+        search = Search(np.asarray(row["best"], float).reshape(-1, 3 + TERMS).copy(), np.asarray(row["stalled"]).copy())
+        shape = (TERMS, len(theta))
+        sums = _up_to([(w, np.asarray(x).reshape(shape)) for w, x in zip(rows["window"], rows["sums"])], len(counts), shape)
+        sums[counts < MIN_ROWS] = np.nan
+        if len(theta):
+            search.take(theta, sums)
+        values = [*key, row["cuts"], row["refits"], row["counts"], search.theta.ravel(), search.best.ravel(), search.stalled]
+        return pd.DataFrame({c: [v] for c, v in zip(state_schema.names, values)})
+
+    # Of known size: what a block needs of its series' search; a plain join beyond the limit.
+    windows, series = state.agg(F.sum(F.size("cuts")), F.count(F.lit(1))).first()
+    small = 8 * ((windows or 0) + 200 * series) <= BROADCAST_BYTES
+    for k in range(1, rounds + 1):
+        open_ = state.where(F.size("theta") > 0)
+        if open_.isEmpty():
+            break
+        asked = open_.select(*groups, "cuts", "theta")
+        work = blocks.join(F.broadcast(asked) if small else asked, groups)
+        carried = work.mapInPandas(answer, end_schema).groupBy(*groups).applyInPandas(carry, carry_schema)
+        scored = work.join(carried, [*groups, "block"]).mapInPandas(score, sum_schema)
+        after = scored.groupBy(*groups).cogroup(_apart(open_).groupBy(*groups)).applyInPandas(turn, state_schema)
+        state = materialise(after.unionByName(state.where(F.size("theta") == 0)), f"search-{k}")
+    schema = _fields(blocks, groups, refit=T.LongType(), n=T.LongType(), **dict.fromkeys(FITTED, T.DoubleType()))
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                best = np.asarray(row["best"], float).reshape(-1, 3 + TERMS)
+                out += _results(tuple(row[g] for g in groups), row["refits"], row["counts"], best)
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return state.mapInPandas(finish, schema)
+
+
+def fit_packed(blocks: DataFrame, cuts: DataFrame, groups: Sequence[str], local_rows: int = LOCAL_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """``(groups, refit, n, omega, alpha, beta, loglik)`` per row of ``cuts(groups, refit, cut)``; NULL parameters under 30 rows."""
     groups = list(groups)
-    sizes = blocks.groupBy(*groups).agg(F.sum("n").alias("_rows"))
+    sizes = materialise(blocks.groupBy(*groups).agg(F.sum("n").alias("_rows")), "series-sizes")
     longest = sizes.agg(F.max("_rows")).first()[0] or 0
     if longest <= local_rows:
-        return _fit_local(blocks, groups, rounds)
-    sized = blocks.join(sizes, groups)
-    short = sized.where(F.col("_rows") <= local_rows).drop("_rows")
-    long = sized.where(F.col("_rows") > local_rows).drop("_rows")
-    return _fit_local(short, groups, rounds).unionByName(_fit_distributed(long, groups, rounds))
+        return _fit_local(blocks, cuts, groups, rounds)
+    short, long = sizes.where(F.col("_rows") <= local_rows).select(*groups), sizes.where(F.col("_rows") > local_rows).select(*groups)
+    local = _fit_local(blocks.join(short, groups, "left_semi"), cuts.join(short, groups, "left_semi"), groups, rounds)
+    return local.unionByName(_fit_distributed(blocks.join(long, groups, "left_semi"), cuts.join(long, groups, "left_semi"), groups, rounds))
+
+
+def scores_at_cuts(df: DataFrame, s: Series, candidates: DataFrame, cuts: DataFrame, returns: str = "log_return") -> DataFrame:
+    """Log-likelihood and its gradient for given parameters on given expanding windows, in one pass over the rows of each series.
+
+    ``candidates(keys, candidate, omega, alpha, beta)`` within the bounds of a fit, ``cuts(keys, refit, cut)``: a window is the rows with
+    index below its cut. Gives ``keys, refit, candidate, n, loglik, d_omega, d_alpha, d_beta`` for windows with rows.
+    """
+    keys = list(s.keys)
+    rows = train_test_split(df.select(*keys, s.time, returns), s)
+    blocks = pack(rows, s, order="rn", returns=returns)
+    theta = F.array_sort(F.collect_list(F.struct("candidate", "omega", "alpha", "beta"))).alias("theta")
+    asked = candidates.groupBy(*keys).agg(theta).join(cuts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cut", "refit"))).alias("ends")), keys)
+    names = ("loglik", "d_omega", "d_alpha", "d_beta")
+    schema = T.StructType([
+        *[df.schema[k] for k in keys], T.StructField("refit", T.LongType()), T.StructField("candidate", candidates.schema["candidate"].dataType),
+        T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names],
+    ])
+
+    def run(key: tuple, pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(pdf) and len(given):
+            theta = np.array([[x["omega"], x["alpha"], x["beta"]] for x in given["theta"].iloc[0]])
+            ends = given["ends"].iloc[0]
+            at = np.array([x["cut"] for x in ends])
+            state, parts, sizes = entering(theta), [], []
+            for squares, previous, rn in pdf.sort_values("block")[["squares", "previous", "rn"]].itertuples(index=False):
+                squares, previous = np.asarray(squares, float), np.asarray(previous, float)
+                starts, windows, n = _parts(rn, at)
+                if n:
+                    parts += zip(windows, block_sums(squares[:n], previous[:n], theta, state, starts))
+                    sizes += zip(windows, np.diff([*starts, n]))
+                state = block_end(previous, theta) + passed(state, theta, block_steps(previous))
+            sums, counts = _up_to(parts, len(at), (TERMS, len(theta))), _up_to(sizes, len(at), ())
+            for window, end in enumerate(ends):
+                for c, x in enumerate(given["theta"].iloc[0]):
+                    value = -0.5 * sums[window, :4, c]
+                    out.append([*key, end["refit"], x["candidate"], int(counts[window]), value[0] - 0.5 * counts[window] * np.log(2 * np.pi), *value[1:]])
+        return pd.DataFrame([x for x in out if x[len(key) + 2]], columns=schema.names)
+
+    return blocks.groupBy(*keys).cogroup(_apart(asked).groupBy(*keys)).applyInPandas(run, schema)
 
 
 def _with_fallback(params: DataFrame, sigma2: Column) -> DataFrame:
@@ -244,7 +303,9 @@ def _with_fallback(params: DataFrame, sigma2: Column) -> DataFrame:
 
 def garch_fit(df: DataFrame, s: Series, returns: str = "log_return", local_rows: int = LOCAL_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """One fit per series; under 30 rows the moment-based parameters."""
-    fitted = fit_packed(materialise(pack(df, s, returns=returns), "packed"), s.keys, local_rows, rounds)
+    packed = materialise(pack(df, s, returns=returns), "packed")
+    whole = packed.select(*s.keys, F.lit(0).cast("long").alias("refit"), F.lit(1).cast("long").alias("cut")).distinct()
+    fitted = fit_packed(packed, whole, s.keys, local_rows, rounds).drop("refit")
     clean = df.withColumn("_r", finite_or_zero(F.col(returns)))
     spread = clean.groupBy(*s.keys).agg(F.when(F.count("_r") > 1, F.var_pop("_r")).otherwise(1e-6).alias("_s2"))
     return _with_fallback(fitted.join(spread, list(s.keys)), F.col("_s2")).drop("_s2")
@@ -262,8 +323,7 @@ def baseline_fits(df: DataFrame, s: Series, refit_every: int = 168, train_frac:
     """Parameters of every refit of the plain model on its expanding window, all fitted in one job."""
     rows = train_test_split(df.select(*s.keys, s.time, "log_return"), s, train_frac)
     packed = materialise(pack(rows, s, order="rn"), "packed")
-    blocks = expand_refits(packed, refit_cuts(df, s, refit_every, train_frac), s.keys)
-    fitted = fit_packed(blocks, [*s.keys, "refit"])
+    fitted = fit_packed(packed, refit_cuts(df, s, refit_every, train_frac), s.keys)
     clean = rows.where(F.col("part") == "train").groupBy(*s.keys).agg(
         F.var_pop(finite_or_zero(F.col("log_return"))).alias("_s2")
     )
@@ -280,7 +340,8 @@ def regime_fits(df: DataFrame, s: Series, refit_every: int = 168, train_frac: fl
     cuts = refit_cuts(df, s, refit_every, train_frac)
     within = s.by("regime")
     packed = materialise(pack(rows, within, order="rn"), "packed")
-    fitted = fit_packed(expand_refits(packed, cuts, s.keys), [*within.keys, "refit"])
+    of_regimes = cuts.join(packed.select(*within.keys).distinct(), list(s.keys)).select(*within.keys, "refit", "cut")
+    fitted = fit_packed(packed, of_regimes, within.keys)
     spread = rows.where(F.col("part") == "train").groupBy(*s.keys).agg(
         F.var_pop(finite_or_zero(F.col("log_return"))).alias("_s2")
     )

@@ -539,6 +539,21 @@ ORACLE["garch_loglik"] = (
 )
 
 
+ORACLE["garch_scores_given"] = f"""WITH RECURSIVE {HOUR}, {FILLED},
+gc AS (SELECT symbol, k AS candidate, s * var_pop(r) AS w, a, b FROM f, (VALUES (0, 0.05::DOUBLE, 0.10::DOUBLE, 0.85::DOUBLE), (1, 0.10, 0.15, 0.80),
+  (2, 0.02, 0.05, 0.93)) AS v(k, s, a, b) GROUP BY symbol, k, s, a, b),
+gd AS (SELECT symbol, candidate, w, a, b, 0::BIGINT AS rn, w / (1 - a - b) AS h, 1 / (1 - a - b) AS hw, w / pow(1 - a - b, 2) AS ha, w / pow(1 - a - b, 2) AS hb
+  FROM gc
+  UNION ALL SELECT gd.symbol, candidate, w, a, b, fp.rn, w + a * p * p + b * h, 1 + b * hw, p * p + b * ha, h + b * hb
+  FROM gd JOIN fp ON fp.symbol = gd.symbol AND fp.rn = gd.rn + 1),
+ge AS (SELECT symbol, count(*) AS n, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS te FROM f GROUP BY symbol),
+gk AS (SELECT symbol, unnest(range(0, CAST(greatest(floor((n - 1 - te) / 48.0), 0) AS BIGINT) + 1)) AS refit, te FROM ge)
+SELECT symbol, refit, candidate::BIGINT AS candidate, count(*) AS n, {dbl('-0.5 * sum(ln(2 * pi()) + ln(h) + r * r / h)', 'loglik', 4)},
+  {dbl('-0.5 * sum((1 - r * r / h) * hw * w / h)', 'd_log_omega', 4)}, {dbl('-0.5 * sum((1 - r * r / h) * ha / h)', 'd_alpha', 4)},
+  {dbl('-0.5 * sum((1 - r * r / h) * hb / h)', 'd_beta', 4)}
+FROM gk JOIN gd USING (symbol) JOIN f USING (symbol, rn) WHERE rn < te + refit * 48 GROUP BY symbol, refit, candidate"""
+
+
 def split(source: str) -> str:
     return f"""sp AS (SELECT *, row_number() OVER ({SERIES}) - 1 AS rn, count(*) OVER (PARTITION BY symbol) AS n_rows,
   coalesce({lag('coalesce(r, 0)')}, NULL) AS p FROM {source}),
