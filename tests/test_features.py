@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from conftest import random_bars
 
+from voltide.functions.rolling import DIRECT, parts_of
 from voltide.operators import features as W
 from voltide.plans.series import Series
 
@@ -78,3 +79,18 @@ def test_spike_leaves_no_trace(make, spike):
     got = W.volume_volatility(make(bars), Series(step=3600), (60,)).orderBy("timestamp").toPandas()["volume_vol_60m"]
     away = range(950, 2000)
     assert np.allclose(got[away], [np.std(volume[i - 59 : i + 1], ddof=1) for i in away], rtol=1e-9)
+
+
+@pytest.mark.parametrize("known", [[], [14, 20, 24], [20], [7, 168]])
+def test_parts_make_up_a_window(known):
+    for rows in (33, 50, 60, 100, 168, 240, 720, 1024, 1025, 40_000):
+        parts = parts_of(rows, known)
+        assert sum(parts) == rows and len(parts) <= 3 * DIRECT and all(p <= DIRECT or p in known or p in (DIRECT**2, DIRECT**3) for p in parts)
+
+
+def test_plan_depth_is_constant(make):
+    """Few window operators whatever the lengths of the windows."""
+    rows = make(random_bars(50))
+    for out, most in ((W.hourly_feature_matrix(rows, S), 8), (W.feature_matrix(rows.withColumn("log_return", rows.price_close * 0), S), 8)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines()) <= most

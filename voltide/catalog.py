@@ -92,14 +92,19 @@ def hour_features(spark: SparkSession, d: str) -> DataFrame:
     return W.hourly_feature_matrix(hour_bars(spark, d), HOURS)
 
 
+def written_features(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly features, written once because several branches of a query read them."""
+    return materialise(hour_features(spark, d), "features")
+
+
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly features, written once because several branches read them, with threshold labels."""
-    return R.regime_threshold(materialise(hour_features(spark, d), "features"))
+    """Those with threshold labels."""
+    return R.regime_threshold(written_features(spark, d))
 
 
 def stacked(spark: SparkSession, d: str) -> DataFrame:
     """Labels of the three rule detectors in one table, keyed (symbol, method)."""
-    features = materialise(hour_features(spark, d), "features")
+    features = written_features(spark, d)
     return materialise(
         R.stack_methods(
             {
@@ -259,7 +264,7 @@ def _(spark, d):
 
 @query("resolve_columns")
 def _(spark, d):
-    rows = hour_features(spark, d)
+    rows = written_features(spark, d)
     picked = [c for c in C.resolve_columns(rows.columns, E.VOL_NAMES, E.LONG_VOL_NAMES, E.CUM_RETURN_NAMES) if c]
     return rows.groupBy("symbol").agg(*[F.avg(c).alias(c) for c in picked])
 
@@ -274,7 +279,7 @@ def _(spark, d):
 
 @query("label_rank_map")
 def _(spark, d):
-    rows = hour_features(spark, d).withColumn("cluster", F.pmod(F.hour("timestamp"), F.lit(3)))
+    rows = written_features(spark, d).withColumn("cluster", F.pmod(F.hour("timestamp"), F.lit(3)))
     return R.label_rank_map(rows, "cluster", "vol_60m", clusters=4)
 
 
@@ -317,17 +322,17 @@ def _(spark, d):
 
 @query("regime_distribution")
 def _(spark, d):
-    return R.regime_distribution(R.regime_threshold(hour_features(spark, d)))
+    return R.regime_distribution(R.regime_threshold(written_features(spark, d)))
 
 
 @query("vol_quantiles")
 def _(spark, d):
-    return R.vol_quantiles(hour_features(spark, d))
+    return R.vol_quantiles(written_features(spark, d))
 
 
 @query("vol_quantiles_exact")
 def _(spark, d):
-    return R.vol_quantiles_exact(hour_features(spark, d), ["vol_60m", "volume_spike", "rsi"])
+    return R.vol_quantiles_exact(written_features(spark, d), ["vol_60m", "volume_spike", "rsi"])
 
 
 @query("vol_quantiles_exact_lineitem")
@@ -338,7 +343,7 @@ def _(spark, d):
 
 @query("regime_feature_summary")
 def _(spark, d):
-    return S.regime_feature_summary(R.regime_threshold(hour_features(spark, d)))
+    return S.regime_feature_summary(R.regime_threshold(written_features(spark, d)))
 
 
 @query("regime_stats")
@@ -387,7 +392,7 @@ def _(spark, d):
 
 @query("return_autocorrelation")
 def _(spark, d):
-    return S.return_autocorrelation(R.regime_threshold(hour_features(spark, d)), HOURS)
+    return S.return_autocorrelation(R.regime_threshold(written_features(spark, d)), HOURS)
 
 
 @query("feature_matrix")
@@ -402,14 +407,14 @@ def _(spark, d):
 
 @query("rolling_band")
 def _(spark, d):
-    out = W.rolling_band(hour_features(spark, d), HOURS, "vol_60m", 240)
+    out = W.rolling_band(written_features(spark, d), HOURS, "vol_60m", 240)
     return out.select("symbol", "timestamp", "vol_ma", "vol_std", "vol_lower", "vol_upper")
 
 
 # spells and transitions ------------------------------------------------------------------------
 @query("regime_change_flag")
 def _(spark, d):
-    out = P.regime_change_flag(R.regime_threshold(hour_features(spark, d)), HOURS)
+    out = P.regime_change_flag(R.regime_threshold(written_features(spark, d)), HOURS)
     return out.select("symbol", "timestamp", "regime", "changed")
 
 
@@ -451,7 +456,7 @@ def _(spark, d):
 
 @query("capped_sample")
 def _(spark, d):
-    rows = E.capped_sample(hour_features(spark, d), ["symbol"], 200, ["symbol", "timestamp"])
+    rows = E.capped_sample(written_features(spark, d), ["symbol"], 200, ["symbol", "timestamp"])
     return rows.select("symbol", "timestamp", "log_return", "vol_60m")
 
 
@@ -516,22 +521,22 @@ def _labels_only(df: DataFrame, *more: str) -> DataFrame:
 
 @query("regime_threshold")
 def _(spark, d):
-    return _labels_only(R.regime_threshold(hour_features(spark, d)))
+    return _labels_only(R.regime_threshold(written_features(spark, d)))
 
 
 @query("regime_multi_indicator")
 def _(spark, d):
-    return _labels_only(R.regime_multi_indicator(hour_features(spark, d)), "score")
+    return _labels_only(R.regime_multi_indicator(written_features(spark, d)), "score")
 
 
 @query("regime_breakout")
 def _(spark, d):
-    return _labels_only(R.regime_breakout(hour_features(spark, d), HOURS, 240))
+    return _labels_only(R.regime_breakout(written_features(spark, d), HOURS, 240))
 
 
 @query("sequence_settings")
 def _(spark, d):
-    return R.sequence_settings(hour_features(spark, d))
+    return R.sequence_settings(written_features(spark, d))
 
 
 # evaluation ------------------------------------------------------------------------------------
@@ -734,7 +739,7 @@ def _(spark, d):
 
 # model detectors -------------------------------------------------------------------------------
 def model_features(spark: SparkSession, d: str) -> DataFrame:
-    return materialise(hour_features(spark, d), "features")
+    return written_features(spark, d)
 
 
 @query("regime_kmeans")

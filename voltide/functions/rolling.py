@@ -1,9 +1,10 @@
-"""Rolling moments in logarithmic time per row, without differences of sums.
+"""Rolling moments at a bounded number of steps per row, without differences of sums.
 
-A window function over the last n rows is evaluated from scratch for every row, so 240-row features cost 240 steps each, and running
-sums would let one huge value spoil every later window. Here count, mean and central moments of the last 1, 2, 4, 8 ... rows are made by
-merging two neighbours of half the size, and a window is merged from the sizes its length is the sum of: 60 = 32 + 16 + 8 + 4. Nothing
-outside a window ever enters it.
+A window function over the last n rows is evaluated from scratch for every row, so 240-row features would cost 240 steps each, and running
+sums would let one huge value spoil every later window. Here only windows of up to ``DIRECT`` rows are evaluated that way, all of them by
+one window operator. A longer window is merged from shorter ones that lie end to end, such as 168 rows from seven times 24 and 720 from
+four times 168 and twice 24: count, mean and central moments of the parts give those of the whole. The parts are lags of what the rows
+before have, so a level of such windows is one more window operator, and nothing outside a window ever enters it.
 """
 
 from __future__ import annotations
@@ -13,26 +14,21 @@ from pyspark.sql import functions as F
 
 from voltide.plans.series import Frames
 
+#: Rows of a window that is evaluated from scratch; parts that a longer one is merged from at most, beyond those of its own multiples.
+DIRECT, PARTS = 32, 12
 
-def _merged(a: dict[str, str], b: dict[str, str]) -> dict[str, str]:
-    """SQL of the state of two disjoint sets of rows: n, s (sum) or m (mean), q and t (sums of squared and cubed deviations)."""
-    n = f"({a['n']} + {b['n']})"
-    d = f"({b['m']} - {a['m']})" if "m" in a else ""
 
-    def either(field: str, both: str) -> str:
-        return f"CASE WHEN {b['n']} = 0 THEN {a[field]} WHEN {a['n']} = 0 THEN {b[field]} ELSE {both} END"
-
-    out = {"n": n}
-    if "s" in a:
-        out["s"] = f"{a['s']} + {b['s']}"
-    if "m" in a:
-        out["m"] = either("m", f"{a['m']} + {d} * {b['n']} / {n}")
-    if "q" in a:
-        out["q"] = either("q", f"{a['q']} + {b['q']} + {d} * {d} * {a['n']} * {b['n']} / {n}")
-    if "t" in a:
-        out["t"] = either("t", f"{a['t']} + {b['t']} + {d} * {d} * {d} * {a['n']} * {b['n']} * ({a['n']} - {b['n']}) / ({n} * {n}) "
-                               f"+ 3 * {d} * ({a['n']} * {b['q']} - {b['n']} * {a['q']}) / {n}")
-    return out
+def parts_of(rows: int, sizes: list[int]) -> list[int]:
+    """Sizes that ``rows`` is the sum of, the largest first: of ``sizes`` if they give few parts, else powers of ``DIRECT``, and a rest."""
+    for known in (sizes, [DIRECT**k for k in range(1, 8)]):
+        left, out = rows, []
+        for size in sorted((x for x in known if x < rows), reverse=True):
+            out += [size] * (left // size)
+            left %= size
+        out += [left] if left else []
+        if left <= DIRECT and (len(out) <= PARTS or known is not sizes):
+            return out
+    raise ValueError(f"no parts for {rows} rows")
 
 
 class Rolling:
@@ -56,43 +52,80 @@ class Rolling:
 
     def _add(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
         self.made |= set(columns)
-        return df.withColumns({name: F.expr(sql) for name, sql in columns.items()})
-
-    def _level(self, name: str, size: int) -> dict[str, str]:
-        return {f: f"_{f}{size}_{name}" for f in self.fields[name]}
-
-    def _lagged(self, state: dict[str, str], rows: int, tag: str) -> tuple[dict[str, str], dict[str, str]]:
-        """The state ``rows`` rows earlier, nothing where there is none: its columns, and the SQL to add them."""
-        names = {f: f"_lag_{f}_{tag}" for f in state}
-        return names, {names[f]: f"coalesce(lag({c}, {rows}) OVER ({self.f.sql}), 0.0D)" for f, c in state.items()}
+        return df.withColumns({name: F.expr(sql) for name, sql in columns.items()}) if columns else df
+
+    def _plan(self) -> tuple[set[tuple[str, int]], list[dict[tuple[str, int], list[int]]]]:
+        """Windows evaluated from scratch, and those merged from others, level by level."""
+        direct, parts, todo = set(), {}, sorted(self.asked, key=lambda x: x[1])
+        known: dict[str, list[int]] = {}
+        while todo:
+            name, rows = todo.pop(0)
+            if (name, rows) in direct or (name, rows) in parts:
+                continue
+            if rows <= DIRECT:
+                direct.add((name, rows))
+            else:
+                parts[name, rows] = parts_of(rows, known.get(name, []))
+                todo = [(name, size) for size in sorted(set(parts[name, rows]))] + todo
+            known.setdefault(name, []).append(rows)
+        levels: list[dict[tuple[str, int], list[int]]] = []
+        done = set(direct)
+        while left := {key: sizes for key, sizes in parts.items() if key not in done}:
+            levels.append({key: sizes for key, sizes in left.items() if all((key[0], size) in done for size in sizes)})
+            done |= set(levels[-1])
+        return direct, levels
 
     def prepare(self, df: DataFrame) -> DataFrame:
         self.made |= {f"_x_{n}" for n in self.values}
         df = df.withColumns({f"_x_{n}": v.cast("double") for n, v in self.values.items()})
-        first = {"n": "CASE WHEN _x_{0} IS NULL THEN 0.0D ELSE 1.0D END", "s": "coalesce(_x_{0}, 0.0D)", "m": "coalesce(_x_{0}, 0.0D)", "q": "0.0D", "t": "0.0D"}
-        df = self._add(df, {c: first[f].format(n) for n in self.values for f, c in self._level(n, 1).items()})
-        longest = {name: max([rows for n, rows in self.asked if n == name], default=1) for name in self.values}
-        size = 1
-        while names := [n for n in self.values if longest[n] >= 2 * size]:
-            lags = {n: self._lagged(self._level(n, size), size, n) for n in names}
-            df = self._add(df, {c: sql for _, columns in lags.values() for c, sql in columns.items()})
-            both = {n: _merged(self._level(n, size), lags[n][0]) for n in names}
-            size *= 2
-            df = self._add(df, {c: both[n][f] for n in names for f, c in self._level(n, size).items()})
-
-        # Of each window the sizes still to be merged, the largest first, and the rows merged so far.
-        open_ = {key: [1 << k for k in range(key[1].bit_length() - 1, -1, -1) if key[1] >> k & 1] for key in self.asked}
-        done = {key: sizes.pop(0) for key, sizes in open_.items()}
-        df = self._add(df, {c: self._level(n, done[n, w])[f] for n, w in open_ for f, c in self._window(n, w).items()})
-        while keys := [key for key, sizes in open_.items() if sizes]:
-            lags = {(n, w): self._lagged(self._level(n, open_[n, w][0]), done[n, w], f"{w}_{n}") for n, w in keys}
-            df = self._add(df, {c: sql for _, columns in lags.values() for c, sql in columns.items()})
-            both = {key: _merged(self._window(*key), lags[key][0]) for key in keys}
-            df = self._add(df, {c: both[key][f] for key in keys for f, c in self._window(*key).items()})
-            for key in keys:
-                done[key] += open_[key].pop(0)
+        direct, levels = self._plan()
+        raw, states = {}, {}
+        for name, rows in sorted(direct):
+            over = f"OVER ({self.f.sql} ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+            window, x = self._window(name, rows), f"_x_{name}"
+            n, q = f"_n{rows}_{name}", f"_q{rows}_{name}"
+            raw[n], states[window["n"]] = f"count({x}) {over}", f"CAST({n} AS DOUBLE)"
+            for field, call in (("s", "sum"), ("m", "avg")):
+                if field in window:
+                    raw[f"_{field}{rows}_{name}"] = f"{call}({x}) {over}"
+                    states[window[field]] = f"coalesce(_{field}{rows}_{name}, 0.0D)"
+            if "q" in window:
+                raw[q], states[window["q"]] = f"var_pop({x}) {over}", f"coalesce({q} * {n}, 0.0D)"
+            if "t" in window:
+                raw[f"_t{rows}_{name}"] = f"skewness({x}) {over}"
+                states[window["t"]] = f"coalesce(nanvl(_t{rows}_{name}, 0.0D) * power({q}, 1.5D) * {n}, 0.0D)"
+        df = self._add(self._add(df, raw), states)
+        for level in levels:
+            df = self._merged(df, level)
         return df
 
+    def _merged(self, df: DataFrame, level: dict[tuple[str, int], list[int]]) -> DataFrame:
+        """Adds windows whose parts are there already."""
+        lags, first, second = {}, {}, {}
+        for (name, rows), sizes in level.items():
+            whole, parts, at = self._window(name, rows), [], 0
+            for size in sizes:
+                part = self._window(name, size)
+                if at:
+                    names = {f: f"_lag_{f}{size}_{at}_{name}" for f in part}
+                    lags |= {names[f]: f"coalesce(lag({c}, {at}) OVER ({self.f.sql}), 0.0D)" for f, c in part.items()}
+                    part = names
+                parts.append(part)
+                at += size
+            first[whole["n"]] = " + ".join(x["n"] for x in parts)
+            if "s" in whole:
+                first[whole["s"]] = " + ".join(x["s"] for x in parts)
+            if "m" in whole:
+                one, more = parts[0]["m"], " + ".join(f"{x['n']} * ({x['m']} - {parts[0]['m']})" for x in parts[1:])
+                first[whole["m"]] = f"{one} + coalesce(try_divide({more}, {first[whole['n']]}), 0.0D)"
+            if "q" in whole:
+                second[whole["q"]] = " + ".join(f"{x['q']} + {x['n']} * power({x['m']} - {whole['m']}, 2)" for x in parts)
+            if "t" in whole:
+                second[whole["t"]] = " + ".join(
+                    f"{x['t']} + ({x['m']} - {whole['m']}) * (3 * {x['q']} + {x['n']} * power({x['m']} - {whole['m']}, 2))" for x in parts
+                )
+        return self._add(self._add(self._add(df, lags), first), second)
+
     def drop(self, df: DataFrame) -> DataFrame:
         return df.drop(*self.made)
 
