@@ -21,8 +21,8 @@ from voltide.session import materialise
 
 #: Separators are blanked, A-Z lower-cased, and all bytes of characters beyond ASCII kept.
 TABLE = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Terms and bytes of them that a task gathers before it hands them on.
-GATHERED_TERMS, GATHERED_BYTES = 100_000, 32 << 20
+#: Terms, and bytes of the texts they are from, that a task gathers before it hands them on.
+GATHERED_TERMS, GATHERED_BYTES = 250_000, 64 << 20
 #: Sources of a language that are compared at once; sources in all up to which their table is broadcast (about 100 bytes each).
 BLOCK, BROADCAST_SOURCES = 256, 200_000
 SCALE = 1_000_000_000
@@ -35,32 +35,36 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], most_terms: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
-    docs: Counter = Counter()
-    size = 0
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}  # of each group: documents by term, and occurrences beyond the first in each
+    size, read = 0, 0
 
-    def flush() -> pa.RecordBatch:
-        columns = [[k[0] for k in total], [k[1] for k in total], [k[2].decode() for k in total]]
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.string()) for c in columns), pa.array(total.values(), pa.int64()), pa.array((docs[k] for k in total), pa.int64())], _COUNTED.names
-        )
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (docs, more) in held.items():
+            found = pa.array(list(docs), pa.binary()).view(pa.string())
+            n = pa.array([k + more.get(term, 0) for term, k in docs.items()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(docs)), pa.repeat(source, len(docs)), found, n, pa.array(list(docs.values()), pa.int64())], _COUNTED.names)
+        held.clear()
 
     for batch in batches:
-        groups = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for (lang, source), text in zip(groups, batch.column(2)):
-            found = Counter(terms(text.as_buffer().to_pybytes() if text.is_valid else b""))
+        groups = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        for group, text in zip(groups, batch.column(2)):
+            if group not in held:
+                held[group] = Counter(), Counter()
+            docs, more = held[group]
+            content = text.as_buffer().to_pybytes() if text.is_valid else b""
+            found = Counter(terms(content))
             found[b""] = 1  # stands for the document itself, so that a group without terms is known too
+            before = len(docs)
+            docs.update(iter(found))
+            size += len(docs) - before
             for term, n in found.items():
-                key = (lang, source, term)
-                if key not in total:
-                    size += len(term)
-                total[key] += n
-                docs[key] += 1
-            if len(total) >= most_terms or size >= most_bytes:
-                yield flush()
-                total, docs, size = Counter(), Counter(), 0
-    if total:
-        yield flush()
+                if n > 1:
+                    more[term] += n - 1
+            read += len(content)
+            if size >= most_terms or read >= most_bytes:
+                yield from flush()
+                size, read = 0, 0
+    yield from flush()
 
 
 def term_counts(
