@@ -3,14 +3,18 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltide.operators import garch_fit as GF
 from voltide.operators import garch_score as GS
 from voltide.operators import hmm as H
+from voltide.operators import kmeans as KM
 from voltide.operators import regime_models as RM
 from voltide.plans.series import Series
 
+SCHEMA = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("features", VectorUDT())])
 SMALL = Series(step=3600, chunk_rows=160)
 HOUR0 = 1_700_000_000 // 3600 * 3600
 
@@ -157,6 +161,33 @@ def test_kmeans_separates_and_ranks(make):
     assert (out["regime"] == out["true"]).all()
 
 
+def test_restarts_share_passes(spark):
+    """Every fit of a pass against plain Lloyd steps from the same first centers; the best restart of each k wins."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.4, (60, 2)) for c in ((0, 0), (3, 0), (0, 3), (4, 4))])
+    vectors = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x.tolist())], SCHEMA).repartition(3)
+    rows = KM.Spread(KM.points(vectors, "features"))
+    ks, seeds = [2, 4, 4], [1, 2, 3]
+    centers = KM.first_centers(rows, ks, seeds)
+    assert [len(c) for c in centers] == ks and all((x == c).all(1).any() for fit in centers for c in fit)
+    again = KM.first_centers(KM.Spread(rows.rows.repartition(5)), ks, seeds)
+    assert all((a == b).all() for a, b in zip(centers, again))
+    for c, sums in zip(centers, KM.nearest_sums(rows, centers)):
+        near = ((x[:, None] - c[None]) ** 2).sum(2)
+        own = near.argmin(1)
+        np.testing.assert_allclose(KM.moved(c, sums), [x[own == k].mean(0) for k in range(len(c))])
+        np.testing.assert_allclose([sums[:, -2].sum(), sums[:, -1].sum()], [len(x), near.min(1).sum()])
+    two, four = KM.fit_many(vectors, [2, 4], n_init=5)
+    assert len(two.centers) == 2 and len(four.centers) == 4 and four.inertia < 100 < two.inertia
+    for a, b in zip((two, four), KM.fit_many(vectors, [2, 4], n_init=5, local_rows=10)):
+        np.testing.assert_allclose(a.centers, b.centers)
+        assert a.inertia == pytest.approx(b.inertia)
+    labels = four.transform(vectors).orderBy("id").toPandas()["cluster"].to_numpy()
+    assert (labels == ((x[:, None] - four.centers[None]) ** 2).sum(2).argmin(1)).all()
+    same = spark.createDataFrame([(i, Vectors.dense([1.0, 2.0])) for i in range(5)], SCHEMA)
+    assert KM.fit_many(same, [3], n_init=2)[0].inertia == 0.0
+
+
 def test_head_fill(make):
     pdf = pd.DataFrame({"symbol": "X", "timestamp": HOUR0 + 3600 * np.arange(4), "v": [None, None, 2.0, 1.0]})
     out = RM.head_fill(make(pdf).withColumn("v", F.nanvl("v", F.lit(None))), Series(), "v").orderBy("timestamp").collect()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -747,6 +748,13 @@ def _(spark, d):
     return _labels_only(RM.regime_kmeans(model_features(spark, d), HOURS))
 
 
+@query("kmeans_step_given")
+def _(spark, d):
+    """One pass over all rows from three given centers."""
+    centers = np.array([[-1.0] * 3, [0.0] * 3, [1.0] * 3])
+    return RM.kmeans_step(model_features(spark, d), HOURS, ["log_return", "vol_60m", "rsi"], centers)
+
+
 @query("kmeans_centers", digits=4)
 def _(spark, d):
     return RM.kmeans_centers(model_features(spark, d), HOURS)
@@ -754,7 +762,7 @@ def _(spark, d):
 
 @query("kmeans_elbow", digits=4)
 def _(spark, d):
-    return RM.kmeans_elbow(model_features(spark, d), HOURS, n_init=2)
+    return RM.kmeans_elbow(model_features(spark, d), HOURS)
 
 
 @query("regime_gmm", digits=4)
@@ -782,13 +790,13 @@ def _(spark, d):
 
 @query("regime_garch")
 def _(spark, d):
-    rows, _params = RM.regime_garch(model_features(spark, d), HOURS, n_init=5)
+    rows, _params = RM.regime_garch(model_features(spark, d), HOURS)
     return _labels_only(rows, "garch_variance", "garch_volatility", "global_garch_vol")
 
 
 @query("garch_regime_summary")
 def _(spark, d):
-    return G.garch_regime_summary(*RM.regime_garch(model_features(spark, d), HOURS, n_init=5))
+    return G.garch_regime_summary(*RM.regime_garch(model_features(spark, d), HOURS))
 
 
 @query("sequence_windows")
@@ -807,12 +815,12 @@ def _(spark, d):
 
 @query("regime_patch_embedding")
 def _(spark, d):
-    return _labels_only(RM.regime_patch_embedding(model_features(spark, d), HOURS, n_init=5))
+    return _labels_only(RM.regime_patch_embedding(model_features(spark, d), HOURS))
 
 
 @query("regime_pseudo_label_embedding")
 def _(spark, d):
-    return _labels_only(RM.regime_pseudo_label_embedding(model_features(spark, d), HOURS, n_init=5))
+    return _labels_only(RM.regime_pseudo_label_embedding(model_features(spark, d), HOURS))
 
 
 # explanations ----------------------------------------------------------------------------------

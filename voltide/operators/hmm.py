@@ -285,6 +285,6 @@ def regime_hmm(df: DataFrame, s: Series, k: int = K, n_iter: int = 100, tol: flo
     z = [f"z_{c}" for c in names]
     start = fit_kmeans(scaled_vectors(df, names, s), k, n_init=1, seed=SEED)
     blocks = materialise(pack_rows(standardise(df, names, s.keys), s, z), "hmm_blocks")
-    model = fit_hmm(blocks, s, np.array(start.clusterCenters()), n_iter, tol)
+    model = fit_hmm(blocks, s, start.centers, n_iter, tol)
     labelled = df.join(best_path(blocks, s, model, len(z)), [*s.keys, s.time])
     return apply_label_rank(labelled, "state", "vol_60m", s.keys, k), model

@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from voltide.operators.cleaning import standardise
 from voltide.operators.garch import garch_variance
 from voltide.operators.garch_fit import garch_fit
+from voltide.operators.kmeans import Clusters, Spread, fit_many, moved, nearest_sums, points
 from voltide.operators.regime_rules import apply_label_rank, vol_quantiles_exact
 from voltide.plans.series import Series, over_series
 from voltide.session import materialise
@@ -57,11 +58,8 @@ def _best(fits: Sequence[Callable[[], object]], score: Callable[[object], float]
     return max(models, key=score)
 
 
-def fit_kmeans(vectors: DataFrame, k: int = K, n_init: int = 10, max_iter: int = 300, seed: int = SEED) -> KMeansModel:
-    def fit(i: int):
-        return lambda: KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="features").fit(vectors)
-
-    return _best([fit(i) for i in range(n_init)], lambda m: -m.summary.trainingCost)
+def fit_kmeans(vectors: DataFrame, k: int = K, n_init: int = 10, max_iter: int = 300, seed: int = SEED) -> Clusters:
+    return fit_many(vectors, [k], n_init, max_iter, seed)[0]
 
 
 def _ranked(df: DataFrame, clusters: DataFrame, s: Series, value: str, k: int | None, extra: Sequence[str] = ()) -> DataFrame:
@@ -73,24 +71,32 @@ def _ranked(df: DataFrame, clusters: DataFrame, s: Series, value: str, k: int |
 def regime_kmeans(df: DataFrame, s: Series, k: int = K, n_init: int = 10, max_iter: int = 300) -> DataFrame:
     vectors = scaled_vectors(df, feature_names(df.columns), s)
     model = fit_kmeans(vectors, k, n_init, max_iter)
-    return _ranked(df, model.setPredictionCol("cluster").transform(vectors), s, "vol_60m", k)
+    return _ranked(df, model.transform(vectors), s, "vol_60m", k)
 
 
 def kmeans_centers(df: DataFrame, s: Series, k: int = K, n_init: int = 10) -> DataFrame:
     """Center coordinates in standardised units, long form, with the inertia."""
     names = feature_names(df.columns)
     model = fit_kmeans(scaled_vectors(df, names, s), k, n_init)
-    cost = float(model.summary.trainingCost)
-    rows = [(i, n, float(v), cost) for i, c in enumerate(model.clusterCenters()) for n, v in zip(names, c)]
+    rows = [(i, n, float(v), model.inertia) for i, c in enumerate(model.centers) for n, v in zip(names, c)]
     return df.sparkSession.createDataFrame(rows, "cluster int, feature string, center double, inertia double")
 
 
 def kmeans_elbow(df: DataFrame, s: Series, max_k: int = 10, n_init: int = 10) -> DataFrame:
     vectors = scaled_vectors(df, feature_names(df.columns), s)
-    rows = [(k, float(fit_kmeans(vectors, k, n_init).summary.trainingCost)) for k in range(2, max_k + 1)]
+    ks = range(2, max_k + 1)
+    rows = [(k, model.inertia) for k, model in zip(ks, fit_many(vectors, ks, n_init))]
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
+def kmeans_step(df: DataFrame, s: Series, features: Sequence[str], centers: np.ndarray) -> DataFrame:
+    """What one pass makes of given centers: ``cluster, n, inertia`` and the mean of each standardised feature."""
+    sums = nearest_sums(Spread(points(scaled_vectors(df, features, s), "features")), [centers])[0]
+    after = moved(centers, sums)
+    rows = [(i, int(x[-2]), float(x[-1]), *map(float, c)) for i, (x, c) in enumerate(zip(sums, after))]
+    return df.sparkSession.createDataFrame(rows, "cluster int, n long, inertia double, " + ", ".join(f"{f} double" for f in features))
+
+
 # mixture ---------------------------------------------------------------------------------------
 def fit_gmm(vectors: DataFrame, k: int = K, n_init: int = 10, max_iter: int = 100, seed: int = SEED) -> GaussianMixtureModel:
     def fit(i: int):
@@ -151,8 +157,7 @@ def regime_garch(df: DataFrame, s: Series, k: int = K, n_init: int = 30, max_ite
     scaled = standardise(rows, every, s.keys).withColumns({f"z_{c}": F.col(f"z_{c}") * GARCH_WEIGHT for c in GARCH_FEATURES})
     vectors = VectorAssembler(inputCols=[f"z_{c}" for c in every], outputCol="features").transform(scaled)
     vectors = materialise(vectors.select(*s.keys, s.time, "features"), "vectors")
-    model = fit_kmeans(vectors, k, n_init, max_iter).setPredictionCol("cluster")
-    clusters = model.transform(vectors)
+    clusters = fit_kmeans(vectors, k, n_init, max_iter).transform(vectors)
     labels = materialise(_ranked(rows, clusters, s, "global_garch_vol", None), "garch_labels")
     within = s.by("regime")
     params = materialise(garch_fit(labels, within), "garch_params")
@@ -201,8 +206,7 @@ def _sequence_vectors(df: DataFrame, s: Series, seq_len: int, patch_len: int, ke
 
 def _cluster_embedding(df: DataFrame, embedded: DataFrame, s: Series, k: int, n_init: int) -> DataFrame:
     vectors = materialise(embedded.select(*s.keys, s.time, "features"), "embedding")
-    model = fit_kmeans(vectors, k, n_init).setPredictionCol("cluster")
-    clusters = model.transform(vectors).select(*s.keys, s.time, "cluster")
+    clusters = fit_kmeans(vectors, k, n_init).transform(vectors).select(*s.keys, s.time, "cluster")
     filled = head_fill(df.join(clusters, [*s.keys, s.time], "left"), s, "cluster").where(F.col("cluster").isNotNull())
     return apply_label_rank(filled, "cluster", "vol_60m", s.keys)
 

@@ -527,6 +527,14 @@ given AS (SELECT symbol, 0.05 * var_pop(r) AS w, 0.10::DOUBLE AS a, 0.85::DOUBLE
 gv AS (SELECT symbol, 0::BIGINT AS rn, w / greatest(1 - a - b, 1e-6) AS h FROM given
   UNION ALL SELECT fp.symbol, fp.rn, greatest(w + a * p * p + b * gv.h, 1e-10) FROM gv
   JOIN fp ON fp.symbol = gv.symbol AND fp.rn = gv.rn + 1 JOIN given ON given.symbol = fp.symbol)"""
+ORACLE["kmeans_step_given"] = f"""WITH {LABELS}, kz AS (SELECT row_number() OVER () AS i, """ + ", ".join(
+    f"(coalesce({x}, 0) - avg(coalesce({x}, 0)) OVER s) / CASE WHEN stddev_pop(coalesce({x}, 0)) OVER s > 0 THEN stddev_pop(coalesce({x}, 0)) OVER s ELSE 1 END AS {n}"
+    for x, n in (("r", "a"), ("vol_60m", "b"), ("rsi", "c"))
+) + f""" FROM threshold WINDOW s AS (PARTITION BY symbol)),
+kd AS (SELECT i, a, b, c, k, pow(a - k + 1, 2) + pow(b - k + 1, 2) + pow(c - k + 1, 2) AS apart FROM kz, (SELECT unnest([0, 1, 2]) AS k)),
+kn AS (SELECT * FROM kd QUALIFY row_number() OVER (PARTITION BY i ORDER BY apart, k) = 1)
+SELECT CAST(k AS BIGINT) AS cluster, count(*) AS n, {dbl('sum(apart)', 'inertia')}, {dbl('avg(a)', 'log_return')}, {dbl('avg(b)', 'vol_60m')}, {dbl('avg(c)', 'rsi')}
+FROM kn GROUP BY k"""
 ORACLE["garch_variance"] = (
     f"WITH RECURSIVE {HOUR}, {FILLED} SELECT symbol, {ts()}, {dbl('r', 'log_return')}, {dbl('h', 'variance')} FROM gv JOIN f USING (symbol, rn)"
 )
