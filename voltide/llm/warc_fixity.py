@@ -101,6 +101,10 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
         if wrong is not None:
             a, b = (_below(x.withColumn("_parent", F.floor(F.col("node") / FANOUT)), wrong) for x in (a, b))
         wrong = a.join(b, ["archive", "node"], "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("archive", F.col("node").alias("_parent"))
+        # Written, for both sides of the next level read it: as a plan, each level would hold that of the level above twice.
+        wrong = materialise(wrong, f"differing-{level}")
+        if wrong.isEmpty():
+            break
     a, b = (_below(x.withColumn("_parent", F.floor(F.col("offset") / LEAF_BYTES)), wrong).withColumn("_in", F.lit(True)) for x in (first, second))
     a, b = a.dropDuplicates(["archive", "offset", "digest"]), b.dropDuplicates(["archive", "offset", "digest"])
     both = a.alias("a").join(b.alias("b"), (F.col("a.archive") == F.col("b.archive")) & (F.col("a.offset") == F.col("b.offset")), "full")
