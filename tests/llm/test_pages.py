@@ -1,12 +1,15 @@
 """Main text of pages and fixity of page archives."""
 
 import hashlib
+import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from voltide.llm import html_density, queries, warc_fixity
-from voltide.llm.html_density import main_text
+from voltide.llm.html_density import BLOCK, _Tree, densities, main_text
 
 LONG = "Some long paragraph of text that goes on and on for quite a while."
 
@@ -54,6 +57,94 @@ def test_a_wrapper_is_not_skipped(wrapper, part):
     assert main_text(f"<body>{html}<footer>f</footer></body>") == f"{LONG} 1\n\n{LONG} 2"
 
 
+@pytest.mark.parametrize("name", [
+    "cookie-banner", "site-footer", "ad-slot", "comments-list", "comments-section", "related-posts", "user-comments", "siteFooter", "post_comments", "AdSlot top",
+])
+@pytest.mark.parametrize("page", ["<article>{}</article>{}", "<main>{}{}</main>", "<div>{}{}</div>", "<div><div>{}</div>{}</div>"])
+def test_compound_names_mark_asides(name, page):
+    assert main_text("<body>" + page.format(f"<p>{LONG} 1</p><p>{LONG} 2</p>", f"<div class='{name}'><p>{LONG}</p></div>")) == f"{LONG} 1\n\n{LONG} 2"
+
+
+@pytest.mark.parametrize("page", ["{}{}", "<main>{}{}</main>", "<main>{}<div>{}</div></main>", "<div>{}</div><div><div>{}</div></div>"])
+def test_cards_are_no_articles(page):
+    text = items(12, 200)
+    cards = "".join(f"<article><h3><a href=/{k}>Title of card {k}</a></h3><p>A short line on it.</p></article>" for k in range(4))
+    assert main_text("<body>" + page.format(f"<article>{marked(text)}</article>", cards)) == "\n\n".join(text)
+    assert main_text(f"<article>{marked(text[:6])}</article><article>{marked(text[6:])}</article>") == "\n\n".join(text)
+
+
+@pytest.mark.parametrize("end", ["<!-- unclosed", "<a href='", "<a hr", "</art", "<!doctype", "<!-- x --", "<?php echo", "<![CDATA[x"])
+def test_cut_markup_is_no_text(end):
+    assert main_text(f"<p>{LONG}{end}") == LONG
+
+
+@pytest.mark.parametrize("start", ["<!DOCTYPE html [<!ENTITY a 'b'> <!ELEMENT c (d)> ]>", "<![bogus[x]]>", "<![ CDATA[x>", "<![%foo;[x]]>", "<!>", "<!x>", "</ x>", "<?xml version='1.0'?>"])
+def test_declarations_are_no_text(start):
+    assert main_text(f"{start}<p>{LONG}") in (LONG, "]]>\n\n" + LONG, "]]> " + LONG)
+
+
+def test_any_markup_is_read():
+    rng = random.Random(7)
+    pieces = ["<", ">", "!", "[", "]", "--", "&", "#", ";", "x", "'", '"', "=", "/", " ", "<!", "<![", "]]>", "<!--", "-->", "CDATA[", "<script>", "</script", "<p", "<article>",
+              "</div>", "<div class=ad>", "&amp", "&#x110000;", "&#0;", "<?", "<!DOCTYPE", "%", "<table><tr><td>", "<title>", "\x00", "é", "<svg/>", "<b", "</", "text "]
+    for _ in range(4000):
+        main_text("".join(rng.choice(pieces) for _ in range(rng.randrange(30))))
+
+
+@pytest.mark.parametrize("html", ["<b>" * 100_000 + "</i>" * 100_000, "<p><table>" + "<b>" * 50_000 + "<div></div>" * 50_000, "<ul>" + "<li><b>" * 50_000, "<header>" * 50_000 + "x"])
+def test_time_follows_length(html):
+    start = time.time()
+    main_text(html)
+    assert time.time() - start < 8
+
+
+def plain_density(tree, k):
+    """Composite density by its definition, by recursion over the tree."""
+    children = {}
+    for child, up in enumerate(tree.parents):
+        children.setdefault(up, []).append(child)
+
+    def below(k):
+        return [k, *(x for c in children.get(k, []) if not tree.skipped[c] for x in below(c))]
+
+    def linked(k):
+        return k > 0 and (tree.tags[k] == "a" or linked(tree.parents[k]))
+
+    def size(nodes):
+        return sum(len("".join(t.split())) for j, t in tree.texts if t and j in nodes)
+
+    def one(k):
+        nodes = below(k)
+        c, lc = size(set(nodes)), size({j for j in nodes if linked(j)})
+        t, lt = max(1, len(nodes) - 1), max(1, sum(tree.tags[j] == "a" for j in nodes[1:]))
+        if not c or tree.skipped[k]:
+            return 0.0
+        everything = below(0)
+        share = size({j for j in everything if linked(j)}) / size(set(everything))
+        return c / t * max(0.0, math.log(c / max(1, lc) * t / lt)) / math.log(c / max(1, c - lc) * lc + share * c + math.e)
+
+    def blocks(k):
+        out = []
+        for c in children.get(k, []):
+            if not tree.skipped[c]:
+                out += [c] if tree.tags[c] in BLOCK else blocks(c)
+        return out
+
+    return one(k), (sum(one(c) for c in blocks(k)) or one(k)) if k == 0 or tree.tags[k] in BLOCK else 0.0
+
+
+def test_densities_by_definition():
+    rng = random.Random(3)
+    for _ in range(60):
+        html = "".join(rng.choice(["<div>", "<p>", "</p>", "</div>", "<a href=x>", "</a>", "<b>", "</b>", "some text ", "more", "<ul><li>", "</ul>", "<nav>", "</nav>"]) for _ in range(40))
+        tree = _Tree()
+        tree.feed(html)
+        tree.close()
+        density, sums, *_ = densities(tree.tags, tree.parents, tree.skipped, tree.texts)
+        for k in range(len(tree.tags)):
+            assert (density[k], sums[k]) == pytest.approx(plain_density(tree, k), rel=1e-9, abs=1e-9), (html, k)
+
+
 def test_asides_around_no_article_are_skipped():
     assert main_text(f"<article><p>{LONG}</p></article><div class='Ad top'>{LONG * 9}</div><form>{LONG * 9}</form><footer><article></article>{LONG * 9}</footer>") == LONG
     assert main_text(f"<article><p>{LONG * 2}</p></article><div class=comments><article>{LONG}</article></div>") == f"{LONG * 2}"

@@ -10,6 +10,8 @@ do not reach it are left out.
 from __future__ import annotations
 
 import math
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,14 +32,21 @@ SKIPPED = frozenset(
     "audio button canvas datalist embed head iframe input map math noscript object script select style svg template textarea title video".split()
 )
 ASIDES = frozenset("aside dialog footer form menu nav".split())
-#: Classes, ids or roles, as whole names, that mark such a part.
+#: Words of classes, ids or roles that mark such a part, unless a word that denies them is before them, as in has-sidebar, or right behind.
 ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies "
     "copyright disclaimer discussion disqus footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices "
     "notification overlay pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup social "
     "sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+DENIALS, DENIALS_BEHIND = frozenset("has is no not with without".split()), frozenset("free less".split())
+NAME_WORD = re.compile("[a-z]+|[A-Z][a-z]+|[A-Z]+(?![a-z])")
 LANDMARKS = frozenset(("article", "main"))
+#: Part of the text of the article with the main text that another article must have, or else it is a card that points elsewhere.
+LEAST_ARTICLE = 0.2
+#: What a page that is cut within markup ends with, and the end of the declarations inside a document type.
+CUT_MARKUP = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])")
+SUBSET_END = re.compile(r"\]\s*>")
 #: Blocks that are always a part of a larger text; blocks that are no list of links, however many they have; elements without visible text.
 PARTS = frozenset("blockquote caption dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre section summary table tbody tfoot thead tr ul".split())
 KEPT = frozenset("h1 h2 h3 h4 h5 h6 p".split()) | {"html", "body"}
@@ -58,6 +67,7 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.skipped, self.aside, self.open = ["#root"], [-1], [False], [False], [0]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag, where in ``open`` it stands
         self.texts: list[tuple[int, str | None]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -75,48 +85,67 @@ class _Tree(HTMLParser):
         elif tag == "br":
             self.texts.append((parent, " "))
         if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # as browsers do, <div/> opens an element
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[k]] == tag:
-                self._pop(k)
-                return
+        if place := self._last({tag}):
+            self._pop(place)
 
     def handle_data(self, data: str) -> None:
         self.texts.append((self.open[-1], data))
 
+    def _last(self, kinds: set[str]) -> int:
+        """Place of the innermost open element of these kinds; 0 if there is none."""
+        return max((self.places[kind][-1] for kind in kinds if self.places.get(kind)), default=0)
+
     def _close(self, kinds: set[str], limits: set[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[k]]
-            if tag in kinds:
-                self._pop(k)
-                return
-            if tag in limits:
-                return
+        place = self._last(kinds)
+        if place > self._last(limits - kinds):
+            self._pop(place)
 
     def _in_landmark(self) -> bool:
-        return any(self.tags[k] in LANDMARKS for k in self.open)
+        return self._last(LANDMARKS) > 0
 
-    def _pop(self, k: int) -> None:
-        if any(self.tags[j] in BLOCK for j in self.open[k:]):
+    def _pop(self, place: int) -> None:
+        gone = [self.tags[k] for k in self.open[place:]]
+        if not BLOCK.isdisjoint(gone):
             self.texts.append((self.open[-1], None))
-        del self.open[k:]
+        for tag in gone:
+            self.places[tag].pop()
+        del self.open[place:]
 
     @staticmethod
     def _named_aside(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id", "role") and value and not ASIDE_NAMES.isdisjoint(value.lower().split()):
-                return True
+            if name in ("class", "id", "role") and value:
+                for whole in value.split():
+                    words = [word.lower() for word in NAME_WORD.findall(whole)]
+                    denied = next((k for k, word in enumerate(words) if word in DENIALS), len(words))
+                    if any(word in ASIDE_NAMES and behind not in DENIALS_BEHIND for word, behind in zip(words[:denied], [*words[1:], ""])):
+                        return True
         return False
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """As browsers do, ``<![`` begins a comment that ends at the next ``>``."""
+        return self.rawdata.find(">", i) + 1 or -1
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A document type ends behind the declarations that it may hold."""
+        end, inner = self.rawdata.find(">", i), self.rawdata.find("[", i)
+        if self.rawdata[i : i + 9].lower() == "<!doctype" and 0 <= inner < end and (found := SUBSET_END.search(self.rawdata, inner)):
+            return found.end()
+        return super().parse_html_declaration(i)
+
     def close(self) -> None:
         """Skips the asides, but none that holds a main or half of the text in articles; on a page without either, none with most of the text outside links."""
+        if self.cdata_elem is None and CUT_MARKUP.match(self.rawdata):
+            self.rawdata = ""  # what is left is an element or comment that never ends
         super().close()
         tags, parents, n = self.tags, self.parents, len(self.tags)
         in_link, landmark, main = [False] * n, [False] * n, [False] * n
@@ -193,8 +222,9 @@ def main_nodes(tree: _Tree, density: list[float], sums: list[float], chars: list
     page = next((k for k in _upward(parents, best) if tags[k] == "body"), 0)
     threshold = min(density[k] for k in _until(parents, best, page))
     aside = _link_lists(tree, density, chars, linked, links, threshold)
+    cards = _cards(tree, best, chars, linked)
     if top is not None:
-        found = {k for k in marks if k == top or k not in aside}
+        found = {k for k in marks if k == top or k not in aside | cards}
     else:
         root = next(k for k in _until(parents, best, page) if tags[k] not in PARTS or k == page)
         apart = _skipped_chars(tree)
@@ -204,7 +234,26 @@ def main_nodes(tree: _Tree, density: list[float], sums: list[float], chars: list
     below = [False] * n  # the node with the largest sum is kept whole
     for k in range(1, n):
         below[k] = below[parents[k]] or k == best
-    return found, {k for k in aside if k not in path and k not in found and not below[k]}
+    return found, {k for k in aside if k not in path and k not in found and not below[k]} | cards
+
+
+def _cards(tree: _Tree, best: int, chars: list[int], linked: list[int]) -> set[int]:
+    """Articles that do not hold ``best`` and have little text outside links next to the one that does, or to the largest in the main that does."""
+    tags, parents = tree.tags, tree.parents
+    path = list(_upward(parents, best))
+    plain = [c - x for c, x in zip(chars, linked)]
+    others = [k for k in range(len(tags)) if tags[k] == "article" and chars[k] and k not in path] if "article" in tags else []
+    home = next((k for k in path if tags[k] in LANDMARKS), None)
+    if not others or home is None:
+        return set()
+    most = plain[home]
+    if tags[home] == "main":
+        inside = set()  # nodes below the main
+        for k in range(home, len(tags)):
+            if k == home or parents[k] in inside:
+                inside.add(k)
+        most = max((plain[k] for k in others if k in inside), default=0)
+    return {k for k in others if plain[k] < LEAST_ARTICLE * most}
 
 
 def _dense(parents: list[int], density: list[float], sums: list[float], chars: list[int], threshold: float, page: int, root: int) -> set[int]:
@@ -298,7 +347,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: id, url, ``text`` and ``n_chars`` (code points, long).
 
-    A null or empty page gives an empty text. Pages are worked on one at a time, each with memory in proportion to its length.
+    A null or empty page gives an empty text; no markup, however broken, is an error, and what a page that is cut leaves of an element or
+    comment is no text. Repeated rows and null ids each get their row; an empty table gives an empty result; other columns don't matter.
+    Pages are worked on one at a time, each with time and memory in proportion to its length.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
     schema = f"_id {dict(pages.dtypes)[id_col]}, _url {dict(pages.dtypes)[url_col]}, text string"
