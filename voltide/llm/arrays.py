@@ -132,8 +132,8 @@ def map_texts(rows: DataFrame, text: str, schema: str | StructType, work: Callab
     return rows.mapInArrow(run, fields)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 4096) -> Iterator[pa.Table]:
-    """Tables of whole groups from batches sorted by ``keys``: about ``most_rows`` rows or one larger group each."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 4096, text: str | None = None) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by ``keys``: of about ``most_rows`` rows, and ``PART_BYTES`` of ``text``, or one larger group."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
@@ -142,15 +142,25 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows:
         if rows < most_rows:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        cut = int(group_starts(table, keys)[-1])  # the last group may go on in the next batch
-        if cut:
-            yield table.slice(0, cut)
-            table = table.slice(cut)
-        held, rows = table.combine_chunks().to_batches(), 0
+        starts = group_starts(table, keys)
+        yield from _slices(table, starts, most_rows, text)
+        held, rows = table.slice(int(starts[-1])).combine_chunks().to_batches(), 0  # the last group may go on in the next batch
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         if len(table):
-            yield table
+            yield from _slices(table, np.append(group_starts(table, keys), len(table)), most_rows, text)
+
+
+def _slices(table: pa.Table, starts: np.ndarray, most_rows: int, text: str | None) -> Iterator[pa.Table]:
+    """The rows before the last of ``starts``, cut at these places."""
+    share = np.arange(len(table) + 1) / most_rows
+    if text:
+        share[1:] += np.cumsum(pc.fill_null(pc.binary_length(table.column(text)), 0).to_numpy()) / PART_BYTES
+    begin = 0
+    for stop, after in zip(starts[1:].tolist(), [*starts[2:].tolist(), None]):
+        if after is None or share[after] - share[begin] > 1:
+            yield table.slice(begin, stop - begin)
+            begin = stop
 
 
 def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:

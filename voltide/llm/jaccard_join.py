@@ -328,7 +328,7 @@ def _verified(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     keys = ["component", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, keys, 256):
+        for table in whole_groups(batches, keys, 256, "text"):
             starts = group_starts(table, keys)
             ends = np.append(starts[1:], len(table))
             tokens, own = shingles(Texts.of(table.column("text").combine_chunks()), words)
