@@ -133,6 +133,22 @@ def test_join_of_odd_rows(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Also if ids are null, stand on several texts or repeat with their row."""
+    groups = [near_copies(4, 200, 1, s) for s in range(6)]
+    rows = [(10, groups[0][0]), (11, groups[0][1]), (11, groups[1][0]), (12, groups[1][1])]  # 11 is the second of one class and first of another
+    rows += [(None, t) for t in groups[2]] + [(None, groups[3][0]), (40, groups[3][1])]
+    rows += [(50, groups[4][0])] * 3 + [(51, groups[4][1])] + [(60, groups[5][0]), (60, groups[5][1]), (60, groups[5][0])]
+    rows += [(70, None), (70, None), (None, ""), (71, " \t")]
+    docs = spark.createDataFrame([(*r, k, k) for k, r in enumerate(rows)], "doc_id long, text string, _row int, class int")
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    have = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(have) == len(groups) + 4 and all(sum(t in g for _, t in have) == 1 for g in groups)
+    assert {i for i, t in have if t in groups[0] + groups[1] + groups[3] + groups[4]} == {10, 11, 40, 50}
+    assert (11, groups[1][0]) in have and sorted(have, key=str) == sorted(((r.doc_id, r.text) for r in jaccard_join.drop_near_copies(docs.repartition(5)).collect()), key=str)
+
+
 @pytest.mark.parametrize(("leaf", "block"), [(512, 128), (8, 4)])
 def test_join_of_groups(spark, leaf, block, monkeypatch):
     """Also with small buckets and blocks, so that buckets are split to the deepest level and groups into cells."""

@@ -47,4 +47,4 @@ def test_matches_sql(spark, name):
 def test_one_query_per_operator():
     from voltide.llm.queries import QUERIES
 
-    assert [n.split("_")[0] for n in QUERIES if n != "pipeline"] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES if n != "pipeline"] == [f"op{k}" for k in range(1, 14)]

@@ -375,21 +375,8 @@ def _near(tokens: np.ndarray, own: np.ndarray, n: int, similarity: float) -> np.
     return near
 
 
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999,
-) -> DataFrame:
-    """One row per row of ``docs``: id, ``class_id``, ``n_links`` and ``n_copies`` (long).
-
-    Two documents are linked if the Jaccard index of their sets of word n-grams is ``similarity`` or more. ``n_links`` counts the
-    other documents linked with this one, copies included; a class is what links connect, named by its smallest id. Documents with
-    the same set are one node of all the work and are never paired with each other: ``n_copies`` counts them. Fewer words than an
-    n-gram has make one shingle; a null text, or one without words, has an empty set, no links and its own id as class. Null ids
-    are allowed and never name a class unless all its ids are null. Equal rows each get their row. An empty table gives an empty
-    result.
-
-    Found links are exact, and those inside candidate groups are complete. No set of a bucket is dropped: beyond the deepest level
-    buckets are compared in blocks, and so are the groups.
-    """
+def _joined(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows described, and per node its ``class``, the class's smallest id ``class_id``, ``copies`` and ``n_links``. Both are written."""
     runs = runs_for(similarity, recall)
     records = materialise(described(docs, id_col, text_col, words, similarity, runs), "join-records")
     sets = materialise(
@@ -407,17 +394,62 @@ def near_classes(
     named = classes.join(sets.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("class_id"))
     # Written, like the bucket counts, so that the rows of a hot node can be split below.
     of_node = materialise(
-        sets.select("node", "least", "copies").join(classes, "node", "left").join(named, "component", "left").join(links, "node", "left")
-        .select("node", F.coalesce("class_id", "least").alias("class_id"), "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
-        "join-nodes",
-    )
-    return records.select("id", "node").join(of_node, "node", "left").select(
+        sets.select("node", "least", "copies").join(classes, "node", "left").join(named, "component", "left").join(links, "node", "left").select(
+            "node", F.coalesce("component", "node").alias("class"), F.coalesce("class_id", "least").alias("class_id"), "copies",
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        ), "join-nodes")
+    return records, of_node
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999,
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``class_id``, ``n_links`` and ``n_copies`` (long).
+
+    Two documents are linked if the Jaccard index of their sets of word n-grams is ``similarity`` or more. ``n_links`` counts the
+    other documents linked with this one, copies included; a class is what links connect, named by its smallest id. Documents with
+    the same set are one node of all the work and are never paired with each other: ``n_copies`` counts them. Fewer words than an
+    n-gram has make one shingle; a null text, or one without words, has an empty set, no links and its own id as class. Null ids
+    are allowed and never name a class unless all its ids are null. Equal rows each get their row. An empty table gives an empty
+    result.
+
+    Found links are exact, and those inside candidate groups are complete. No set of a bucket is dropped: beyond the deepest level
+    buckets are compared in blocks, and so are the groups.
+    """
+    records, of_node = _joined(docs, id_col, text_col, words, similarity, recall)
+    return records.select("id", "node").join(of_node.drop("class"), "node", "left").select(
         F.col("id").alias(id_col), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: of each class the one with the smallest id. Rows without id stay."""
-    gone = near_classes(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.999,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: one of each class of ``near_classes``.
+
+    It is the one with the smallest id, null last, and of several texts with that id the one with the smallest hash; of rows with the
+    same id and text, the one whose whole row has the smallest hash. So every class keeps one row, also if ids are null or repeated.
+    Rows whose text is null or has no word are in no class and stay.
+    """
+    records, of_node = _joined(docs, id_col, text_col, words, similarity, recall)
+    # Of each (class, id, text) a row with its count, so that copies are combined before anything is joined by class.
+    keys = materialise(
+        records.where(F.col("node").isNotNull()).groupBy("node", "id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
+        .join(of_node.select("node", "class"), "node").select("class", "id", "text_key", "rows"), "join-keys")
+    order = F.struct(F.col("id").isNull().alias("absent"), "id", "text_key")
+    stays = materialise(keys.groupBy("class").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("keys"), F.sum("rows").alias("of")).where("of > 1"), "join-stays")
+    gone = keys.join(stays.where("keys > 1"), "class").where(order != F.col("stays")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    kept = _without(docs, id_col, text_col, gone)
+    again = keys.where("rows > 1").join(stays, "class").where(order == F.col("stays")).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    if again.isEmpty():
+        return kept
+    again = materialise(again, "join-again")
+    row = F.struct(*(kept[c] for c in kept.columns))
+    held = kept.join(again, kept[id_col].eqNullSafe(again["_id"]) & (F.xxhash64(kept[text_col]) == again["_key"]), "left_semi")
+    once = held.groupBy(id_col, text_col).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
+    return _without(kept, id_col, text_col, again).unionByName(once)
+
+
+def _without(docs: DataFrame, id_col: str, text_col: str, keys: DataFrame) -> DataFrame:
+    return docs.join(keys, docs[id_col].eqNullSafe(keys["_id"]) & (F.xxhash64(docs[text_col]) == keys["_key"]), "left_anti")
