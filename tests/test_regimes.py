@@ -103,3 +103,21 @@ def test_histogram_and_density(spark):
     assert got == {i: c for i, c in enumerate(counts) if c}
     curve = return_density(df, points=400).toPandas().sort_values("x")
     assert abs(np.trapezoid(curve["density"], curve["x"]) - 1) < 1e-3
+
+
+def test_density_equals_all_kernels(spark):
+    """Of repeated, far and missing values, of groups with a null key or without variation."""
+    rng = np.random.default_rng(5)
+    groups = {"X": np.round(rng.normal(size=300), 2), None: np.append(rng.normal(size=50), 40.0), "one": np.full(4, 2.5), "single": np.array([1.0])}
+    rows = [(k, 0, float(x)) for k, g in groups.items() for x in g] + [("X", 0, None), ("empty", 0, None)]
+    got = return_density(spark.createDataFrame(rows, "symbol string, regime int, log_return double"), points=200).toPandas()
+    assert len(got) == 200 * len(groups)
+    for key, x in groups.items():
+        curve = got[got["symbol"].isna() if key is None else got["symbol"] == key].sort_values("point")
+        if len(set(x)) == 1:
+            assert curve["density"].isna().all()
+            continue
+        span, h = x.max() - x.min(), x.std(ddof=1) * len(x) ** -0.2
+        at = np.linspace(x.min() - span / 2, x.max() + span / 2, 200)
+        want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        assert np.allclose(curve["x"], at) and np.abs(curve["density"] - want).max() < 1e-12

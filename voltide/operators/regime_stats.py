@@ -159,25 +159,36 @@ def forecast_vol_histogram(forecasts: DataFrame, by: Sequence[str] = ("symbol",
     return histogram(forecasts, by, "rs_vol", F.lit(bins))
 
 
+#: Bandwidths at which a Gaussian kernel is cut off: what is left out is below exp(-32) = 1.3e-14 of its height.
+KERNEL_REACH = 8
+
+
 def return_density(df: DataFrame, by: Sequence[str] = ("symbol", "regime"), value: str = "log_return", points: int = 1000) -> DataFrame:
     """Gaussian kernel density per group on a grid half a range wider than the data (Scott bandwidth).
 
-    Each row adds its kernel to the grid points inside its task; only grid sums are shuffled. A group without
-    variation keeps its grid, with a NULL density.
+    Each row adds its kernel to the grid points within ``KERNEL_REACH`` bandwidths, inside its task; only grid sums are shuffled. The
+    bandwidth falls with the fifth root of the rows, and so do a row's points; the error is at most 1.3e-14 / (h sqrt(2 pi)), far below
+    rounding. Equal values are one row of that weight. A group without variation keeps its grid, with a NULL density; a null key is a
+    group like others.
     """
-    by = list(by)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"))
-    shape = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
+    # As one struct, keys that are null are equal in the joins.
+    values = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_group"), F.col(value).cast("double").alias("_x"))
+    rows = values.groupBy("_group", "_x").agg(F.count(F.lit(1)).alias("_w"))
+    shape = values.groupBy("_group").agg(
+        F.count("_x").alias("_n"), F.stddev_samp("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
     )
     span = F.col("_hi") - F.col("_lo")
-    x = F.col("_lo") - span / 2 + F.col("point") * (2 * span / (points - 1))
-    width = F.when(F.col("_s") > 0, F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2)))
-    grid = rows.join(shape, by).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    grid = grid.withColumns({"x": x, "_h": width})
-    kernel = F.exp(-0.5 * F.pow((F.col("x") - F.col("_x")) / F.col("_h"), 2))
-    return (
-        grid.groupBy(*by, "point", "_n", "_h", "x")
-        .agg(F.sum(kernel).alias("_k"))
-        .select(*by, "point", "x", (F.col("_k") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density"))
-    )
+    step = 2 * span / (points - 1)
+    start = F.col("_lo") - span / 2
+    shape = shape.withColumns({"_h": F.when(F.col("_s") > 0, F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))), "_start": start, "_step": step})
+    shape = shape.select("_group", "_n", "_h", "_start", "_step")
+    x = F.col("_start") + F.col("point") * F.col("_step")
+    low = F.greatest(F.lit(0), F.ceil((F.col("_x") - KERNEL_REACH * F.col("_h") - F.col("_start")) / F.col("_step")).cast("int"))
+    high = F.least(F.lit(points - 1), F.floor((F.col("_x") + KERNEL_REACH * F.col("_h") - F.col("_start")) / F.col("_step")).cast("int"))
+    near = rows.join(shape.where("_h > 0"), "_group").withColumns({"_from": low, "_to": high}).where("_from <= _to")
+    near = near.withColumn("point", F.explode(F.sequence("_from", "_to")))
+    kernel = F.col("_w") * F.exp(-0.5 * F.pow((x - F.col("_x")) / F.col("_h"), 2))
+    sums = near.groupBy("_group", "point").agg(F.sum(kernel).alias("_k"))
+    grid = shape.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    density = F.when(F.col("_h").isNotNull(), F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)))
+    return grid.join(sums, ["_group", "point"], "left").select("_group.*", "point", x.alias("x"), density.alias("density"))
