@@ -767,13 +767,13 @@ def _(spark, d):
 
 @query("regime_gmm", digits=4)
 def _(spark, d):
-    rows = RM.regime_gmm(model_features(spark, d), HOURS, n_init=2)
+    rows = RM.regime_gmm(model_features(spark, d), HOURS)
     return _labels_only(rows, "regime_probability", "regime_uncertainty")
 
 
 @query("gmm_diagnostics", digits=4)
 def _(spark, d):
-    return RM.gmm_diagnostics(model_features(spark, d), HOURS, n_init=2)
+    return RM.gmm_diagnostics(model_features(spark, d), HOURS)
 
 
 @query("regime_hmm")
