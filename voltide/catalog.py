@@ -27,6 +27,7 @@ from voltide.operators import regime_rules as R
 from voltide.operators import regime_stats as S
 from voltide.operators import spells as P
 from voltide.operators import summaries as A
+from voltide.operators.forest import Forest
 from voltide.operators.quantiles import exact_quantiles
 from voltide.plans.series import Series
 from voltide.session import materialise, scratch_path
@@ -830,6 +831,23 @@ def _(spark, d):
     return X.accuracy(X.fit_forest(rows), rows)
 
 
+def given_stumps() -> Forest:
+    """Three known trees of one split each, on volatility (feature 1) twice and on RSI (feature 2)."""
+    split, low, high = [(1, -0.5), (1, 0.5), (2, 0.0)], [[0.7, 0.2, 0.1], [0.3, 0.6, 0.1], [0.2, 0.5, 0.3]], [[0.1, 0.3, 0.6], [0.05, 0.15, 0.8], [0.5, 0.05, 0.45]]
+    feature, threshold = np.full((3, 3), -1, dtype=np.int32), np.zeros((3, 3))
+    feature[:, 0], threshold[:, 0] = zip(*split)
+    below = np.where(feature < 0, -1, 1).astype(np.int32)
+    value = np.stack([np.full((3, 3), 1 / 3), np.array(low), np.array(high)], axis=1)
+    return Forest(feature, threshold, below, np.where(below < 0, -1, 2).astype(np.int32), value)
+
+
+@query("permutation_hits_given")
+def _(spark, d):
+    """Rows that known trees label as the thresholds do, with each feature shuffled and (feature -1) without."""
+    rows, _names = X.training_rows(labelled(spark, d), HOURS, ["log_return", "vol_60m", "rsi"])
+    return X.permutation_hits(given_stumps(), rows, ["symbol"], 4)
+
+
 @query("global_importance", digits=4)
 def _(spark, d):
     return X.global_importance(labelled(spark, d), HOURS)

@@ -1,20 +1,27 @@
-"""What separates the regimes: forests, permutation importance and sampled Shapley values."""
+"""What separates the regimes: forests, permutation importance and Shapley values."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltide.operators.cleaning import standardise
+from voltide.operators.forest import Forest, changed_predictions, saved_forest, shapley_values
 from voltide.operators.regime_models import FEATURES, SEED, feature_names
 from voltide.plans.series import Series, with_row_index
 from voltide.session import materialise
 
+BLOCK_ROWS = 4096
+SCATTER = (1_000_003, 998_244_353, 754_974_721)
+PRIMES = (4099, 4111, 4127, 4129, 4133, 4139, 4153, 4157, 4159, 4177)  # above BLOCK_ROWS, so they divide no block
+
 
 def training_rows(df: DataFrame, s: Series, features: Sequence[str] = FEATURES) -> tuple[DataFrame, list[str]]:
     """``(keys, rn, n_rows, label, x)`` with standardised features as an array, written once."""
@@ -42,47 +49,61 @@ def accuracy(model: RandomForestClassificationModel, rows: DataFrame) -> DataFra
     return scored.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def _partner(repeats: int, seed: int) -> Column:
-    """For each repeat a row index of the same series, a bijection of the indexes.
+def _blocks(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Rows with ``_at``, their place in a scattered order of their series, and ``_block`` of about ``block_rows`` such places.
 
-    An affine map whose factor shares no divisor with the length; the first factor of a fixed list of primes
-    that does not divide the length is used.
+    The place is the row index times a prime, modulo the length; of a fixed list the first prime that does not divide
+    the length, so that no two rows share a place. A block is spread over its whole series.
     """
-    rng = np.random.default_rng(seed)
-    primes = (1_000_003, 998_244_353, 754_974_721)
     n = F.col("n_rows")
-    factor = F.when(n % primes[0] != 0, primes[0]).when(n % primes[1] != 0, primes[1]).otherwise(primes[2])
-    draws = [int(v) for v in rng.integers(1, 1 << 30, repeats)]
-    shifted = [((F.col("rn") + F.lit(v) % n) % n * (factor % n) + F.lit(v)) % n for v in draws]
-    return F.array(*[F.struct(F.lit(i).alias("repeat"), p.alias("partner")) for i, p in enumerate(shifted)])
+    factor = F.when(n % SCATTER[0] != 0, SCATTER[0]).when(n % SCATTER[1] != 0, SCATTER[1]).otherwise(SCATTER[2])
+    at = (F.col("rn") * (factor % n)) % n
+    return rows.select(*keys, "label", "x", at.alias("_at"), F.floor(at * F.ceil(n / block_rows) / n).alias("_block"))
 
 
-def _with_partner(rows: DataFrame, keys: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """Each row once per repeat with the features ``other`` of its partner row: a shuffle join on the index."""
-    drawn = rows.withColumn("_d", F.explode(_partner(repeats, seed))).select("*", "_d.repeat", "_d.partner").drop("_d")
-    others = rows.select(*keys, F.col("rn").alias("partner"), F.col("x").alias("other"))
-    return drawn.join(others, [*keys, "partner"])
+def permutation_hits(forest: Forest, rows: DataFrame, keys: Sequence[str], repeats: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(j, repeat, hits, n)``: rows predicted right with feature ``j`` shuffled; ``j`` is -1 for the rows as they are.
 
+    A feature is shuffled among the rows of a block: the partner of place p is place p * a + c modulo the rows of the
+    block, with a prime a above ``block_rows`` for each repeat. A row goes once to its block, whatever the number of features and
+    repeats, and only counts leave it. Series of up to ``block_rows`` rows are one block.
+    """
+    if block_rows > PRIMES[0] or repeats > len(PRIMES):
+        raise ValueError(f"at most {PRIMES[0]} rows a block and {len(PRIMES)} repeats")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        x, label, n = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), len(pdf)
+        paths = forest.paths(x)
+        base = forest.value[np.arange(forest.trees), paths[-1]].sum(axis=1)
+        out = [(-1, 0, int((base.argmax(axis=1) == label).sum()), n)]
+        partners = np.array([(np.arange(n) * a + c) % n for c, a in enumerate(PRIMES[:repeats], 1)])
+        for j in range(x.shape[1]):
+            for repeat, more in enumerate(changed_predictions(forest, x, paths, j, x[partners, j])):
+                out.append((j, repeat, int(((base + more).argmax(axis=1) == label).sum()), n))
+        return pd.DataFrame(out, columns=["j", "repeat", "hits", "n"])
+
+    counts = _blocks(rows, keys, block_rows).groupBy(*keys, "_block").applyInPandas(count, "j int, repeat int, hits long, n long")
+    return counts.groupBy("j", "repeat").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+
+
+def importance_of(hits: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(feature, perm_importance, perm_std)``: mean and deviation over the repeats of the accuracy lost."""
+    rate = F.col("hits") / F.col("n")
+    base = hits.where(F.col("j") < 0).select(rate.alias("_base"))
+    lost = hits.where(F.col("j") >= 0).crossJoin(F.broadcast(base)).withColumn("loss", F.col("_base") - rate)  # base is one row
+    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("j"))
+    return lost.groupBy(feature.alias("feature")).agg(F.avg("loss").alias("perm_importance"), F.stddev_pop("loss").alias("perm_std"))
 
-def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, names: Sequence[str],
-                           keys: Sequence[str], repeats: int, seed: int = SEED) -> DataFrame:
-    """Mean and deviation over the repeats of the accuracy lost when one feature is shuffled in its series.
 
-    All features and repeats are scored in one map over the rows; only hit counts are shuffled.
-    """
-    variants = _with_partner(rows, keys, repeats, seed).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
-    changed = F.transform("x", lambda v, i: F.when(i == F.col("j"), F.get("other", i)).otherwise(v))
-    scored = model.transform(variants.withColumn("features", array_to_vector(changed)))
-    hit = (F.col("prediction") == F.col("label")).cast("double")
-    hits = scored.groupBy("j", "repeat").agg(F.avg(hit).alias("acc"))
-    base = accuracy(model, rows).select(F.col("accuracy").alias("_base"))
-    lost = hits.crossJoin(F.broadcast(base)).withColumn("loss", F.col("_base") - F.col("acc"))  # base is one row
+def permutation_importance(model: RandomForestClassificationModel, rows: DataFrame, names: Sequence[str],
+                           keys: Sequence[str], repeats: int) -> DataFrame:
+    """Accuracy lost when one feature is shuffled in its series, beside the importance of the splits."""
+    spark = rows.sparkSession
+    out = importance_of(permutation_hits(saved_forest(spark, model), rows, keys, repeats), names)
     gini = model.featureImportances.toArray()
-    table = rows.sparkSession.createDataFrame(
-        [(i, n, float(g)) for i, (n, g) in enumerate(zip(names, gini))], "j int, feature string, gini_importance double"
-    )
-    out = lost.groupBy("j").agg(F.avg("loss").alias("perm_importance"), F.stddev_pop("loss").alias("perm_std"))
-    ranked = out.join(F.broadcast(table), "j").drop("j")
+    table = spark.createDataFrame([(n, float(g)) for n, g in zip(names, gini)], "feature string, gini_importance double")
+    ranked = out.join(F.broadcast(table), "feature")  # a row per feature
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("perm_importance"), "feature")))
 
 
@@ -105,32 +126,37 @@ def per_regime_importance(df: DataFrame, s: Series, n_regimes: int = 3, trees: i
     return out
 
 
-def shapley_importance(df: DataFrame, s: Series, trees: int = 200, depth: int = 8, orders: int = 4, seed: int = SEED) -> DataFrame:
+def background_rows(rows: DataFrame, keys: Sequence[str], n: int) -> np.ndarray:
+    """The ``n`` rows with the smallest hash of their key: what a switched-off feature is replaced from."""
+    drawn = rows.select("x", F.xxhash64(*keys, "rn").alias("_h"), *keys, "rn").orderBy("_h", *keys, "rn").limit(n)
+    return np.array([r["x"] for r in drawn.select("x").collect()], dtype=float)
+
+
+def shapley_importance(df: DataFrame, s: Series, trees: int = 200, depth: int = 8, background: int = 100) -> DataFrame:
     """Mean and deviation of the absolute Shapley value per (regime, feature), over all rows.
 
-    Every row is walked from a partner row to itself in ``orders`` random feature orders; the change of the class
-    probability at each step is credited to the feature switched.
+    The values are exact for the forest against ``background`` rows (:func:`voltide.operators.forest.shapley_values`). Rows are explained
+    where they lie; a batch gives one row of sums per regime and feature.
     """
     rows, names = training_rows(df, s)
-    model = fit_forest(rows, trees, depth)
+    forest = saved_forest(rows.sparkSession, fit_forest(rows, trees, depth))
+    against = background_rows(rows, s.keys, background)
     d = len(names)
-    rng = np.random.default_rng(seed)
-    places = [np.argsort(rng.permutation(d)).tolist() for _ in range(orders)]
-    place = F.array(*[F.array(*[F.lit(int(p)) for p in row]) for row in places])
-    walked = (
-        _with_partner(rows, s.keys, orders, seed)
-        .withColumn("_place", F.get(place, F.col("repeat")))
-        .withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit(d))))
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        regime, j = np.indices((forest.classes, d), dtype=np.int32).reshape(2, -1)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            phi = np.abs(shapley_values(forest, x, against)).reshape(len(x), -1)
+            n = np.full(len(j), len(x), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in (regime, j, n, phi.sum(axis=0), (phi * phi).sum(axis=0))], names=["regime", "j", "n", "s", "q"]
+            )
+
+    sums = rows.select("x").mapInArrow(explain, "regime int, j int, n long, s double, q double").groupBy("regime", "j").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")
     )
-    mixed = F.transform("x", lambda v, i: F.when(F.get("_place", i) < F.col("prefix"), v).otherwise(F.get("other", i)))
-    scored = model.transform(walked.withColumn("features", array_to_vector(mixed))).withColumn("_p", vector_to_array("probability"))
-    # the prediction after p switches ends the step of the feature placed p-1 and begins that of the feature placed p
-    ends = F.struct((F.array_position("_place", F.col("prefix") - 1) - 1).alias("j"), F.lit(1.0).alias("sign"))
-    begins = F.struct((F.array_position("_place", F.col("prefix")) - 1).alias("j"), F.lit(-1.0).alias("sign"))
-    steps = scored.select(*s.keys, "rn", "_p", F.explode(F.array(ends, begins)).alias("_s")).where(F.col("_s.j") >= 0)
-    classes = steps.select(*s.keys, "rn", F.col("_s.j").alias("j"), F.col("_s.sign").alias("sign"), F.posexplode("_p").alias("regime", "p"))
-    value = classes.groupBy(*s.keys, "rn", "j", "regime").agg((F.sum(F.col("sign") * F.col("p")) / orders).alias("phi"))
-    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("j").cast("int"))
-    return value.groupBy("regime", "j").agg(
-        F.avg(F.abs("phi")).alias("mean_abs_shap"), F.stddev_pop(F.abs("phi")).alias("std_shap")
-    ).select("regime", feature.alias("feature"), "mean_abs_shap", "std_shap")
+    mean = F.col("s") / F.col("n")
+    feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("j"))
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.select("regime", feature.alias("feature"), mean.alias("mean_abs_shap"), spread.alias("std_shap"))

@@ -535,6 +535,28 @@ kd AS (SELECT i, a, b, c, k, pow(a - k + 1, 2) + pow(b - k + 1, 2) + pow(c - k +
 kn AS (SELECT * FROM kd QUALIFY row_number() OVER (PARTITION BY i ORDER BY apart, k) = 1)
 SELECT CAST(k AS BIGINT) AS cluster, count(*) AS n, {dbl('sum(apart)', 'inertia')}, {dbl('avg(a)', 'log_return')}, {dbl('avg(b)', 'vol_60m')}, {dbl('avg(c)', 'rsi')}
 FROM kn GROUP BY k"""
+
+def stump_sum(low: tuple[float, ...], high: tuple[float, ...], b: str, c: str) -> str:
+    """Summed shares of one class over the three known trees."""
+    cuts = ((b, -0.5), (b, 0.5), (c, 0))
+    return " + ".join(f"CASE WHEN {x} <= {t} THEN {lo} ELSE {hi} END" for (x, t), lo, hi in zip(cuts, low, high))
+
+
+_shares = [stump_sum(low, high, "b", "c") for low, high in (((0.7, 0.3, 0.2), (0.1, 0.05, 0.5)), ((0.2, 0.6, 0.5), (0.3, 0.15, 0.05)), ((0.1, 0.1, 0.3), (0.6, 0.8, 0.45)))]
+ORACLE["permutation_hits_given"] = f"""WITH {LABELS}, ps AS (SELECT symbol, regime, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS rn, count(*) OVER s AS n, """ + ", ".join(
+    f"(coalesce({x}, 0) - avg(coalesce({x}, 0)) OVER s) / CASE WHEN stddev_pop(coalesce({x}, 0)) OVER s > 0 THEN stddev_pop(coalesce({x}, 0)) OVER s ELSE 1 END AS {n}"
+    for x, n in (("vol_60m", "b"), ("rsi", "c"))
+) + f""" FROM threshold WINDOW s AS (PARTITION BY symbol)),
+pa AS (SELECT *, (rn * (1000003 % n)) % n AS place FROM ps),
+pb AS (SELECT *, CAST(floor(place * ceil(n / 4096) / n) AS BIGINT) AS block FROM pa),
+pc AS (SELECT *, row_number() OVER (PARTITION BY symbol, block ORDER BY place) - 1 AS p, count(*) OVER (PARTITION BY symbol, block) AS m FROM pb),
+pd AS (SELECT pc.*, repeat, (p * a + repeat + 1) % m AS q FROM pc, (VALUES (0, 4099), (1, 4111), (2, 4127), (3, 4129)) AS v(repeat, a)),
+pe AS (SELECT pd.regime, pd.repeat, pd.b, pd.c, o.b AS ob, o.c AS oc FROM pd JOIN pc o ON o.symbol = pd.symbol AND o.block = pd.block AND o.p = pd.q),
+pf AS (SELECT j, repeat, regime, CASE WHEN j = 1 THEN ob ELSE b END AS b, CASE WHEN j = 2 THEN oc ELSE c END AS c FROM pe, (SELECT unnest([0, 1, 2]) AS j)
+  UNION ALL SELECT -1, 0, regime, b, c FROM pe WHERE repeat = 0),
+pg AS (SELECT j, repeat, regime, {_shares[0]} AS s0, {_shares[1]} AS s1, {_shares[2]} AS s2 FROM pf)
+SELECT CAST(j AS BIGINT) AS j, CAST(repeat AS BIGINT) AS repeat, CAST(sum(CASE WHEN regime = CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END THEN 1 ELSE 0 END) AS BIGINT) AS hits,
+  count(*) AS n FROM pg GROUP BY j, repeat"""
 ORACLE["garch_variance"] = (
     f"WITH RECURSIVE {HOUR}, {FILLED} SELECT symbol, {ts()}, {dbl('r', 'log_return')}, {dbl('h', 'variance')} FROM gv JOIN f USING (symbol, rn)"
 )
