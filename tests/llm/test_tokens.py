@@ -1,6 +1,7 @@
 """Token counts of all prefixes, and encoding and decoding, against the library of the model."""
 
 import random
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from voltide.llm import sentence_pieces, token_counts
+from voltide.llm import queries, sentence_pieces, token_counts
 from voltide.llm.arrays import Texts
 from voltide.llm.pieces import load, read_model
 
@@ -91,3 +92,13 @@ def test_long_stretch_without_blanks(length):
     text = "ab日" * length
     ids, _ = sentence_pieces.encoded(MODEL, Texts.of(pa.array([text])))
     assert ids.tolist() == LIBRARY.encode(text)
+
+
+def test_query_decodes_every_text(spark, tmp_path):
+    texts = ["two words", " \n▁ x", "", None, "é日\x00", "two words"]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, row string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_sentence_pieces(spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        assert got[k].ids == LIBRARY.encode(text or "") and got[k].n_tokens == len(got[k].ids) and got[k].round_trip
+        assert got[k].decoded_sha256 == sha256((text or "").replace("▁", " ").encode()).hexdigest()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voltide.llm import content_sort, fair_mix, filter_audit, html_density, jaccard_join, language_id, line_dedup, quality_pu, rule_ledger, sentence_pieces, source_divergence, token_counts, warc_fixity
+from voltide.llm.pieces import SPACE_MARK
 
 #: Tokenizer model, and the tokens a training sequence holds.
 PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -64,8 +65,10 @@ def op5_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rule_ledger.verdicts(rule_ledger.ledger(documents(spark, sf_dir)))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    policy = rule_ledger.POLICIES[-1]
+    book = rule_ledger.verdicts(rule_ledger.ledger(documents(spark, sf_dir)), policy)
+    measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
+    return book.select("doc_id", *measured, F.lit(policy.version).alias("policy"))
 
 
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +85,14 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces.encode(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+    """Ids of every text, and the digest of what they decode to next to that of the text (with blanks for space marks)."""
+    model = public_tokenizers.path(PIECES)
+    wanted = F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE_MARK, " "), 256)
+    docs = documents(spark, sf_dir).select(F.struct("doc_id", wanted.alias("wanted")).alias("row"), "text")
+    # the columns of a row travel as its id, so nothing is joined
+    encoded = sentence_pieces.encode(docs, model, "row").select(F.struct("row.*", "n_tokens", "ids").alias("row"), "ids")
+    decoded = sentence_pieces.decode(encoded, model, "row").select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
+    return decoded.withColumn("round_trip", F.col("decoded_sha256") == F.col("wanted")).drop("wanted")
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +167,10 @@ ORACLE: dict[str, str] = {
         b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT (base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 40 * n_words
-                    OR n_upper > n_lower OR 10 * n_twin_words > 3 * n_words) AS kept
+                    OR n_upper > n_lower OR 10 * n_twin_words > 3 * n_words) AS kept,
+               ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT
+                + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 40 * n_words)::BIGINT
+                + 64 * (n_upper > n_lower)::BIGINT + 128 * (10 * n_twin_words > 3 * n_words)::BIGINT)::BIGINT AS failed_bits, '2' AS policy
         FROM b
     """,
     "op7_fair_mix": """
