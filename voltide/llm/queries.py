@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voltide.llm import content_sort, fair_mix, filter_audit, html_density, jaccard_join, language_id, line_dedup, quality_pu, rule_ledger, sentence_pieces, source_divergence, token_counts, warc_fixity
-from voltide.llm.pieces import SPACE_MARK
 
 #: Tokenizer model, and the tokens a training sequence holds.
 PIECES, TOKEN_LIMIT = "piece_bpe_32k.model", 4096
@@ -85,14 +84,7 @@ def op9_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text, and the digest of what they decode to next to that of the text (with blanks for space marks)."""
-    model = public_tokenizers.path(PIECES)
-    wanted = F.sha2(F.translate(F.coalesce("text", F.lit("")), SPACE_MARK, " "), 256)
-    docs = documents(spark, sf_dir).select(F.struct("doc_id", wanted.alias("wanted")).alias("row"), "text")
-    # the columns of a row travel as its id, so nothing is joined
-    encoded = sentence_pieces.encode(docs, model, "row").select(F.struct("row.*", "n_tokens", "ids").alias("row"), "ids")
-    decoded = sentence_pieces.decode(encoded, model, "row").select("row.*", F.sha2("text", 256).alias("decoded_sha256"))
-    return decoded.withColumn("round_trip", F.col("decoded_sha256") == F.col("wanted")).drop("wanted")
+    return sentence_pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path(PIECES))
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ position, the edges are relaxed: an edge ends the encoding up to its end if its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -206,6 +207,54 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, fields).withColumnRenamed("_id", id_col)
 
 
+class Speller:
+    """Turns ids back into texts."""
+
+    def __init__(self, pieces: Pieces):
+        spelt = pieces.bytes_of
+        self.flat = np.frombuffer(b"".join(spelt), np.uint8)
+        self.lengths = np.array([len(s) for s in spelt], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of ids that lie one after the other, ``counts`` for each."""
+        lengths = self.lengths[ids]
+        data = gathered(self.flat, self.starts[ids], lengths).tobytes()
+        total = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(counts)
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(total[ends - counts].tolist(), total[ends].tolist())]
+        return [t[1:] if t[:1] == " " else t for t in texts]
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of :func:`encode` with ``decoded_sha256`` (lowercase hex) of what the ids decode to, and ``round_trip`` (boolean).
+
+    ``round_trip`` is true if the decoded text is the text, a null one being empty and space marks being blanks. A text is decoded where it
+    was encoded, so neither texts nor ids move.
+    """
+    model = read_model(model_path)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    fields = StructType.fromDDL(f"_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    mark = SPACE_MARK.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller(load(model))
+        for batch in batches:
+            for part, texts in parts(batch, "_text", 2 * PART_BYTES):
+                flat, counts = encoded(model, texts)
+                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                again = [t.encode() for t in speller.texts(flat, counts)]
+                data, ends = texts.data.tobytes(), texts.offsets.tolist()
+                same = [t == data[a:b].replace(mark, b" ") for t, a, b in zip(again, ends[:-1], ends[1:])]
+                digests = [sha256(t).hexdigest() for t in again]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(counts), pa.ListArray.from_arrays(offsets, flat), pa.array(digests, pa.string()), pa.array(same, pa.bool_())],
+                    fields.names,
+                )
+
+    return rows.mapInArrow(run, fields).withColumnRenamed("_id", id_col)
+
+
 def decode(encoded_docs: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row: id and ``text``.
 
@@ -217,23 +266,15 @@ def decode(encoded_docs: DataFrame, model_path: str, id_col: str = "doc_id", ids
     fields = StructType.fromDDL(f"_id {dict(encoded_docs.dtypes)[id_col]}, text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = load(model).bytes_of
-        flat = np.frombuffer(b"".join(spelt), np.uint8)
-        lengths = np.array([len(s) for s in spelt], np.int64)
-        starts = np.cumsum(lengths) - lengths
+        speller = Speller(load(model))
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 lists = part.column(1)
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                data = gathered(flat, starts[ids], lengths[ids]).tobytes()
-                total = np.concatenate([[0], np.cumsum(lengths[ids])])
-                ends = total[np.cumsum(counts)]
-                begins = total[np.cumsum(counts) - counts]
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(begins.tolist(), ends.tolist())]
+                texts = speller.texts(lists.flatten().to_numpy(zero_copy_only=False), counts)
                 none = lists.is_null().to_pylist()
-                texts = [None if gone else t[1:] if t[:1] == " " else t for t, gone in zip(texts, none)]
+                texts = [None if gone else t for t, gone in zip(texts, none)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], fields.names)
 
     return rows.mapInArrow(run, fields).withColumnRenamed("_id", id_col)
