@@ -135,8 +135,8 @@ def background_rows(rows: DataFrame, keys: Sequence[str], n: int) -> np.ndarray:
 def shapley_importance(df: DataFrame, s: Series, trees: int = 200, depth: int = 8, background: int = 100) -> DataFrame:
     """Mean and deviation of the absolute Shapley value per (regime, feature), over all rows.
 
-    The values are exact for the forest against ``background`` rows (:func:`voltide.operators.forest.shapley_values`). Rows are explained
-    where they lie; a batch gives one row of sums per regime and feature.
+    The values are exact for the forest against ``background`` rows (:func:`voltide.operators.forest.shapley_values`); a batch
+    of rows gives one row of sums per regime and feature.
     """
     rows, names = training_rows(df, s)
     forest = saved_forest(rows.sparkSession, fit_forest(rows, trees, depth))
@@ -153,10 +153,13 @@ def shapley_importance(df: DataFrame, s: Series, trees: int = 200, depth: int =
                 [pa.array(c) for c in (regime, j, n, phi.sum(axis=0), (phi * phi).sum(axis=0))], names=["regime", "j", "n", "s", "q"]
             )
 
-    sums = rows.select("x").mapInArrow(explain, "regime int, j int, n long, s double, q double").groupBy("regime", "j").agg(
+    # a row costs a walk over all leaves, so a few files are dealt to all cores; more files than cores stay where they are
+    cores, points = rows.sparkSession.sparkContext.defaultParallelism, rows.select("x")
+    spread_out = points if points.rdd.getNumPartitions() >= cores else points.repartition(cores)
+    sums = spread_out.mapInArrow(explain, "regime int, j int, n long, s double, q double").groupBy("regime", "j").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")
     )
     mean = F.col("s") / F.col("n")
     feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("j"))
-    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
-    return sums.select("regime", feature.alias("feature"), mean.alias("mean_abs_shap"), spread.alias("std_shap"))
+    deviation = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    return sums.select("regime", feature.alias("feature"), mean.alias("mean_abs_shap"), deviation.alias("std_shap"))

@@ -398,8 +398,12 @@ def evaluation(source: str, key: str, squared: bool = False) -> str:
     gap = "sqrt(" + " + ".join(f"(x.m{c} - y.m{c}) * (x.m{c} - y.m{c})" for c in z) + ")"
     on_m = " AND ".join(f"z.{c} = m.{c}" for c in (*k, "regime"))
     kx = ", ".join(f"x.{c}" for c in k)
+    # the Euclidean form is defined on about 10,000 rows of a larger group, drawn by a digest of their key
+    drawn = "'0x' || substr(md5(symbol || '|' || strftime(t, '%Y-%m-%d %H:%M:%S')), 1, 8)"
+    few = "true" if squared else f"size <= 10000 OR CAST({drawn} AS BIGINT) / 4294967296.0 < 10000.0 / size"
     return f"""z AS (SELECT {key}, t, r AS ret, vol_60m AS vol, regime, {', '.join(f'{zscore(x, key)} AS {c}' for x, c in zip(EVAL_X, z))} FROM {source}),
-pd AS (SELECT {kx}, x.t, x.regime, y.regime AS other, sum({dist}) AS d, count(*) AS n FROM z x JOIN z y ON {same} GROUP BY ALL),
+zs AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS size FROM z) WHERE {few}),
+pd AS (SELECT {kx}, x.t, x.regime, y.regime AS other, sum({dist}) AS d, count(*) AS n FROM zs x JOIN zs y ON {same} GROUP BY ALL),
 ab AS (SELECT {key}, t, regime, max(CASE WHEN other = regime THEN CASE WHEN n > 1 THEN d / (n - 1) END END) AS a,
   min(CASE WHEN other <> regime THEN d / n END) AS b FROM pd GROUP BY {key}, t, regime),
 sil AS (SELECT {key}, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette_score FROM ab GROUP BY {key}),
