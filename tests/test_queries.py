@@ -9,7 +9,7 @@ from compare import difference, duck
 SF = "/root/testdata/sf0.001"
 SOME = ("scan_kline_csv", "decode_kline_json", "consolidate", "valid_candles", "quality_report", "vol_quantiles_exact", "regime_stats",
         "feature_matrix", "hourly_feature_matrix", "transition_triggers", "evaluate_regimes", "backfill_plan", "rolling_forecast_given",
-        "rolling_forecast_regime_lagged", "garch_scores_given", "insample_regime_variance", "sequence_windows", "stream_dedup", "stream_log_return", "late_repair")
+        "rolling_forecast_regime_lagged", "garch_scores_given", "permutation_hits_given", "insample_regime_variance", "sequence_windows", "stream_dedup", "stream_log_return", "late_repair")
 ORACLE = contract.oracle_sql()
 NAMES = list(ORACLE) if os.environ.get("VOLTIDE_ALL") else SOME
 
