@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from voltide.operators import evaluation as E
+from voltide.operators import quantiles
 from voltide.operators import ranking as K
 from voltide.operators import regime_rules as R
 from voltide.operators import spells as P
@@ -40,6 +42,39 @@ def test_exact_quantiles_with_heavy_ties(spark):
             assert abs(value - np.quantile(part["x"], q)) < 1e-12
 
 
+def test_exact_quantiles_send_no_group_to_one_task(spark, capsys):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame(pd.DataFrame({"g": np.repeat(["a", "b"], 4000), "x": rng.normal(size=8000)}))
+    got = exact_quantiles(df, ["g"], ["x"], (0.25, 0.5))
+    got.explain()
+    assert "SortMergeJoin" not in capsys.readouterr().out  # one on (g, feature) gave a task all values of a group
+    for r in got.collect():
+        part = df.where(F.col("g") == r["g"]).toPandas()["x"]
+        assert abs(r["quantile"] - np.quantile(part, r["prob"])) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["near each other", "near each other and one far", "all sizes", "equal"])
+def test_exact_quantiles_cut_large_bins(spark, monkeypatch, kind):
+    monkeypatch.setattr(quantiles, "SORTED", 20)
+    rng = np.random.default_rng(4)
+    near = 1.7e9 + rng.random(900) * 1e-3
+    signs = rng.choice([-1.0, 0.0, 1.0], 900)
+    values = {
+        "near each other": near,
+        "near each other and one far": np.append(near, 1.7001e9),
+        "all sizes": np.append(signs * 10.0 ** rng.uniform(-320, 305, 900), [-0.0, 5e-324, 1e305, -1e305]),
+        "equal": np.append(np.full(900, 0.1), [np.nan, 0.2]),
+    }[kind]
+    probs = (0.0, 0.001, 0.3, 0.5, 0.77, 1.0)
+    df = spark.createDataFrame([(float(x),) for x in values] + [(None,)], "x double")
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, [], ["x"], probs).collect()}
+    kept = np.sort(values[~np.isnan(values)])
+    for q in probs:
+        at = q * (len(kept) - 1)
+        low, high = kept[int(np.floor(at))], kept[int(np.ceil(at))]
+        assert got[q] == low + (high - low) * (at - np.floor(at))
+
+
 def test_silhouette_against_brute_force(make):
     rng = np.random.default_rng(1)
     n = 60
